@@ -80,8 +80,8 @@ def word_vectors(model: Word2VecModel) -> DataFrame:
 def similar_words(vectors: DataFrame, word: str) -> DataFrame:
     """All words with their cosine similarity to one word, most similar first."""
     query = vectors.filter(F.col("word") == word).select("vector").scalar()
-    return (vectors.filter(F.col("word") != word)
-                   .select("word", cosine(F.col("vector"), query).alias("similarity"))
+    return (vectors.filter(F.col("word") != word).withColumn("_query", query)
+                   .select("word", cosine("vector", "_query").alias("similarity"))
                    .orderBy(F.desc("similarity"), "word"))
 
 

@@ -39,7 +39,7 @@ def grid_search(estimator, grid: dict[str, Sequence], train: DataFrame, test: Da
             params = dict(zip(grid, values))
             model = estimator.copy({getattr(estimator, k): v for k, v in params.items()}).fit(train)
             metric = evaluator.evaluate(model.transform(test))
-            if best is None or (metric > best["metricValue"]) == larger and metric != best["metricValue"]:
+            if best is None or (metric > best["metricValue"] if larger else metric < best["metricValue"]):
                 best_model, best = model, {**params, "metricValue": metric}
             if threshold is not None and (metric >= threshold if larger else metric <= threshold):
                 break
@@ -145,7 +145,7 @@ def fit_pair_scorers(df: DataFrame, label: str, pairs: Iterable[tuple], rest: bo
 
 def _boosted(df: DataFrame, **params):
     return GBTClassifier(featuresCol="features", labelCol="_y", predictionCol="_p",
-                         probabilityCol="_prob", rawPredictionCol="_raw", **{"seed": 42, **params}).fit(df)
+                         **{"seed": 42, **params}).fit(df)
 
 
 def stack(df: DataFrame, key: str, binary: dict, pairs: dict, quaternary: dict) -> DataFrame:

@@ -106,12 +106,10 @@ def uniform_sets(df: DataFrame, key: str, label: str, target, classes: list,
     """
     others = [c for c in classes if c != target]
     is_target = F.col(label) == target
-    sizes = df.agg(F.array(F.count_if(is_target & (_unit(key, seed) < fraction)),
-                           *[F.count_if(F.col(label) == c) for c in others]).alias("sizes")).scalar()
-    wanted = _size(sizes, 0)
-    buckets = F.transform(F.slice(sizes, 2, len(others)), lambda n: F.when(
-        n > wanted, F.greatest(F.floor(F.try_divide(n.cast("double"), wanted)), F.lit(1))).otherwise(F.lit(1))
-        .cast("int"))
+    sizes = df.agg(F.count_if(is_target & (_unit(key, seed) < fraction)).alias("wanted"),
+                   F.array(*[F.count_if(F.col(label) == c) for c in others]).alias("sizes"))
+    fitting = lambda n: F.greatest(F.floor(F.try_divide(n.cast("double"), F.col("wanted").cast("double"))), F.lit(1))
+    buckets = sizes.select(F.transform("sizes", lambda n: F.coalesce(fitting(n), F.lit(1)).cast("int"))).scalar()
     position = F.lit(None).cast("int")
     for i, c in enumerate(others):
         position = F.when(F.col(label) == c, i).otherwise(position)

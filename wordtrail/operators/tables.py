@@ -38,4 +38,4 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def pivot_counts(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
     """Counts per row label and listed column value, 0 where none."""
-    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count("*")).fillna(0)
+    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).fillna(0)

@@ -154,9 +154,7 @@ def others(tags: Column | str) -> Column:
 def tagged_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Token table ``(key, pos, token, tag)``; no shuffle."""
     pairs = let(tokens, lambda words: F.arrays_zip(words.alias("token"), tag_tokens(words).alias("tag")))
-    named = F.transform(pairs, lambda p: F.struct(p.getField("0").alias("token"),
-                                                  p.getField("1").alias("tag")))
-    return df.select(key, F.posexplode(named).alias("pos", "t")).select(key, "pos", "t.token", "t.tag")
+    return df.select(key, F.posexplode(pairs).alias("pos", "t")).select(key, "pos", "t.token", "t.tag")
 
 
 def learn_tags(tagged: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordtrail.functions import regex
@@ -58,10 +57,6 @@ def normalize(tokens: Column | str) -> Column:
     return F.filter(clean, lambda t: t != "")
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def remove_stop_words(tokens: Column | str, words: list[str]) -> Column:
     """Tokens not in the list, case-insensitive, in place (no shuffle)."""
     lowered = [w.lower() for w in words]

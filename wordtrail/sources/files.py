@@ -11,11 +11,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multili
     ``multiline`` allows line breaks inside quotes; such a file is read by one task, so large
     inputs should come as many files.
     """
-    return (spark.read.schema(schema)
-            .options(header=True, sep=",", quote='"', escape='"', multiLine=multiline,
-                     lineSep=None if multiline else "\n", ignoreLeadingWhiteSpace=False,
-                     ignoreTrailingWhiteSpace=False)
-            .csv(path))
+    reader = spark.read.schema(schema).options(
+        header=True, sep=",", quote='"', escape='"', multiLine=multiline,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return reader.csv(path) if multiline else reader.option("lineSep", "\n").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -42,11 +41,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, line)``: the first line of every file.
 
-    Each file is one row here; meant for folders of ordinary text files.
+    Only the split that starts a file is looked at; rows of one split keep the file's order.
     """
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("path"),
-                        F.get(F.split("value", "\n", 2), F.lit(0)).alias("line"))
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"))
+    opening = lines.filter(F.col("start") == 0).withColumn("_n", F.monotonically_increasing_id())
+    return opening.groupBy("path").agg(F.min_by("value", "_n").alias("line"))
 
 
 def write_lines(df: DataFrame, column: str, path: str, append: bool = False) -> None:
