@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wordtrail.functions.arrays import dot, unit_vector
-from wordtrail.functions.text import length_fraction
+from wordtrail.functions.arrays import dot, let, unit_vector
+from wordtrail.functions.text import LENGTH_SCALE
 from wordtrail.operators import tagging
 from wordtrail.operators.lookup import salted_join
 from wordtrail.operators.tokens import normalize, remove_stop_words, sentences, word_tokens
@@ -18,22 +18,42 @@ SENTENCE_SCALE = 25.0
 NOUN_COUNTS = [5, 10, 15, 20, 25]
 
 
-def annotate(df: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
-    """Add ``tokens``, ``words`` (normalized, without stop words), ``tags`` and ``lemmas``."""
-    return (df.withColumn("tokens", word_tokens(text, lower=False))
-              .withColumn("words", remove_stop_words(normalize("tokens"), stop_words))
-              .withColumn("tags", tagging.tag_tokens("words"))
-              .withColumn("lemmas", tagging.lemmatize("words", "tags")))
+def annotated_rows(df: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
+    """One row per word (normalized, no stop word) with ``tag`` and ``lemma``; the document's own
+    measures ride along. A document without words keeps one row with nulls. No shuffle."""
+    measured = df.select(key, F.length(text).alias("raw_length"), F.size(sentences(text)).alias("num_sentences"),
+                         word_tokens(text, lower=False).alias("_tokens"))
+    counted = measured.withColumn("num_tokens", F.size("_tokens"))
+    words = remove_stop_words(normalize("_tokens"), stop_words)
+    rows = tagging.tagged_rows(counted, key, words, *MEASURES)
+    return rows.withColumn("lemma", tagging.lemma_of(F.col("token"), F.col("tag")))
 
 
-def statistics(annotated: DataFrame, key: str, text: str) -> DataFrame:
-    """Counts per document, all in place: no shuffle."""
-    return annotated.select(
-        key, F.length(text).alias("raw_length"), F.size(sentences(text)).alias("num_sentences"),
-        F.size(F.array_distinct("lemmas")).alias("unique_words"),
-        tagging.nouns("tags").alias("nouns"), tagging.verbs("tags").alias("verbs"),
-        tagging.others("tags").alias("others"), F.size("lemmas").alias("num_words"),
-        F.size("tokens").alias("num_tokens"), length_fraction(text).alias("raw_length_fraction"))
+# Per-document measures that are known before the words are looked at.
+MEASURES = ["raw_length", "num_sentences", "num_tokens"]
+
+
+def statistics(rows: DataFrame, key: str, top_nouns: int = 0) -> DataFrame:
+    """Counts per document from :func:`annotated_rows`; with ``top_nouns`` also ``top``, its most
+    frequent nouns as ``array<struct<negative, noun>>`` (ties alphabetical).
+
+    Words are first counted per (document, lemma), combined before the shuffle; the noun list is
+    bounded by one document's vocabulary.
+    """
+    is_noun, is_verb = F.col("tag").isin(tagging.NOUN_TAGS), F.col("tag").isin(tagging.VERB_TAGS)
+    per_lemma = rows.groupBy(key, "lemma").agg(
+        F.count_if(is_noun).alias("nouns"), F.count_if(is_verb).alias("verbs"),
+        F.count_if(~is_noun & ~is_verb).alias("others"), *[F.max(m).alias(m) for m in MEASURES])
+    top = []
+    if top_nouns:
+        nouns = F.collect_list(F.when(F.col("nouns") > 0, F.struct((-F.col("nouns")).alias("negative"),
+                                                                   F.col("lemma").alias("noun"))))
+        top = [F.slice(F.array_sort(nouns), 1, top_nouns).alias("top")]
+    return per_lemma.groupBy(key).agg(
+        *[F.max(m).alias(m) for m in MEASURES], F.count("lemma").alias("unique_words"),
+        *[F.sum(c).alias(c) for c in ("nouns", "verbs", "others")], *top,
+    ).withColumns({"num_words": F.col("nouns") + F.col("verbs") + F.col("others"),
+                   "raw_length_fraction": F.col("raw_length") / F.lit(LENGTH_SCALE)})
 
 
 def density_features(stats: DataFrame) -> DataFrame:
@@ -49,42 +69,38 @@ def density_features(stats: DataFrame) -> DataFrame:
         "toksxsent_fraction": ratio("num_tokens", "num_sentences") / SENTENCE_SCALE})
 
 
-def frequent_nouns(annotated: DataFrame, key: str, limit: int) -> DataFrame:
-    """``(key, noun, rank)``: the document's most frequent nouns, ties alphabetical."""
-    noun_lemmas = F.filter(F.arrays_zip(F.col("lemmas").alias("lemma"), F.col("tags").alias("tag")),
-                           lambda p: p.tag.isin(tagging.NOUN_TAGS))
-    counts = (annotated.select(key, F.explode(noun_lemmas).alias("p"))
-              .groupBy(key, F.col("p.lemma").alias("noun")).agg(F.count("*").alias("n")))
-    by_doc = Window.partitionBy(key).orderBy(F.desc("n"), "noun")
-    return (counts.withColumn("rank", F.row_number().over(by_doc))
-                  .filter(F.col("rank") <= limit).select(key, "noun", "rank"))
-
-
-def coherence(annotated: DataFrame, key: str, vectors: DataFrame,
+def coherence(stats: DataFrame, key: str, vectors: DataFrame,
               vector_key: Callable[[Column], Column] = lambda noun: noun,
               sizes: list[int] = NOUN_COUNTS) -> DataFrame:
-    """``(key, text_coherence_5, ...)``: mean cosine over all pairs of the n most frequent nouns.
+    """Statistics with ``text_coherence_<n>``: the mean cosine over all pairs of the document's n
+    most frequent nouns.
 
-    ``vectors`` is ``(word, vector)``; ``vector_key`` maps a noun to its ``word``. No pairs are
-    formed: with unit vectors u the pair sum is ``(|sum u|^2 - sum |u|^2) / 2``. A document keeps
-    at most ``max(sizes)`` vectors. Fewer than two nouns give 0.0.
+    ``stats`` carries ``top`` for at least ``max(sizes)`` nouns, ``vectors`` is ``(word, vector)``
+    and ``vector_key`` maps a noun to its ``word``. No pairs are formed: with unit vectors u the
+    pair sum is ``(|sum u|^2 - sum |u|^2) / 2``. Fewer than two nouns give 0.0.
     """
-    ranked = frequent_nouns(annotated, key, max(sizes)).withColumn("word", vector_key(F.col("noun")))
+    nouns = stats.select("*", F.posexplode_outer("top").alias("rank", "_n")).drop("top").withColumn(
+        "word", vector_key(F.col("_n.noun")))
     units = vectors.select("word", unit_vector("vector").alias("unit"))
-    found = salted_join(ranked, units, "word", [key])
-    kept = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "unit"))).alias("top"))
-    scores = kept.select(key, *[_mean_cosine(n).alias(f"text_coherence_{n}") for n in sizes])
-    return (annotated.select(key).join(scores, key, "left")
-            .fillna(0.0, subset=[f"text_coherence_{n}" for n in sizes]))
+    found = salted_join(nouns, units, "word", [key], "left")
+    kept = F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("rank", "unit")))
+    carried = [c for c in stats.columns if c not in (key, "top")]
+    per_doc = found.groupBy(key).agg(*[F.max(c).alias(c) for c in carried], F.array_sort(kept).alias("top"))
+    return per_doc.select(key, *carried, *[_mean_cosine(n).alias(f"text_coherence_{n}") for n in sizes])
 
 
 def _mean_cosine(n: int) -> Column:
-    vectors = F.transform(F.filter("top", lambda t: t["rank"] <= n), lambda t: t["unit"])
-    total = F.aggregate(F.slice(vectors, 2, n), F.get(vectors, F.lit(0)),
-                        lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    squares = F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v, v))
-    count = F.size(vectors)
-    return F.when(count < 2, F.lit(0.0)).otherwise((dot(total, total) - squares) / (count * (count - 1)))
+    vectors = F.transform(F.filter("top", lambda t: t["rank"] < n), lambda t: t["unit"])
+
+    def mean(vectors: Column) -> Column:
+        total = F.aggregate(F.slice(vectors, 2, n), F.get(vectors, F.lit(0)),
+                            lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        squares = F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v, v))
+        count = F.size(vectors)
+        return F.when(count < 2, F.lit(0.0)).otherwise(
+            (let(total, lambda v: dot(v, v)) - squares) / (count * (count - 1)))
+
+    return let(vectors, mean)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

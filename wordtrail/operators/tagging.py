@@ -42,17 +42,19 @@ WORD_TAGS = {
     "CD": ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eighteen"],
     "NNS": ["children", "feet", "men", "mice", "people", "teeth", "women"],
 }
-# Word endings and the tag they suggest, first hit wins.
-SUFFIX_TAGS = [
-    (r"^[^\p{L}\p{N}]+$", "SYM"),
-    (r"^[0-9][0-9.,]*$", "CD"),
-    (r"ing$", "VBG"),
-    (r"ed$", "VBD"),
-    (r"ly$", "RB"),
-    (r"(?:ous|ful|able|ible|ive|ish|al)$", "JJ"),
-    (r"(?:tion|ment|ness|ity|ance|ence|er|or)$", "NN"),
-    (r"(?:tions|ments|ers|ors)$", "NNS"),
-]
+# Word endings and the tag they suggest; no ending is part of another tag's ending.
+ENDING_TAGS = {
+    "VBG": ["ing"],
+    "VBD": ["ed"],
+    "RB": ["ly"],
+    "JJ": ["ous", "ful", "able", "ible", "ive", "ish", "al"],
+    "NN": ["tion", "ment", "ness", "ity", "ance", "ence", "er", "or"],
+    "NNS": ["tions", "ments", "ers", "ors"],
+}
+# Forms that are no words.
+SYMBOL = r"^[^\p{L}\p{N}]+$"
+NUMBER = r"^[0-9][0-9.,]*$"
+PROPER = r"^\p{Lu}\p{L}+$"
 # Tag names in words.
 TAG_NAMES = {
     "CC": "conjunction, coordinating", "CD": "cardinal number", "DT": "determiner",
@@ -86,46 +88,60 @@ LEMMAS = [
 ]
 
 
-def guess_tag(word: Column) -> Column:
-    """Tag of an unknown word from its form alone."""
-    lower = F.lower(word)
-    tag = None
-    for pattern, name in SUFFIX_TAGS:
-        hit = lower.rlike(pattern)
-        tag = F.when(hit, name) if tag is None else tag.when(hit, name)
-    return tag.when(word.rlike(r"^\p{Lu}\p{L}+$"), "NNP").otherwise("NN")
-
+def guess_tag(word: Column, lower: Column | None = None) -> Column:
+    """Tag of an unknown word from its form alone.
 
-def known_tag(word: Column) -> Column:
-    """Tag of a closed-class word, null for all others."""
-    lower = F.lower(word)
+    The patterns are tried only on words that do not begin with a plain letter, or that hold a
+    capital; all others are settled by comparing their last letters.
+    """
+    lower = F.lower(word) if lower is None else lower
+    first = F.substring(lower, 1, 1)
+    tag = (F.when(~first.between("a", "z") & lower.rlike(SYMBOL), "SYM")
+            .when(first.between("0", "9") & lower.rlike(NUMBER), "CD"))
+    for name, endings in ENDING_TAGS.items():
+        for size in sorted({len(e) for e in endings}):
+            tag = tag.when(F.right(lower, F.lit(size)).isin([e for e in endings if len(e) == size]), name)
+    return tag.when((word != lower) & word.rlike(PROPER), "NNP").otherwise("NN")
+
+
+def known_tag(lower: Column) -> Column:
+    """Tag of a closed-class word (given in lower case), null for all others."""
     tag = None
     for name, words in WORD_TAGS.items():
         hit = lower.isin(words)
         tag = F.when(hit, name) if tag is None else tag.when(hit, name)
-    return tag
+    return F.when(lower.isin([w for words in WORD_TAGS.values() for w in words]), tag)
 
 
-def tag_word(word: Column, before: Column) -> Column:
-    """Tag of one token: word list, then the preceding word, then the ending.
+def in_context(guess: Column, before: Column) -> Column:
+    """A guessed tag corrected by the preceding word (lower case, null at the start).
 
     After a determiner or possessive an open-class word in -ing, -ed or unknown form is a noun;
     after *to* or a modal it is a base verb; a capital opening a text is no proper noun.
     """
-    previous = F.lower(before)
-    guess = guess_tag(word)
-    nominal = previous.isin(WORD_TAGS["DT"] + WORD_TAGS["PRP$"]) & guess.isin("VBG", "VBD", "NN", "NNP")
-    verbal = previous.isin(WORD_TAGS["TO"] + WORD_TAGS["MD"]) & guess.isin("NN", "NNP")
-    opening = before.isNull() & (guess == "NNP")
-    return F.coalesce(known_tag(word),
-                      F.when(nominal & (guess != "NNP"), F.lit("NN")).when(verbal, F.lit("VB"))
-                       .when(opening, F.lit("NN")).otherwise(guess))
+    return (F.when(guess.isin("VBG", "VBD", "NN") & before.isin(AFTER_NOMINAL), "NN")
+             .when(guess.isin("NN", "NNP") & before.isin(AFTER_VERBAL), "VB")
+             .when((guess == "NNP") & before.isNull(), "NN").otherwise(guess))
+
+
+def tag_word(word: Column, lower: Column, before: Column) -> Column:
+    """Tag of one token: word list first, then the guess in its context."""
+    return F.coalesce(known_tag(lower), let(guess_tag(word, lower), lambda g: in_context(g, before)))
+
+
+# Words after which a noun, or a base verb, is expected.
+AFTER_NOMINAL = WORD_TAGS["DT"] + WORD_TAGS["PRP$"]
+AFTER_VERBAL = WORD_TAGS["TO"] + WORD_TAGS["MD"]
 
 
 def tag_tokens(tokens: Column | str) -> Column:
     """Array of Penn tags for one text's token array, in place."""
-    return let(_col(tokens), lambda words: F.transform(
-        words, lambda word, i: tag_word(word, F.when(i > 0, F.get(words, i - 1)))))
+    def tags(words: Column) -> Column:
+        lowered = F.transform(words, F.lower)
+        return let(lowered, lambda lowers: F.transform(
+            F.arrays_zip(words.alias("word"), lowers.alias("lower")),
+            lambda w, i: tag_word(w.word, w.lower, F.when(i > 0, F.get(lowers, i - 1)))))
+    return let(_col(tokens), tags)
 
 
 def tag_class(tag: Column | str) -> Column:
@@ -151,16 +167,27 @@ def others(tags: Column | str) -> Column:
     return count_tags(tags, NOUN_TAGS + VERB_TAGS, inside=False)
 
 
-def tagged_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Token table ``(key, pos, token, tag)``; no shuffle."""
-    pairs = let(tokens, lambda words: F.arrays_zip(words.alias("token"), tag_tokens(words).alias("tag")))
-    return df.select(key, F.posexplode(pairs).alias("pos", "t")).select(key, "pos", "t.token", "t.tag")
+def tagged_rows(df: DataFrame, key: str, tokens: Column, *carried: str) -> DataFrame:
+    """Token table ``(key, *carried, pos, token, tag)``; no shuffle.
+
+    The token and the one before it are exploded together, so that the tag rules run as compiled
+    row expressions. A text without tokens keeps one row with null token and tag.
+    """
+    words = df.select(key, *carried, tokens.alias("_words"))
+    before = F.concat(F.array(F.lit(None).cast("string")),
+                      F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))))
+    pairs = F.when(F.size("_words") > 0, F.arrays_zip(F.col("_words").alias("token"), before.alias("before")))
+    rows = words.select(key, *carried, F.posexplode_outer(pairs).alias("pos", "t")).select(
+        key, *carried, "pos", "t.token", F.lower("t.token").alias("_lower"), F.lower("t.before").alias("_before"))
+    guessed = rows.withColumn("_guess", guess_tag(F.col("token"), F.col("_lower")))
+    tag = F.coalesce(known_tag(F.col("_lower")), in_context(F.col("_guess"), F.col("_before")))
+    return guessed.select(key, *carried, "pos", "token", F.when(F.col("token").isNotNull(), tag).alias("tag"))
 
 
 def learn_tags(tagged: DataFrame) -> DataFrame:
     """Most frequent tag per lower-case word; ties go to the alphabetically first tag."""
-    counts = tagged.groupBy(F.lower("token").alias("word"), "tag").agg(F.count("*").alias("n"))
-    # max_by over a negated count and min over the tag: one aggregate, combined before the shuffle
+    seen = tagged.filter(F.col("token").isNotNull())
+    counts = seen.groupBy(F.lower("token").alias("word"), "tag").agg(F.count("*").alias("n"))
     return counts.groupBy("word").agg(
         F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
 
@@ -203,45 +230,42 @@ def explain(tags: DataFrame, column: str = "tag") -> DataFrame:
     return tags.join(F.broadcast(glossary), column, "left")
 
 
-def tag_codes(tags: Column | str) -> Column:
-    """One letter per tag: D determiner, J adjective, N noun, - anything else."""
-    code = lambda t: (F.when(t == "DT", "D").when(t.isin("JJ", "JJR", "JJS"), "J")
-                       .when(t.isin(NOUN_TAGS), "N").otherwise("-"))
-    return F.array_join(F.transform(_col(tags), code), "")
+# Control characters written before a token: it opens a chunk, goes on with it, or stands outside.
+OPENS, GOES_ON, OUTSIDE = "\u0002", "\u0001", "\u0003"
 
 
 def noun_chunk_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Noun chunks ``(key, chunk_no, start, stop, chunk)``: determiner, adjectives, nouns.
 
-    The tag letters are matched as text, so spans in the letter string are token spans.
+    The tags become one letter per token; a determiner or adjective that leads to no noun is
+    blanked, after which a token and the letter before it decide whether it opens a chunk. The
+    tokens are then joined with their marks and the chunks cut out of that string: linear in the
+    text, no shuffle, and no repeated group in a pattern (those recurse on long chunks).
     """
-    tagged = df.select(key, tokens.alias("_tokens")).withColumn("_codes", tag_codes(tag_tokens("_tokens")))
-    words = tagged.select(key, "_tokens", F.posexplode(_code_spans("_codes")).alias("chunk_no", "s"))
-    return words.select(key, "chunk_no", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"),
-                        F.array_join(F.slice("_tokens", F.col("s.start") + 1,
-                                             F.col("s.stop") - F.col("s.start")), " ").alias("chunk"))
-
-
-# Fixed value: the chunk pattern over tag letters.
-CHUNK_PATTERN = "D?J*N+"
-
-
-def _code_spans(codes: str) -> Column:
-    """Token spans of all chunks: after each chunk's last letter a bar is set and its first letter
-    is marked, so starts and stops are the positions of single characters."""
-    marked = F.regexp_replace(F.col(codes), f"({CHUNK_PATTERN})", "<$1>")
-    opens = _positions(marked, "<")
-    closes = _positions(marked, ">")
-    # i-th opening has i openings and i closings before it; its closing one opening more
-    return F.zip_with(F.transform(opens, lambda p, i: p - 2 * i),
-                      F.transform(closes, lambda p, i: p - 2 * i - 1),
-                      lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
-
-
-def _positions(text: Column, letter: str) -> Column:
-    """0-based positions of one letter in a string."""
-    letters = F.split(text, "")
-    return F.filter(F.transform(letters, lambda c, i: F.when(c == letter, i)), lambda p: p.isNotNull())
+    def letter(tag: Column) -> Column:
+        return F.when(tag == "DT", "D").when(tag.isin("JJ", "JJR", "JJS"), "J").when(tag.isin(NOUN_TAGS), "N").otherwise("-")
+
+    def marked(words: Column) -> Column:
+        codes = F.array_join(F.transform(tag_tokens(words), letter), "")
+        settled = F.regexp_replace(F.regexp_replace(codes, "D(?!J*N)", "-"), "J(?!J*N)", "-")
+
+        def with_marks(letters: Column) -> Column:
+            def piece(pair: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(letters, i - 1)).otherwise("-")
+                opens = ((pair.c == "D") | ((pair.c == "J") & ~before.isin("D", "J"))
+                         | ((pair.c == "N") & ~before.isin("D", "J", "N")))
+                return (F.when(opens, F.concat(F.lit(OPENS), i.cast("string"), F.lit(":"), pair.w))
+                         .when(pair.c.isin("D", "J", "N"), F.concat(F.lit(GOES_ON), pair.w))
+                         .otherwise(OUTSIDE))
+            return F.array_join(F.transform(F.arrays_zip(words.alias("w"), letters.alias("c")), piece), "")
+        return let(F.split(settled, ""), with_marks)
+
+    chunks = regex.all_matches(let(tokens, marked), f"{OPENS}[^{OPENS}{OUTSIDE}]*")
+    rows = df.select(key, F.posexplode(chunks).alias("chunk_no", "m"))
+    start = F.regexp_extract("m", "^.([0-9]+):", 1).cast("int")
+    words = F.split(F.regexp_replace("m", "^.[0-9]+:", ""), GOES_ON)
+    return rows.select(key, "chunk_no", start.alias("start"), (start + F.size(words)).alias("stop"),
+                       F.array_join(words, " ").alias("chunk"))
 
 
 # A small gazetteer of multi-word and single names with their labels.

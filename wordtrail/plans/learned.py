@@ -22,12 +22,12 @@ SMALL_BOOSTING = {"maxDepth": [2, 3], "maxIter": [2, 3]}
 
 
 def term_counts(t):
-    return tokens.term_counts(t.documents, "doc_id", tokens.word_tokens("text"))
+    return tokens.term_counts(t.texts, "doc_id", tokens.word_tokens("text"))
 
 
 def refined(t):
     words = tokens.remove_stop_words(tokens.word_tokens("text"), ENGLISH)
-    return t.documents.select("doc_id", "lang", words.alias("tokens"))
+    return t.texts.select("doc_id", "lang", words.alias("tokens"))
 
 
 def vectors(t):

@@ -25,9 +25,10 @@ def tagged_ctes(source: str) -> str:
     """CTEs from ``source(doc_id, p, token)`` to ``tagged(doc_id, p, token, tag)``."""
     known = " ".join(f"WHEN lower(token) IN ({quoted_list(words)}) THEN '{tag}'"
                      for tag, words in tagging.WORD_TAGS.items())
-    guess = " ".join(f"WHEN regexp_matches(lower(token), '{p}') THEN '{tag}'" for p, tag in tagging.SUFFIX_TAGS)
-    nominal = quoted_list(tagging.WORD_TAGS["DT"] + tagging.WORD_TAGS["PRP$"])
-    verbal = quoted_list(tagging.WORD_TAGS["TO"] + tagging.WORD_TAGS["MD"])
+    forms = {tagging.SYMBOL: "SYM", tagging.NUMBER: "CD"}
+    forms |= {f"({'|'.join(endings)})$": tag for tag, endings in tagging.ENDING_TAGS.items()}
+    guess = " ".join(f"WHEN regexp_matches(lower(token), '{p}') THEN '{tag}'" for p, tag in forms.items())
+    nominal, verbal = quoted_list(tagging.AFTER_NOMINAL), quoted_list(tagging.AFTER_VERBAL)
     return rf"""
 prv AS (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM {source}),
 gss AS (SELECT *, CASE {known} END AS known, CASE {guess}
@@ -54,18 +55,18 @@ def rule_token_sql(text: str) -> str:
 @query("t1_whitespace_tokens", r"""
 SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(lower(text), '\s+$', ''), '\s'), '|') AS tokens FROM documents""")
 def whitespace_tokens(t):
-    split = Tokenizer(inputCol="text", outputCol="tokens").transform(t.documents)
+    split = Tokenizer(inputCol="text", outputCol="tokens").transform(t.texts)
     return split.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query("t2_word_tokens", f"SELECT doc_id, array_to_string({words_sql('text')}, '|') AS tokens FROM documents")
 def word_tokens(t):
-    return t.documents.select("doc_id", F.array_join(tokens.word_tokens("text"), "|").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(tokens.word_tokens("text"), "|").alias("tokens"))
 
 
 @query("t3_rule_tokens", f"SELECT doc_id, array_to_string({rule_token_sql('text')}, ' ') AS tokens FROM documents")
 def rule_tokens(t):
-    return t.documents.select("doc_id", F.array_join(tokens.rule_tokens("text"), " ").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(tokens.rule_tokens("text"), " ").alias("tokens"))
 
 
 @query("t4_normalize", r"""
@@ -73,13 +74,13 @@ SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(tex
   lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}_\s]', '', 'g')), lambda x: x <> ''), ' ') AS tokens FROM documents""")
 def normalize(t):
     clean = tokens.normalize(regex.all_matches("text", r"[^ \t\n]+"))
-    return t.documents.select("doc_id", F.array_join(clean, " ").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(clean, " ").alias("tokens"))
 
 
 @query("t5_stop_words_removed", f"""
 SELECT doc_id, array_to_string(list_filter({words_sql('text')}, lambda x: x NOT IN ({STOP_SQL})), ' ') AS refined FROM documents""")
 def stop_words_removed(t):
-    split = t.documents.select("doc_id", tokens.word_tokens("text").alias("tokens"))
+    split = t.texts.select("doc_id", tokens.word_tokens("text").alias("tokens"))
     refined = StopWordsRemover(inputCol="tokens", outputCol="refined").transform(split)
     return refined.select("doc_id", F.array_join("refined", " ").alias("refined"))
 
@@ -88,7 +89,7 @@ def stop_words_removed(t):
 SELECT term AS token, sum(tf)::bigint AS n FROM (SELECT unnest({words_sql('text')}) AS term, 1 AS tf FROM documents)
 WHERE term NOT IN ({STOP_SQL}) GROUP BY 1""")
 def stop_words_anti_join(t):
-    counts = tokens.term_counts(t.documents, "doc_id", tokens.word_tokens("text")).withColumnRenamed("term", "token")
+    counts = tokens.term_counts(t.texts, "doc_id", tokens.word_tokens("text")).withColumnRenamed("term", "token")
     kept = tokens.stop_rows_removed(counts, word_table(t.spark, ENGLISH), ["doc_id"])
     return kept.groupBy("token").agg(F.sum("tf").alias("n"))
 
@@ -102,7 +103,7 @@ FROM freq LEFT JOIN cut ON freq.token = cut.token GROUP BY 1""")
 def stop_list(t):
     stops = tokens.edit_stop_table(word_table(t.spark, ENGLISH), add=["btw"], remove=["into"])
     flagged = stops.withColumn("_stop", F.lit(True))
-    freq = tokens.word_frequency(t.documents, tokens.word_tokens("text"))
+    freq = tokens.word_frequency(t.texts, tokens.word_tokens("text"))
     size = stops.agg(F.count("*").alias("n")).scalar()
     return lookup_join(freq, flagged, "token", ["n"]).select(
         "token", "n", F.coalesce("_stop", F.lit(False)).alias("is_stop"), size.alias("stop_words"))
@@ -115,7 +116,7 @@ SENTENCES = r"""list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?
 @query("t7_sentences", f"""
 SELECT doc_id, unnest(range(0, len(s))) AS sent_id, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)""")
 def sentences(t):
-    return tokens.sentence_rows(t.documents, "doc_id", "text").withColumn("sent_id", F.col("sent_id").cast("bigint"))
+    return tokens.sentence_rows(t.texts, "doc_id", "text").withColumn("sent_id", F.col("sent_id").cast("bigint"))
 
 
 @query("t7_sentence_starts", f"""
@@ -124,19 +125,19 @@ w AS (SELECT doc_id, sent_id, regexp_extract_all(sentence, '{WORD}') AS w FROM s
 SELECT doc_id, count(*) FILTER (len(w) > 0) AS starts, sum(len(w))::bigint AS tokens, max(len(w)) AS longest FROM w
 GROUP BY 1 HAVING sum(len(w)) > 0""")
 def sentence_starts(t):
-    rows = tokens.sentence_tokens(t.documents, "doc_id", "text")
+    rows = tokens.sentence_tokens(t.texts, "doc_id", "text")
     per_sentence = rows.groupBy("doc_id", "sent_id").agg(F.count_if("is_sent_start").alias("s"), F.count("*").alias("n"))
     return per_sentence.groupBy("doc_id").agg(F.sum("s").alias("starts"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
 
 
 @query("t8_token_counts", f"SELECT doc_id, len({words_sql('text')}) AS tokens FROM documents")
 def token_counts(t):
-    return t.documents.select("doc_id", F.size(tokens.word_tokens("text")).cast("bigint").alias("tokens"))
+    return t.texts.select("doc_id", F.size(tokens.word_tokens("text")).cast("bigint").alias("tokens"))
 
 
 @query("t8_vocabulary_size", f"SELECT count(DISTINCT w) AS words FROM (SELECT unnest({words_sql('text')}) AS w FROM documents)")
 def vocabulary_size(t):
-    return tokens.word_frequency(t.documents, tokens.word_tokens("text")).agg(F.count("*").alias("words"))
+    return tokens.word_frequency(t.texts, tokens.word_tokens("text")).agg(F.count("*").alias("words"))
 
 
 @query("t9_token_access", f"""
@@ -144,7 +145,7 @@ WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents)
 SELECT doc_id, w[3] AS third, array_to_string(w[3:5], ' ') AS middle, array_to_string(w[greatest(len(w) - 3, 1):], ' ') AS last_four,
   w[len(w)] AS last FROM w""")
 def token_access(t):
-    words = t.documents.select("doc_id", tokens.word_tokens("text").alias("w"))
+    words = t.texts.select("doc_id", tokens.word_tokens("text").alias("w"))
     return words.select("doc_id", tokens.token_at("w", 2).alias("third"),
                         F.array_join(tokens.span("w", 2, 5), " ").alias("middle"),
                         F.array_join(tokens.last_tokens("w", 4), " ").alias("last_four"),
@@ -157,7 +158,7 @@ SELECT token, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
   '\p{{Lu}}', 'X', 'g'), '\p{{Ll}}', 'x', 'g'), '[0-9]', 'd', 'g'), 'X{{5,}}', 'XXXX', 'g'), 'x{{5,}}', 'xxxx', 'g'), 'd{{5,}}', 'dddd', 'g') AS shape,
   regexp_matches(token, '^\p{{L}}+$') AS is_alpha, lower(token) IN ({STOP_SQL}) AS is_stop FROM f""")
 def token_attributes(t):
-    freq = tokens.word_frequency(t.documents, regex.all_matches("text", r"[^ \t\n]+"))
+    freq = tokens.word_frequency(t.texts, regex.all_matches("text", r"[^ \t\n]+"))
     return tokens.with_attributes(freq, ENGLISH)
 
 
@@ -165,8 +166,8 @@ def token_attributes(t):
 WITH {token_cte()}, {tagged_ctes('tok')}, {LEMMA_CTES}
 SELECT token, tag, lemma, count(*) AS n FROM lemmas GROUP BY 1, 2, 3""")
 def lemmas(t):
-    rows = tagging.tagged_rows(t.documents, "doc_id", tokens.word_tokens("text"))
-    per_word = rows.groupBy("token", "tag").agg(F.count("*").alias("n"))
+    rows = tagging.tagged_rows(t.texts, "doc_id", tokens.word_tokens("text"))
+    per_word = rows.filter(F.col("token").isNotNull()).groupBy("token", "tag").agg(F.count("*").alias("n"))
     return tagging.with_lemmas(per_word, tagging.lemma_table(t.spark), ["n"]).select("token", "tag", "lemma", "n")
 
 
@@ -175,7 +176,7 @@ WITH {token_cte(lower=False)}, {tagged_ctes('tok')}
 SELECT word, tag FROM (SELECT lower(token) AS word, tag, row_number() OVER (PARTITION BY lower(token) ORDER BY count(*) DESC, tag) AS r
 FROM tagged GROUP BY 1, 2) WHERE r = 1""")
 def learned_tags(t):
-    rows = tagging.tagged_rows(t.documents, "doc_id", tokens.word_tokens("text", lower=False))
+    rows = tagging.tagged_rows(t.texts, "doc_id", tokens.word_tokens("text", lower=False))
     return tagging.learn_tags(rows)
 
 
@@ -199,19 +200,19 @@ WITH {token_cte(lower=False)}, {tagged_ctes('tok')}
 SELECT t.tag, t.n, v.meaning FROM (SELECT tag, count(*) AS n FROM tagged GROUP BY 1) t
 LEFT JOIN (VALUES {', '.join(f"('{k}','{v}')" for k, v in tagging.TAG_NAMES.items())}) v(tag, meaning) ON t.tag = v.tag""")
 def tag_glossary(t):
-    rows = tagging.tagged_rows(t.documents, "doc_id", tokens.word_tokens("text", lower=False))
-    return tagging.explain(rows.groupBy("tag").agg(F.count("*").alias("n"))).select("tag", "n", "meaning")
+    rows = tagging.tagged_rows(t.texts, "doc_id", tokens.word_tokens("text", lower=False))
+    return tagging.explain(rows.filter(F.col("tag").isNotNull()).groupBy("tag").agg(F.count("*").alias("n"))).select("tag", "n", "meaning")
 
 
 @query("t14_tag_counts", f"""
 WITH {token_cte(lower=False)}, {tagged_ctes('tok')}
-SELECT doc_id, count(*) FILTER (tag IN ({NOUNS})) AS nouns, count(*) FILTER (tag IN ({VERBS})) AS verbs,
-  count(*) FILTER (tag NOT IN ({NOUNS}, {VERBS})) AS others FROM tagged GROUP BY 1""")
+SELECT d.doc_id, count(*) FILTER (tag IN ({NOUNS})) AS nouns, count(*) FILTER (tag IN ({VERBS})) AS verbs,
+  count(*) FILTER (tag NOT IN ({NOUNS}, {VERBS})) AS others FROM documents d LEFT JOIN tagged ON d.doc_id = tagged.doc_id GROUP BY 1""")
 def tag_counts(t):
-    tagged = t.documents.select("doc_id", tagging.tag_tokens(tokens.word_tokens("text", lower=False)).alias("tags"))
-    return tagged.filter(F.size("tags") > 0).select("doc_id", *[
-        measure("tags").cast("bigint").alias(name) for name, measure in
-        (("nouns", tagging.nouns), ("verbs", tagging.verbs), ("others", tagging.others))])
+    rows = tagging.tagged_rows(t.texts, "doc_id", tokens.word_tokens("text", lower=False))
+    noun, verb = F.col("tag").isin(tagging.NOUN_TAGS), F.col("tag").isin(tagging.VERB_TAGS)
+    return rows.groupBy("doc_id").agg(F.count_if(noun).alias("nouns"), F.count_if(verb).alias("verbs"),
+                                      F.count_if(~noun & ~verb).alias("others"))
 
 
 @query("t15_pattern_entities", " UNION ALL ".join(
@@ -219,7 +220,7 @@ def tag_counts(t):
     f"(SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html || ' ' || url FROM pages)"
     for label, p in tagging.ENTITY_PATTERNS))
 def pattern_entities(t):
-    texts = t.documents.select("doc_id", "text").unionByName(
+    texts = t.texts.select("doc_id", "text").unionByName(
         t.pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "html", "url").alias("text")))
     return tagging.pattern_entities(texts, "doc_id", "text")
 
@@ -237,7 +238,7 @@ SELECT doc_id, label, entity, count(*) AS n FROM ph
 JOIN (VALUES {', '.join(f"('{p}','{l}')" for p, l in NAMES)}) v(phrase, label) ON lower(entity) = phrase GROUP BY 1, 2, 3""")
 def name_entities(t):
     names = t.spark.createDataFrame(NAMES, "phrase string, label string")
-    found = tagging.name_entities(t.documents, "doc_id", tokens.word_tokens("text", lower=False), names)
+    found = tagging.name_entities(t.texts, "doc_id", tokens.word_tokens("text", lower=False), names)
     return found.groupBy("doc_id", "label", "entity").agg(F.count("*").alias("n"))
 
 
@@ -246,31 +247,31 @@ WITH rt AS (SELECT doc_id, {rule_token_sql('text')} AS w FROM documents),
 rtok AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS token FROM rt), {tagged_ctes('rtok')},
 codes AS (SELECT doc_id, string_agg(CASE WHEN tag = 'DT' THEN 'D' WHEN tag = 'JJ' THEN 'J' WHEN tag IN ({NOUNS}) THEN 'N' ELSE '-' END, '' ORDER BY p) AS c
   FROM tagged GROUP BY 1),
-parts AS (SELECT doc_id, string_split_regex(c, '{tagging.CHUNK_PATTERN}') AS gaps, regexp_extract_all(c, '{tagging.CHUNK_PATTERN}') AS ms FROM codes),
+parts AS (SELECT doc_id, string_split_regex(c, 'D?J*N+') AS gaps, regexp_extract_all(c, 'D?J*N+') AS ms FROM codes),
 u AS (SELECT doc_id, unnest(range(0, len(ms))) AS chunk_no, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m FROM parts),
 e AS (SELECT doc_id, chunk_no, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY chunk_no)::bigint AS stop_at FROM u)
 SELECT e.doc_id, chunk_no, stop_at - length(m) AS start_at, stop_at, array_to_string(rt.w[stop_at - length(m) + 1:stop_at], ' ') AS chunk
 FROM e JOIN rt ON e.doc_id = rt.doc_id""")
 def noun_chunks(t):
-    chunks = tagging.noun_chunk_rows(t.documents, "doc_id", tokens.rule_tokens("text"))
+    chunks = tagging.noun_chunk_rows(t.texts, "doc_id", tokens.rule_tokens("text"))
     return chunks.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                          F.col("start").cast("bigint").alias("start_at"), F.col("stop").cast("bigint").alias("stop_at"), "chunk")
 
 
 @query("t17_porter_stems")
 def porter_stems(t):
-    words = tokens.word_frequency(t.documents, tokens.word_tokens("text"))
+    words = tokens.word_frequency(t.texts, tokens.word_tokens("text"))
     return stems.stem_vocabulary(words, "porter")
 
 
 @query("t17_porter2_stems")
 def porter2_stems(t):
-    words = tokens.word_frequency(t.documents, tokens.word_tokens("text"))
+    words = tokens.word_frequency(t.texts, tokens.word_tokens("text"))
     return stems.stem_vocabulary(words, "porter2")
 
 
 def stem_counts(t):
-    return tokens.term_counts(t.documents, "doc_id", tokens.word_tokens("text")).withColumnRenamed("term", "token")
+    return tokens.term_counts(t.texts, "doc_id", tokens.word_tokens("text")).withColumnRenamed("term", "token")
 
 
 @query("t18_stem_index")
@@ -285,7 +286,7 @@ def variant_search(t):
 
 @query("t18_variants")
 def variants(t):
-    vocabulary = stems.stem_vocabulary(tokens.word_frequency(t.documents, tokens.word_tokens("text")))
+    vocabulary = stems.stem_vocabulary(tokens.word_frequency(t.texts, tokens.word_tokens("text")))
     return stems.variants(vocabulary).select("stem", F.array_join("words", " ").alias("words"))
 
 
@@ -308,15 +309,15 @@ RATIOS = {"words_fraction": "num_words / nullif(num_tokens, 0)", "nouns_fraction
           "raw_length_fraction": "raw_length / 2072.0::double"}
 
 
-def statistics(t):
-    annotated = profile.annotate(t.documents.select("doc_id", "text"), "text", ENGLISH)
-    return annotated, profile.statistics(annotated, "doc_id", "text")
+def statistics(t, top_nouns: int = 0):
+    rows = profile.annotated_rows(t.texts, "doc_id", "text", ENGLISH)
+    return profile.statistics(rows, "doc_id", top_nouns)
 
 
 @query("t19_density_features", f"WITH {PROFILE_CTES} SELECT doc_id, " + ", ".join(
     f"round({e}, 6) AS {n}" for n, e in RATIOS.items()) + " FROM stats")
 def density_features(t):
-    ratios = profile.density_features(statistics(t)[1])
+    ratios = profile.density_features(statistics(t))
     return ratios.select("doc_id", *[F.round(n, 6).alias(n) for n in RATIOS])
 
 
@@ -330,38 +331,39 @@ co AS (SELECT a.doc_id, {', '.join(f'avg(list_cosine_similarity(a.v, b.v)) FILTE
 COHERENCE_COLUMNS = ", ".join(f"round(coalesce(c{n}, 0), 5) + 0.0 AS text_coherence_{n}" for n in profile.NOUN_COUNTS)
 
 
-def coherences(t, annotated):
+def with_coherence(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
     count = t.embeddings.agg(F.count("*").alias("n")).scalar()
-    scores = profile.coherence(annotated, "doc_id", vectors, lambda noun: hash32(noun) % count)
-    return scores.select("doc_id", *[(F.round(f"text_coherence_{n}", 5) + F.lit(0.0)).alias(f"text_coherence_{n}")
-                                     for n in profile.NOUN_COUNTS])
+    scores = profile.coherence(statistics(t, max(profile.NOUN_COUNTS)), "doc_id", vectors,
+                               lambda noun: hash32(noun) % count)
+    return scores.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in scores.columns if c.startswith("text_coherence")})
 
 
 @query("t20_document_statistics", f"""
 WITH {PROFILE_CTES}, {COHERENCE_CTES} SELECT stats.doc_id, {', '.join(COUNTS)}, {COHERENCE_COLUMNS}
 FROM stats LEFT JOIN co ON stats.doc_id = co.doc_id""")
 def document_statistics(t):
-    annotated, stats = statistics(t)
-    counted = stats.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in COUNTS])
-    return counted.join(coherences(t, annotated), "doc_id")
+    stats = with_coherence(t)
+    return stats.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in COUNTS],
+                        *[c for c in stats.columns if c.startswith("text_coherence")])
 
 
 @query("t21_text_coherence", f"""
 WITH {PROFILE_CTES}, {COHERENCE_CTES} SELECT d.doc_id, {COHERENCE_COLUMNS} FROM documents d LEFT JOIN co ON d.doc_id = co.doc_id""")
 def text_coherence(t):
-    return coherences(t, statistics(t)[0])
+    stats = with_coherence(t)
+    return stats.select("doc_id", *[c for c in stats.columns if c.startswith("text_coherence")])
 
 
 @query("t22_length_profile", f"""
 SELECT lang, round(avg(length(text)), 4) AS mean_length, round(avg(len({words_sql('text')})), 4) AS mean_tokens, count(*) AS n
 FROM documents GROUP BY 1""")
 def length_profile(t):
-    means = profile.length_profile(t.documents, "lang", "text", tokens.word_tokens("text"))
+    means = profile.length_profile(t.texts, "lang", "text", tokens.word_tokens("text"))
     return means.select("lang", F.round("mean_length", 4).alias("mean_length"), F.round("mean_tokens", 4).alias("mean_tokens"), "n")
 
 
 @query("t23_word_frequency", f"""
 SELECT token, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token""")
 def word_frequency(t):
-    return tokens.word_frequency(t.documents, tokens.word_tokens("text")).orderBy(F.desc("n"), "token")
+    return tokens.word_frequency(t.texts, tokens.word_tokens("text")).orderBy(F.desc("n"), "token")
