@@ -39,7 +39,8 @@ def tf_idf(counts: DataFrame, key: str, documents: DataFrame, min_doc_freq: int
     spread over ``salts`` copies of their document frequency.
     """
     total = documents.agg(F.count("*").cast("double").alias("m")).scalar()
-    freq = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # reading tf here keeps both uses of the counts alike, so their shuffle is done once
+    freq = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.when(F.col("df") >= min_doc_freq, F.ln((total + 1.0) / (F.col("df") + 1.0))).otherwise(0.0)
     weighted = freq.withColumn("_idf", idf)
     return salted_join(counts, weighted, "term", [key], salts=salts).select(

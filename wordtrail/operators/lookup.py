@@ -20,7 +20,9 @@ def salted_join(rows: DataFrame, table: DataFrame, on: str, spread: list[Column
     Every key of ``table`` is repeated ``salts`` times and the rows of one key are spread over
     those copies by a hash of ``spread``, so the rows of one word go to several tasks.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    # never null, so that no filter on the salt is pushed into just one use of ``rows``
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"), F.lit(0))
+    salted = rows.withColumn("_salt", salt)
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 

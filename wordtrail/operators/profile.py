@@ -81,26 +81,34 @@ def coherence(stats: DataFrame, key: str, vectors: DataFrame,
     """
     nouns = stats.select("*", F.posexplode_outer("top").alias("rank", "_n")).drop("top").withColumn(
         "word", vector_key(F.col("_n.noun")))
-    units = vectors.select("word", unit_vector("vector").alias("unit"))
+    units = vectors.select("word", unit_vector("vector").alias("unit")).withColumn(
+        "square", F.round(dot(F.col("unit"), F.col("unit"))))
     found = salted_join(nouns, units, "word", [key], "left")
-    kept = F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("rank", "unit")))
+    kept = F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("rank", "unit", "square")))
     carried = [c for c in stats.columns if c not in (key, "top")]
     per_doc = found.groupBy(key).agg(*[F.max(c).alias(c) for c in carried], F.array_sort(kept).alias("top"))
-    return per_doc.select(key, *carried, *[_mean_cosine(n).alias(f"text_coherence_{n}") for n in sizes])
-
-
-def _mean_cosine(n: int) -> Column:
-    vectors = F.transform(F.filter("top", lambda t: t["rank"] < n), lambda t: t["unit"])
-
-    def mean(vectors: Column) -> Column:
-        total = F.aggregate(F.slice(vectors, 2, n), F.get(vectors, F.lit(0)),
-                            lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-        squares = F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v, v))
-        count = F.size(vectors)
-        return F.when(count < 2, F.lit(0.0)).otherwise(
-            (let(total, lambda v: dot(v, v)) - squares) / (count * (count - 1)))
-
-    return let(vectors, mean)
+    scored = per_doc.select(key, *carried, _mean_cosines(sizes).alias("_scores"))
+    return scored.select(key, *carried, *[F.get("_scores", F.lit(i)).alias(f"text_coherence_{n}")
+                                          for i, n in enumerate(sizes)])
+
+
+def _mean_cosines(sizes: list[int]) -> Column:
+    """Mean pair cosine of the first n vectors for every n in ascending ``sizes``; the vector sum
+    grows from one size to the next."""
+    def step(i: int, total: Column, means: list[Column]) -> Column:
+        if i == len(sizes):
+            return F.array(*means)
+        start, stop = (sizes[i - 1] if i else 0), sizes[i]
+        block = F.filter("top", lambda t: (t["rank"] >= start) & (t["rank"] < stop))
+        grown = F.aggregate(block, total, lambda s, v: F.zip_with(s, v.unit, lambda x, y: x + y))
+        upto = F.filter("top", lambda t: t["rank"] < stop)
+        squares = F.aggregate(upto, F.lit(0.0), lambda s, v: s + v.square)
+        pairs = F.size(upto) * (F.size(upto) - 1)
+        return let(grown, lambda t: step(i + 1, t, [*means, F.when(pairs > 0, (dot(t, t) - squares) / pairs)
+                                                    .otherwise(0.0)]))
+
+    zeros = F.transform(F.get("top", F.lit(0)).unit, lambda x: F.lit(0.0))
+    return step(0, zeros, [])
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -17,7 +17,8 @@ def stem_vocabulary(tokens: DataFrame, algorithm: str = "porter") -> DataFrame:
 
 def stem_index(counts: DataFrame, key: str, algorithm: str = "porter") -> DataFrame:
     """Inverted index ``(stem, key, tf)`` from ``(key, token, tf)`` counts."""
-    stems = stem_vocabulary(counts, algorithm)
+    # reading tf here keeps both uses of the counts alike, so their shuffle is done once
+    stems = stem_vocabulary(counts.filter(F.col("tf") > 0), algorithm)
     joined = salted_join(counts, stems, "token", [key])
     return joined.groupBy("stem", key).agg(F.sum("tf").alias("tf"))
 
