@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordtrail.operators.scan import CHUNK, DEFAULT_CHUNKS, running_sums, with_chunks
+from wordtrail.operators.scan import CHUNK, running_sums, with_chunks
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: list[int]) -> DataFrame:
@@ -46,14 +46,14 @@ def score_counts(df: DataFrame, score: str, truth: str) -> DataFrame:
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
 
 
-def _accumulated(counts: DataFrame, descending: bool, chunks: int) -> DataFrame:
+def _accumulated(counts: DataFrame, descending: bool, chunks: int | None) -> DataFrame:
     """Running positives and negatives along the score, by chunks rather than in one task."""
     order = counts.withColumn("_order", -F.col("score") if descending else F.col("score"))
     sums = {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}
     return running_sums(with_chunks(order, "_order", chunks), [], ["_order"], sums).drop(CHUNK, "_order")
 
 
-def area_under_roc(df: DataFrame, score: str, truth: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+def area_under_roc(df: DataFrame, score: str, truth: str, chunks: int | None = None) -> DataFrame:
     """Share of (positive, negative) pairs ranked right, ties counting half; one row ``auc``."""
     counts = _accumulated(score_counts(df, score, truth), False, chunks)
     below = F.col("cum_neg") - F.col("neg")
@@ -62,7 +62,7 @@ def area_under_roc(df: DataFrame, score: str, truth: str, chunks: int = DEFAULT_
     return counts.agg(F.try_divide(right, pairs).alias("auc"))
 
 
-def curve_points(df: DataFrame, score: str, truth: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+def curve_points(df: DataFrame, score: str, truth: str, chunks: int | None = None) -> DataFrame:
     """One row per distinct threshold: ``score, fpr, recall, precision``."""
     counts = _accumulated(score_counts(df, score, truth), True, chunks)
     totals = df.agg(F.struct(F.count_if(F.col(truth) == 1).alias("pos"),

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wordtrail.operators.scan import (CHUNK, DEFAULT_CHUNKS, by_heat, hot_keys, is_hot, join_same,
-                                      running, running_sums)
+from wordtrail.operators.scan import (CHUNK, by_heat, hot_keys, is_hot, join_same, running,
+                                      running_sums)
 
 # Fixed value: what stands before the first page of a user.
 START = "started"
@@ -23,7 +23,7 @@ def page_popularity(events: DataFrame, user: str = "user_id", page: str = "page"
 
 
 def mark_runs(events: DataFrame, user: str, page: str, order: list[str],
-              hot: Sequence | None = None, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+              hot: Sequence | None = None, chunks: int | None = None) -> DataFrame:
     """Events with ``previous_page`` ('started' first), ``indicator`` (page changed) and
     ``run`` (number of changes so far: 1, 2, ...)."""
 
@@ -48,7 +48,7 @@ def mark_runs(events: DataFrame, user: str, page: str, order: list[str],
 
 
 def run_times(marked: DataFrame, user: str, time: str, order: list[str],
-              hot: Sequence | None = None, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+              hot: Sequence | None = None, chunks: int | None = None) -> DataFrame:
     """Marked events with the running time inside their run (``run_time``)."""
 
     def plain(df: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def run_times(marked: DataFrame, user: str, time: str, order: list[str],
 
 def collapse_runs(events: DataFrame, user: str, page: str, time: str, converted: Column,
                   order: list[str], hot: Sequence | None = None,
-                  chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+                  chunks: int | None = None) -> DataFrame:
     """One row per run: ``(user, run, page, run_time, converted)``.
 
     Ordinary users: window and grouping share the shuffle by user. Hot users: runs are collapsed
@@ -125,7 +125,8 @@ def running_lists(runs: DataFrame, user: str, part_size: int = 1000) -> DataFram
     """Runs with the list of pages and times walked so far (within their part).
 
     The result grows with the square of the list length, so the lists restart every
-    ``part_size`` runs; the parts before one are complete in their own last rows.
+    ``part_size`` runs; the parts before one are complete in their own last rows. Where only the
+    longest list is wanted, :func:`journeys` builds it once instead of growing it.
     """
     part = F.floor((F.col("run") - 1) / part_size).cast("int")
     so_far = running([user, "part"], ["run"])
@@ -134,12 +135,6 @@ def running_lists(runs: DataFrame, user: str, part_size: int = 1000) -> DataFram
         "times_so_far": F.collect_list("run_time").over(so_far)})
 
 
-def final_lists(lists: DataFrame, user: str) -> DataFrame:
-    """The longest running list of every user and part, without the shorter ones."""
-    return lists.groupBy(user, "part").agg(
-        F.max_by("pages_so_far", "run").alias("pages"), F.max_by("times_so_far", "run").alias("times"))
-
-
 def one_user(events: DataFrame, user: str, who, order: list[str]) -> DataFrame:
     """Trace of a single user, in order."""
     return events.filter(F.col(user) == who).orderBy(*order)

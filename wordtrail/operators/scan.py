@@ -15,7 +15,7 @@ from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = "_chunk"
-DEFAULT_CHUNKS = 256
+MIN_CHUNKS, MAX_CHUNKS = 64, 4096
 # A key is hot when it owns more rows than both limits, so there are at most 1 / HOT_SHARE of them.
 HOT_ROWS = 5_000_000
 HOT_SHARE = 1e-4
@@ -40,7 +40,7 @@ def is_hot(key: str, hot: Sequence) -> Column:
 
 def by_heat(df: DataFrame, key: str, order: str, plain: Callable[[DataFrame], DataFrame],
             chunked: Callable[[DataFrame], DataFrame], hot: Sequence | None = None,
-            chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+            chunks: int | None = None) -> DataFrame:
     """``plain`` for ordinary keys, ``chunked`` (on rows with ``_chunk``) for the hot ones."""
     hot = hot_keys(df, key) if hot is None else hot
     if not hot:
@@ -57,12 +57,19 @@ def position_number(order: Column, dtype: str) -> Column:
     return F.coalesce(order.cast("double"), F.lit(float("-inf")))
 
 
-def with_chunks(df: DataFrame, order: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+def default_chunks(df: DataFrame) -> int:
+    """As many chunks as the session has shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_CHUNKS, max(MIN_CHUNKS, partitions))
+
+
+def with_chunks(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     """Add ``_chunk``, a number that rises with ``order`` and splits the table evenly.
 
     The cut points are approximate quantiles (one aggregate over one column, at most ``chunks``
     numbers come back), so a burst in time does not end up in one chunk.
     """
+    chunks = chunks or default_chunks(df)
     numbered = df.withColumn("_position", position_number(F.col(order), dict(df.dtypes)[order]))
     cutter = QuantileDiscretizer(numBuckets=chunks, inputCol="_position", outputCol=CHUNK,
                                  relativeError=0.25 / chunks, handleInvalid="keep")

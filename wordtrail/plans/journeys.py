@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wordtrail.operators import features, journey
+from wordtrail.operators.scan import hot_keys
 from wordtrail.plans.registry import Tables, query
 
 ORDER = ["ts", "event_id"]
@@ -78,7 +79,7 @@ def running_lists(t):
 WITH {RUNS} SELECT user_id, ((run - 1) // 1000)::integer AS part, string_agg(page, '>' ORDER BY run) AS pages,
   round(list_sum(list(run_time)), 4) AS total FROM r GROUP BY 1, 2""")
 def final_lists(t):
-    final = journey.final_lists(journey.running_lists(runs(t), "user_id"), "user_id")
+    final = journey.journeys(runs(t), "user_id", hot_keys(t.events, "user_id"), part_size=1000)
     total = F.aggregate("times", F.lit(0.0), lambda s, v: s + v)
     return final.select("user_id", "part", F.array_join("pages", ">").alias("pages"), F.round(total, 4).alias("total"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wordtrail.functions.stopwords import ENGLISH
 from wordtrail.operators import evaluate, features, journey, learning, tokens, votes
 from wordtrail.operators.sampling import with_split
-from wordtrail.plans.registry import query, words_sql
+from wordtrail.plans.registry import query, quoted_list, words_sql
 
 TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents) GROUP BY 1, 2)"
 # Small grids and models keep the checks short; the operators' defaults are the full grids.
@@ -39,15 +39,22 @@ def labelled(t):
     return vectors(t).withColumn("y", (F.col("label") % 2).cast("double"))
 
 
+def _stored(vector: str):
+    """Number of entries a sparse vector stores, without spelling out its zeros."""
+    indices = F.regexp_extract(F.col(vector).cast("string"), r"\[([^\]]*)\]", 1)
+    return F.when(indices == "", F.lit(0)).otherwise(F.size(F.split(indices, ","))).cast("bigint")
+
+
 @query("v1_term_counts", f"WITH {TF_SQL} SELECT doc_id, term, tf FROM tf")
 def bag_of_words(t):
     return term_counts(t)
 
 
-@query("v1_count_vectors")
+@query("v1_count_vectors", f"""
+SELECT doc_id, len(list_distinct(list_filter({words_sql('text')}, lambda x: x NOT IN ({quoted_list(ENGLISH)}))))  AS terms FROM documents""")
 def count_vectors(t):
     counted = features.count_vectors(refined(t), "tokens", vocabSize=262144, minDF=1.0)
-    return counted.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("terms"))
+    return counted.select("doc_id", _stored("features").alias("terms"))
 
 
 @query("v2_hashed_tf")

@@ -32,7 +32,8 @@ def build_session(app: str = "wordtrail", master: str | None = None, **conf: str
 def widen(df: DataFrame, key: str) -> DataFrame:
     """Spread a table that is stored in fewer pieces than there are cores.
 
-    A large table has more pieces than that and passes through unchanged.
+    For tables as they are read, before any shuffle. A large table has more pieces than there are
+    cores and passes through unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
