@@ -57,9 +57,12 @@ def count_vectors(t):
     return counted.select("doc_id", _stored("features").alias("terms"))
 
 
-@query("v2_hashed_tf")
+@query("v2_hashed_tf", f"""
+SELECT doc_id, len(list_filter({words_sql('text')}, lambda x: x NOT IN ({quoted_list(ENGLISH)}))) AS total FROM documents""")
 def hashed_tf(t):
-    return features.hashed_tf(refined(t), "tokens").select("doc_id", F.col("tf").cast("string").alias("tf"))
+    # which slot a term falls into is Spark's own hash; the counts in all slots must add up
+    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda s, x: s + x)
+    return features.hashed_tf(refined(t), "tokens", slots=4096).select("doc_id", total.cast("bigint").alias("total"))
 
 
 @query("v3_tf_idf", f"""

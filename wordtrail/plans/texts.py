@@ -11,6 +11,7 @@ from wordtrail.functions.stopwords import ENGLISH
 from wordtrail.operators import profile, stems, tagging, tokens
 from wordtrail.operators.lookup import lookup_join, word_table
 from wordtrail.plans.registry import WORD, hash_sql, query, quoted_list, words_sql
+from wordtrail.plans.stem_sql import porter2_ctes, porter_ctes
 
 STOP_SQL = quoted_list(ENGLISH)
 
@@ -258,13 +259,18 @@ def noun_chunks(t):
                          F.col("start").cast("bigint").alias("start_at"), F.col("stop").cast("bigint").alias("stop_at"), "chunk")
 
 
-@query("t17_porter_stems")
+VOCABULARY = f"voc AS (SELECT DISTINCT unnest({words_sql('text')}) AS token FROM documents)"
+STEM_INDEX = f"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({words_sql('text')}) AS token FROM documents) GROUP BY 1, 2),
+idx AS (SELECT stem, doc_id, sum(tf)::bigint AS tf FROM tf JOIN stems ON tf.token = stems.token GROUP BY 1, 2)"""
+
+
+@query("t17_porter_stems", f"WITH {VOCABULARY}, {porter_ctes('voc')} SELECT token, stem FROM stems")
 def porter_stems(t):
     words = tokens.word_frequency(t.texts, tokens.word_tokens("text"))
     return stems.stem_vocabulary(words, "porter")
 
 
-@query("t17_porter2_stems")
+@query("t17_porter2_stems", f"WITH {VOCABULARY}, {porter2_ctes('voc')} SELECT token, stem FROM stems")
 def porter2_stems(t):
     words = tokens.word_frequency(t.texts, tokens.word_tokens("text"))
     return stems.stem_vocabulary(words, "porter2")
@@ -274,17 +280,18 @@ def stem_counts(t):
     return tokens.term_counts(t.texts, "doc_id", tokens.word_tokens("text")).withColumnRenamed("term", "token")
 
 
-@query("t18_stem_index")
+@query("t18_stem_index", f"WITH {VOCABULARY}, {porter_ctes('voc')}, {STEM_INDEX} SELECT stem, doc_id, tf FROM idx")
 def stem_index(t):
     return stems.stem_index(stem_counts(t), "doc_id")
 
 
-@query("t18_variant_search")
+@query("t18_variant_search", f"WITH {VOCABULARY}, {porter_ctes('voc')}, {STEM_INDEX} SELECT stem, doc_id, tf FROM idx WHERE stem = 'thing'")
 def variant_search(t):
     return stems.search(stems.stem_index(stem_counts(t), "doc_id"), "things")
 
 
-@query("t18_variants")
+@query("t18_variants", f"""
+WITH {VOCABULARY}, {porter_ctes('voc')} SELECT stem, string_agg(token, ' ' ORDER BY token) AS words FROM stems GROUP BY 1""")
 def variants(t):
     vocabulary = stems.stem_vocabulary(tokens.word_frequency(t.texts, tokens.word_tokens("text")))
     return stems.variants(vocabulary).select("stem", F.array_join("words", " ").alias("words"))
