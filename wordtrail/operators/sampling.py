@@ -109,20 +109,27 @@ def uniform_sets(df: DataFrame, key: str, label: str, target, classes: list,
     sizes = df.agg(F.count_if(is_target & (_unit(key, seed) < fraction)).alias("wanted"),
                    F.array(*[F.count_if(F.col(label) == c) for c in others]).alias("sizes"))
     fitting = lambda n: F.greatest(F.floor(F.try_divide(n.cast("double"), F.col("wanted").cast("double"))), F.lit(1))
-    buckets = sizes.select(F.transform("sizes", lambda n: F.coalesce(fitting(n), F.lit(1)).cast("int"))).scalar()
+    owned = sizes.select(F.transform("sizes", lambda n: F.coalesce(fitting(n), F.lit(1)).cast("int")).alias("own"))
+    plan = owned.select("own", F.array_max("own").alias("sets")).withColumn(
+        "labels", F.array(*[F.lit(c).cast("string") for c in others]))
+
+    def source_buckets(own: Column, position: Column) -> Column:
+        """Which of a class's buckets each set takes: its own number, or a lent one by hash."""
+        lent = lambda j: F.floor(unit_hash(F.get("labels", position), j) * own).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.col("sets") - 1), lambda j: F.when(j < own, j).otherwise(lent(j)))
+
+    plan = plan.select(F.struct("sets", "own", F.transform("own", source_buckets).alias("taken")).alias("plan")).scalar()
     position = F.lit(None).cast("int")
     for i, c in enumerate(others):
         position = F.when(F.col(label) == c, i).otherwise(position)
     rows = df.filter(F.col(label).isin(classes)).withColumns({
-        "_sets": F.array_max(buckets), "_own": F.get(buckets, position)})
+        "_sets": plan.sets, "_own": F.get(plan.own, position), "_taken": F.get(plan.taken, position)})
     rows = rows.withColumn("_bucket", F.floor(_unit(key, seed) * F.col("_own")).cast("int"))
-
-    def in_set(j: Column) -> Column:
-        lent = F.floor(unit_hash(F.col(label), j) * F.col("_own")).cast("int")
-        return is_target | (F.col("_bucket") == F.when(j < F.col("_own"), j).otherwise(lent))
-
-    sets = F.filter(F.sequence(F.lit(0), F.col("_sets") - 1), in_set)
-    return rows.withColumn("sample_id", F.explode(sets)).drop("_sets", "_own", "_bucket")
+    every = F.sequence(F.lit(0), F.col("_sets") - 1)
+    sets = (F.when(is_target, every)
+             .when(F.col("_own") == F.col("_sets"), F.array("_bucket"))
+             .otherwise(F.filter(every, lambda j: F.get("_taken", j) == F.col("_bucket"))))
+    return rows.withColumn("sample_id", F.explode(sets)).drop("_sets", "_own", "_taken", "_bucket")
 
 
 def class_split_counts(df: DataFrame, label: str, splits: list[str]) -> DataFrame:
