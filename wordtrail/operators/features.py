@@ -32,11 +32,11 @@ def hashed_tf_idf(df: DataFrame, tokens: str, output: str = "features", slots: i
 
 
 def tf_idf(counts: DataFrame, key: str, documents: DataFrame, min_doc_freq: int = 0,
-           salts: int = 8) -> DataFrame:
+           salts: int | None = None) -> DataFrame:
     """``(key, term, tf, df, tf_idf)`` from ``(key, term, tf)`` counts, one per document and term.
 
     ``idf = ln((m + 1) / (df + 1))``, 0 below ``min_doc_freq``. Terms found in most documents are
-    spread over ``salts`` copies of their document frequency.
+    spread over several copies of their document frequency.
     """
     total = documents.agg(F.count("*").cast("double").alias("m")).scalar()
     # reading tf here keeps both uses of the counts alike, so their shuffle is done once

@@ -13,13 +13,20 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return table.limit(limit + 1).count() <= limit
 
 
+def default_salts(df: DataFrame) -> int:
+    """Copies per key: more on a session set up for more shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(64, max(2, partitions // 16))
+
+
 def salted_join(rows: DataFrame, table: DataFrame, on: str, spread: list[Column | str],
-                how: str = "inner", salts: int = 8) -> DataFrame:
+                how: str = "inner", salts: int | None = None) -> DataFrame:
     """Equi-join for a frequent-word-heavy left side.
 
     Every key of ``table`` is repeated ``salts`` times and the rows of one key are spread over
     those copies by a hash of ``spread``, so the rows of one word go to several tasks.
     """
+    salts = salts or default_salts(rows)
     # never null, so that no filter on the salt is pushed into just one use of ``rows``
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"), F.lit(0))
     salted = rows.withColumn("_salt", salt)
