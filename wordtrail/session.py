@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +39,9 @@ def widen(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local-mode session without that setting gets a folder on this machine.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``, or a part of the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    base = tempfile.mkdtemp(prefix="wordtrail-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
