@@ -54,6 +54,7 @@ def first_seen(source: DataFrame, batch_bytes: int = 64 << 30, checkpoint: str |
                             "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
                             "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "256",
                             "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
+                            "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
                             "spark__sql__streaming__noDataMicroBatches__enabled": "false"}):
         query = (state.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
                  .option("checkpointLocation", f"{place}/state").start())

@@ -36,7 +36,12 @@ def pack(values: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit."""
+    return values.astype(np.int32) if not len(values) or values.max() < 1 << 31 else values
 
 
 def joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -89,19 +94,27 @@ def units(docs: DataFrame, text: str, key: str, held_out: Column, develop: Colum
     return docs.select(F.col(key).cast("long"), F.col(text), role).mapInArrow(build, UNIT)
 
 
+def rows_of(batch: pa.RecordBatch):
+    """One row at a time: a unit is large."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 class Unit:
     """A unit's n-grams of growing length, with counts over all of the corpus as answers come in."""
 
-    def __init__(self, row: dict):
-        self.row = row
-        self.sizes, self.roles, self.tokens = (unpack(row[c]) for c in ("sizes", "roles", "tokens"))
+    def __init__(self, row: dict, keep: str | None = None):
+        """``keep``: which counts to hold a position, ``main``, ``total`` or none."""
+        self.keep = keep
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.roles, self.tokens = unpack(row["roles"]), unpack(row["tokens"])
         words = zstandard.ZstdDecompressor().decompress(row["words"])
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(b"\n"), *map(digest, words.split(b" ") if words else [])], np.uint64)
         self.word_keys = hashes[self.tokens]
         self.role = np.repeat(self.roles, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.n, self.keys, self.main, self.total = 0, None, [], []
+        self.n, self.keys, self.counts = 0, None, []
 
     def shifted(self, values: np.ndarray, first) -> np.ndarray:
         """Each position's value of the position before; ``first`` at the start of a text."""
@@ -133,8 +146,8 @@ class Unit:
             total[self.sent] = np.concatenate([unpack(a["total"]) for a in answers])
             elsewhere[self.sent] = np.concatenate([unpack(a["shared"]) for a in answers]) > 0
         self.elsewhere = elsewhere[self.at]
-        self.main.append(main[self.at])
-        self.total.append(total[self.at])
+        if self.keep:
+            self.counts.append(narrow({"main": main, "total": total}[self.keep])[self.at])
 
     def take(self, answers: list[dict] | None, longest: int) -> None:
         """Count all n-grams up to the length ``longest``, with the answers for those that were sent."""
@@ -150,7 +163,7 @@ def requests(rows: DataFrame, n: int, ranges_bits: int) -> DataFrame:
     """What units send of n-grams of length ``n``; ``rows`` are units with the answers for shorter ones."""
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 unit = Unit(row)
                 unit.take(row.get("answers"), n - 1)
                 unit.grow()
@@ -204,24 +217,27 @@ def answers(asked: DataFrame, n: int, partitions: int) -> DataFrame:
 
 # ---- the mixture
 
-def estimates(unit: Unit, counts: list[np.ndarray], size: dict, texts: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each position and its estimates: uniform, then by n-grams of length 1, 2, ...
+def estimates(unit: Unit, size: dict, texts: int, tokens: int, piece: int = 1 << 18):
+    """For pieces of the unit: (slice, bucket of each position, estimates: uniform, then by n-grams of length 1, 2, ...).
 
     The bucket is the length of the longest context seen in training and the power of two below
     its frequency, of which the last is 2^15.
     """
-    order = len(counts)
-    p = np.zeros((len(unit.tokens), order + 1))
-    p[:, 0] = 1.0 / (size["types"] + 1)
-    p[:, 1] = counts[0] / max(tokens, 1)
-    bucket = np.zeros(len(unit.tokens), np.int64)
-    for n in range(2, order + 1):
-        context = unit.shifted(counts[n - 2], texts)
-        seen = context > 0
-        p[:, n] = np.where(seen, counts[n - 1] / np.maximum(context, 1), 0.0)
-        level = np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), 15)
-        bucket = np.where(seen, (n - 2) * 16 + level + 1, bucket)
-    return bucket, p
+    counts, order = unit.counts, len(unit.counts)
+    contexts = [unit.shifted(c, texts) for c in counts[:-1]]
+    for at in range(0, len(unit.tokens), piece):
+        part = slice(at, min(at + piece, len(unit.tokens)))
+        p = np.zeros((part.stop - at, order + 1))
+        p[:, 0] = 1.0 / (size["types"] + 1)
+        p[:, 1] = counts[0][part] / max(tokens, 1)
+        bucket = np.zeros(len(p), np.int64)
+        for n in range(2, order + 1):
+            context = contexts[n - 2][part]
+            seen = context > 0
+            p[:, n] = np.where(seen, counts[n - 1][part] / np.maximum(context, 1), 0.0)
+            level = np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), 15)
+            bucket = np.where(seen, (n - 2) * 16 + level + 1, bucket)
+        yield part, bucket, p
 
 
 def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance: float = 1e-5) -> np.ndarray:
@@ -233,14 +249,16 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
 
     def table(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                unit = Unit(row)
+            for row in rows_of(batch):
+                unit = Unit(row, "main")
                 if not (unit.role == DEVELOP).any():
                     continue
                 unit.take(row["answers"], order)
-                bucket, p = estimates(unit, unit.main, size, size["main_texts"], size["main_tokens"])
-                at = unit.role == DEVELOP
-                data = np.concatenate([bucket[at][:, None], p[at][:, 1:]], axis=1).astype(np.float32)
+                chosen = []
+                for part, bucket, p in estimates(unit, size, size["main_texts"], size["main_tokens"]):
+                    at = unit.role[part] == DEVELOP
+                    chosen.append(np.concatenate([bucket[at][:, None], p[at][:, 1:]], axis=1).astype(np.float32))
+                data = np.concatenate(chosen)
                 same, n = np.unique(data, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([same.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=["data", "n"])
 
@@ -286,7 +304,7 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", order: int = 3, rounds: int = 15,
-          unit_tokens: int = 2_000_000, develop_share: int = 20) -> DataFrame:
+          unit_tokens: int = 1_000_000, develop_share: int = 20) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Trained on the rows that ``held_out`` (a boolean column) excludes not. One in
@@ -319,15 +337,14 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     def scores(batches):
         names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for batch in batches:
-            for row in batch.to_pylist():
-                unit = Unit(row)
+            for row in rows_of(batch):
+                unit = Unit(row, "total")
                 unit.take(row["answers"], order)
-                bucket, p = estimates(unit, unit.total, size, size["texts"], size["tokens"])
-                mixed = np.log10((weights[bucket] * p).sum(axis=1))
-                base = np.log10((unit.total[0] + 1) / (size["tokens"] + size["types"] + 1))
+                mixed = np.concatenate([np.log10((weights[bucket] * p).sum(axis=1)) for _, bucket, p in estimates(unit, size, size["texts"], size["tokens"])])
+                base = np.log10((unit.counts[0] + 1.0) / (size["tokens"] + size["types"] + 1))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["keys"], pa.int64()), pa.array(unit.roles == HELD_OUT), pa.array(unit.sizes),
-                    pa.array(np.add.reduceat((unit.total[0] > 0).astype(np.int64), unit.starts)), pa.array(np.full(len(unit.sizes), size["tokens"])),
+                    pa.array(np.add.reduceat((unit.counts[0] > 0).astype(np.int64), unit.starts)), pa.array(np.full(len(unit.sizes), size["tokens"])),
                     pa.array(np.add.reduceat(base, unit.starts)), pa.array(np.add.reduceat(mixed, unit.starts))], names=names)
 
     result = stored(rows.mapInArrow(scores, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
