@@ -304,7 +304,7 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", order: int = 3, rounds: int = 15,
-          unit_tokens: int = 1_000_000, develop_share: int = 20) -> DataFrame:
+          unit_tokens: int = 1_600_000, develop_share: int = 20) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Trained on the rows that ``held_out`` (a boolean column) excludes not. One in

@@ -15,16 +15,19 @@ from wordtrail.llm.sink import MANIFEST, ShardWriter, commit
 
 #: places where byte-level pre-tokens always end: before a blank that a non-blank follows
 CUT = regex.compile(r" (?=\S)")
+BEFORE_BLANK = regex.compile(r" (?!\S)")
 
 
 class CachedEncoder:
     """The tokenizers library over chunks of text, each chunk encoded once a task or so.
 
     A byte-level pre-token never reaches over a blank that is followed by a non-blank; so the ids
-    of a text are those of its pieces, cut there. The cache is emptied beyond ``most`` chunks,
-    which changes no result.
+    of a text are those of its chunks, cut there. New chunks go to the library in runs, parted by
+    a special token. The cache is emptied beyond ``most`` chunks, which changes no result.
     """
 
+    RUN = 500
+
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
@@ -33,24 +36,40 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-        self.most, self.later, self.start = most, {}, {}
-
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], before: str) -> None:
-        new = [c for c in chunks if c not in cache]
-        for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([before + c for c in part], add_special_tokens=False)):
-                cache[c] = np.array(e.ids, self.dtype).tobytes()
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.part_id, self.part = special[0] if special else (None, None)
+        self.most, self.later = most, {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        later, width = self.later, self.dtype.itemsize
+        new = [c for c in chunks if c not in later]
+        odd = [c for c in new if self.part is None or self.part in c]
+        later.update(zip(odd, self.plain([" " + c for c in odd])))
+        if odd:
+            new = [c for c in new if c not in later]
+        runs = [new[at:at + self.RUN] for at in range(0, len(new), self.RUN)]
+        for at in range(0, len(runs), 8):
+            some = runs[at:at + 8]
+            joined = [(" " + (self.part + " ").join(run) + self.part) for run in some]
+            for run, e in zip(some, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                data, stops = ids.tobytes(), (np.flatnonzero(ids == self.part_id) * width).tolist()
+                start = 0
+                for c, stop in zip(run, stops):
+                    later[c] = data[start:stop]
+                    start = stop + width
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``dtype``."""
-        if len(self.later) + len(self.start) > self.most:
-            self.later, self.start = {}, {}
-        pieces = [CUT.split(t) if "  " in t or CUT.search(t) is None or regex.search(r" (?!\S)", t) else t.split(" ") for t in texts]
-        self._learn(self.start, {p[0] for p in pieces}, "")
-        self._learn(self.later, {c for p in pieces for c in p[1:]}, " ")
-        later = self.later
-        return [b"".join([self.start[p[0]], *[later[c] for c in p[1:]]]) for p in pieces]
+        if len(self.later) > self.most:
+            self.later = {}
+        chunks = [CUT.split(t) if BEFORE_BLANK.search(t) else t.split(" ") for t in texts]
+        self._learn(set().union(*chunks))
+        get = self.later.__getitem__
+        return [b"".join([first, *map(get, own[1:])]) for first, own in zip(self.plain([own[0] for own in chunks]), chunks)]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -96,7 +115,7 @@ class _SequenceFile:
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, text: str = "text", key: str = "doc_id", end: int = 0,
-                 length: int = 2048, file_tokens: int = 1 << 28, known: int = 500_000) -> DataFrame:
+                 length: int = 2048, file_tokens: int = 1 << 28, known: int = 1_000_000) -> DataFrame:
     """Write the ids of all texts, ``end`` after each, in ascending key order; returns the manifest.
 
     One shuffle of the texts by key range; each task encodes its range and writes its files, a
