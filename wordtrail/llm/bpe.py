@@ -29,6 +29,7 @@ class WordBpe:
     """
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -116,11 +117,33 @@ class WordBpe:
                 out.append(part)
             elif part.isascii() and not any(c in part for c in "\x1c\x1d\x1e\x1f"):
                 out += part.lower().split()
+            elif self.newer(part):
+                out += filter(None, self.space.split(self.library.normalizer.normalize_str(part)))
             else:
                 part = unicodedata.normalize("NFC", part).replace("\N{GREEK CAPITAL LETTER SIGMA}", "\N{GREEK SMALL LETTER SIGMA}")
                 out += filter(None, self.space.split(part.lower()))
         return out
 
+    @property
+    def library(self):
+        """For texts with characters newer than Python's Unicode tables: how these are lower-cased
+        and classed depends on the library's own tables, so it normalises and cuts such texts."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    @staticmethod
+    def newer(text: str) -> bool:
+        return text > "" and max(text) >= "\u0250" and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+    def pieces(self, chunk: str) -> list[str]:
+        """What the pattern matches."""
+        if not self.newer(chunk):
+            return self.words.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def learn(self, chunks: set[str], most: int) -> None:
         """Encode the chunks that aren't known yet, all their words in one go."""
         if len(self.known) > most:
@@ -128,7 +151,7 @@ class WordBpe:
         new = [c for c in chunks if c not in self.known]
         pieces, counts = [], []
         for c in new:
-            found = [] if c in self.special else self.words.findall(c)
+            found = [] if c in self.special else self.pieces(c)
             pieces += found
             counts.append(len(found))
         ids = self.encode_words(pieces)

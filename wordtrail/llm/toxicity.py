@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_WORDS, WINDOW_BYTES, LEVEL = 8, 512, 5
-DICTIONARY_BYTES, PIECE_BYTES, PIECES = 16_000, 8, 300
+DICTIONARY_BYTES, PIECE_BYTES, PIECES, CERTAIN = 16_000, 8, 300, 6.0
 FEATURES = 10
 
 
@@ -72,8 +72,8 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     """Contents of the toxic and of the ordinary dictionary, from windows by document.
 
     Both hold what zstandard's trainer finds frequent in ordinary windows. To that the toxic one
-    adds the pieces found in more toxic than ordinary documents by the largest z-scores, best
-    ones last, where matches are cheapest; the ordinary one adds as much ordinary text.
+    adds the pieces found in more toxic than ordinary documents by the largest z-scores (six or
+    more, or near the best where samples are small), best ones last, where matches are cheapest; the ordinary one adds as much ordinary text.
     """
     own, other = Counter(), Counter()
     for count, docs in ((own, toxic), (other, ordinary)):
@@ -88,7 +88,8 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
         if x >= min(5, a) and spread > 0:
             ranked.append(((x / a - y / max(b, 1)) / spread, piece))
     ranked.sort()
-    surplus = b"".join(piece for z, piece in ranked[-PIECES:] if z > 0)
+    certain = min(CERTAIN, 0.8 * ranked[-1][0]) if ranked else 0.0
+    surplus = b"".join(piece for z, piece in ranked[-PIECES:] if z > 0 and z >= certain)
     plain = [w for doc in ordinary for w in doc]
     random.Random(1).shuffle(plain)
     try:
@@ -123,8 +124,8 @@ def _sample(labels: DataFrame, key: str, toxic: str, sizes: tuple[int, int]) ->
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic",
         most_toxic: int = 3000, most_ordinary: int = 6000, most_windows: int = 256) -> Model:
     """Train on a bounded sample of labelled rows: at most ``most_toxic`` and ``most_ordinary``
-    documents. Half of them (by hash) train the dictionaries, each with at most ``most_windows``
-    windows spread evenly over its text; the other half calibrates the threshold (which 1 % of
+    documents. Two thirds of them (by hash) train the dictionaries, each with at most ``most_windows``
+    windows spread evenly over its text; the other third calibrates the threshold (which 1 % of
     their ordinary windows reach) and, by their whole texts, the weights. Without labels of both
     kinds the model says 0 for every text.
     """
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     kind = dict(docs.dtypes)[key]
     chosen = spark.createDataFrame([(k, y) for k, y in classes.items()], f"`{key}` {kind}, _y int")  # bounded by the two sizes
     sample = (docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key])
-              .withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(2))))
+              .withColumn("_part", (F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(3)) == 0).cast("int")))
 
     def spread(batches):
         for batch in batches:
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 picked.append(own[::max(1, -(-len(own) // most_windows))])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(picked, pa.list_(pa.binary()))], names=["y", "part", "windows"])
 
-    rows = sample.select(text, "_y", "_part").mapInArrow(spread, "y int, part long, windows array<binary>").collect()
+    rows = sample.select(text, "_y", "_part").mapInArrow(spread, "y int, part int, windows array<binary>").collect()
     by = {(y, part): [[bytes(w) for w in r.windows] for r in rows if (r.y, r.part) == (y, part)] for y in (0, 1) for part in (0, 1)}
     half = {y: by[y, 0] or by[y, 1] for y in (0, 1)}
     if not half[0] or not half[1]:
