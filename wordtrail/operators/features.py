@@ -68,9 +68,16 @@ def to_vector(values: Column | str) -> Column:
 
 
 def train_word_vectors(lists: DataFrame, tokens: str, size: int = 100, output: str = "embedding",
-                       min_count: int = 5, seed: int = 42) -> Word2VecModel:
-    return Word2Vec(vectorSize=size, inputCol=tokens, outputCol=output, minCount=min_count,
-                    seed=seed).fit(lists)
+                       min_count: int = 5, seed: int = 42, partitions: int | None = None) -> Word2VecModel:
+    """Trained on as many tasks as the session has cores, 64 at most, as each holds the whole model;
+    several rounds make up for the tasks learning apart. Words rarer than ``min_count`` have no vector."""
+    cores = lists.sparkSession.sparkContext.defaultParallelism
+    partitions = partitions or min(cores, 64)
+    kept = lists.select(tokens).persist()
+    model = Word2Vec(vectorSize=size, inputCol=tokens, outputCol=output, minCount=min_count, seed=seed,
+                     numPartitions=partitions, maxIter=min(partitions, 4)).fit(kept)
+    kept.unpersist()
+    return model
 
 
 def word_vectors(model: Word2VecModel) -> DataFrame:

@@ -121,18 +121,21 @@ def user_journeys(events: DataFrame, user: str, page: str, time: str, converted:
     return journeys(runs, user, hot, part_size)
 
 
-def running_lists(runs: DataFrame, user: str, part_size: int = 1000) -> DataFrame:
-    """Runs with the list of pages and times walked so far (within their part).
+def list_positions(runs: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """Runs with the ``part`` and ``position`` they have in the lists of :func:`journeys`.
 
-    The result grows with the square of the list length, so the lists restart every
-    ``part_size`` runs; the parts before one are complete in their own last rows. Where only the
-    longest list is wanted, :func:`journeys` builds it once instead of growing it.
+    The list walked so far is that list up to the position; no row repeats it.
     """
-    part = F.floor((F.col("run") - 1) / part_size).cast("int")
-    so_far = running([user, "part"], ["run"])
-    return runs.withColumn("part", part).withColumns({
-        "pages_so_far": F.collect_list("page").over(so_far),
-        "times_so_far": F.collect_list("run_time").over(so_far)})
+    at = F.col("run") - 1
+    return runs.withColumns({"part": F.floor(at / part_size).cast("int"), "position": (at % part_size + 1).cast("int")})
+
+
+def running_lists(runs: DataFrame, user: str) -> DataFrame:
+    """Runs with the list of pages and times walked so far, of a few users: the result grows with
+    the square of the list length. For whole tables take :func:`list_positions`."""
+    so_far = running([user], ["run"])
+    return runs.withColumns({"pages_so_far": F.collect_list("page").over(so_far),
+                             "times_so_far": F.collect_list("run_time").over(so_far)})
 
 
 def one_user(events: DataFrame, user: str, who, order: list[str]) -> DataFrame:

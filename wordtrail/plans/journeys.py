@@ -68,18 +68,17 @@ def last_of_run(t):
 
 
 @query("w6_running_lists", f"""
-WITH {RUNS} SELECT user_id, run, string_agg(page, '>') OVER (
-  PARTITION BY user_id, (run - 1) // 1000 ORDER BY run ROWS UNBOUNDED PRECEDING) AS pages FROM r""")
+WITH {RUNS} SELECT user_id, run, ((run - 1) // 10000)::integer AS part, ((run - 1) % 10000 + 1)::integer AS position, page FROM r""")
 def running_lists(t):
-    lists = journey.running_lists(runs(t), "user_id")
-    return lists.select("user_id", "run", F.array_join("pages_so_far", ">").alias("pages"))
+    """The list so far of a run is the slice of its part in w7 up to its position."""
+    return journey.list_positions(runs(t)).select("user_id", "run", "part", "position", "page")
 
 
 @query("w7_final_lists", f"""
-WITH {RUNS} SELECT user_id, ((run - 1) // 1000)::integer AS part, string_agg(page, '>' ORDER BY run) AS pages,
+WITH {RUNS} SELECT user_id, ((run - 1) // 10000)::integer AS part, string_agg(page, '>' ORDER BY run) AS pages,
   round(list_sum(list(run_time)), 4) AS total FROM r GROUP BY 1, 2""")
 def final_lists(t):
-    final = journey.journeys(runs(t), "user_id", hot_keys(t.events, "user_id"), part_size=1000)
+    final = journey.journeys(runs(t), "user_id", hot_keys(t.events, "user_id"))
     total = F.aggregate("times", F.lit(0.0), lambda s, v: s + v)
     return final.select("user_id", "part", F.array_join("pages", ">").alias("pages"), F.round(total, 4).alias("total"))
 
@@ -95,16 +94,16 @@ def collapsed_runs(t):
 
 
 JOURNEY_SQL = f"""
-WITH {RUNS} SELECT user_id, string_agg(page, '>' ORDER BY run) AS journey,
-  string_agg(round(run_time * 100)::bigint::varchar, '>' ORDER BY run) AS times, max(converted) AS converted,
-  count(*) AS n FROM r GROUP BY 1"""
+WITH {RUNS} SELECT user_id, ((run - 1) // 10000)::integer AS part, string_agg(page, '>' ORDER BY run) AS journey,
+  string_agg(round(run_time * 100)::bigint::varchar, '>' ORDER BY run) AS times,
+  max(max(converted)) OVER (PARTITION BY user_id) AS converted, count(*) AS n FROM r GROUP BY 1, 2"""
 
 
 @query("c3_journeys", JOURNEY_SQL)
 def journeys(t):
     lists = journey.user_journeys(t.events, "user_id", "event_type", "value", converted(), ORDER)
     cents = F.transform("times", lambda v: F.round(v * 100).cast("bigint").cast("string"))
-    return lists.select("user_id", F.array_join("pages", ">").alias("journey"),
+    return lists.select("user_id", "part", F.array_join("pages", ">").alias("journey"),
                         F.array_join(cents, ">").alias("times"), "converted",
                         F.size("pages").cast("bigint").alias("n"))
 
@@ -113,12 +112,13 @@ def journeys(t):
 WITH a AS (SELECT *, lag(role, 1, 'started') OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
 m AS (SELECT *, sum(CASE WHEN role = p THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM a),
 r AS (SELECT conv_id, run, max(role) AS page, sum(length(text)) AS chars FROM m GROUP BY 1, 2)
-SELECT conv_id, string_agg(page, '>' ORDER BY run) AS journey, sum(chars)::bigint AS chars FROM r GROUP BY 1""")
+SELECT conv_id, ((run - 1) // 10000)::integer AS part, string_agg(page, '>' ORDER BY run) AS journey,
+  sum(chars)::bigint AS chars FROM r GROUP BY 1, 2""")
 def conversation_journeys(t):
     turns = t.conversations.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("chars"))
     lists = journey.user_journeys(turns, "conv_id", "role", "chars", F.lit(0), ["turn"])
     chars = F.aggregate("times", F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return lists.select("conv_id", F.array_join("pages", ">").alias("journey"), chars.alias("chars"))
+    return lists.select("conv_id", "part", F.array_join("pages", ">").alias("journey"), chars.alias("chars"))
 
 
 @query("c4_one_user", f"""

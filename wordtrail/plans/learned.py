@@ -8,6 +8,7 @@ from pyspark.ml.feature import (Bucketizer, IndexToString, MaxAbsScaler, MinMaxS
                                 QuantileDiscretizer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from wordtrail.functions.stopwords import ENGLISH
@@ -53,7 +54,7 @@ def bag_of_words(t):
 @query("v1_count_vectors", f"""
 SELECT doc_id, len(list_distinct(list_filter({words_sql('text')}, lambda x: x NOT IN ({quoted_list(ENGLISH)}))))  AS terms FROM documents""")
 def count_vectors(t):
-    counted = features.count_vectors(refined(t), "tokens", vocabSize=262144, minDF=1.0)
+    counted = features.count_vectors(refined(t), "tokens", vocabSize=2**31 - 1, minDF=1.0)
     return counted.select("doc_id", _stored("features").alias("terms"))
 
 
@@ -61,8 +62,9 @@ def count_vectors(t):
 SELECT doc_id, len(list_filter({words_sql('text')}, lambda x: x NOT IN ({quoted_list(ENGLISH)}))) AS total FROM documents""")
 def hashed_tf(t):
     # which slot a term falls into is Spark's own hash; the counts in all slots must add up
-    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda s, x: s + x)
-    return features.hashed_tf(refined(t), "tokens", slots=4096).select("doc_id", total.cast("bigint").alias("total"))
+    values = F.split(F.regexp_extract(F.col("tf").cast("string"), r"\],\[([^\]]*)\]", 1), ",")
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    return features.hashed_tf(refined(t), "tokens").select("doc_id", total.cast("bigint").alias("total"))
 
 
 @query("v3_tf_idf", f"""
@@ -113,18 +115,20 @@ def event_journeys(t):
 def journey_word2vec(t):
     lists = event_journeys(t)
     model = features.train_word_vectors(lists, "pages")
-    return model.transform(lists).select("user_id", "part", vector_to_array("embedding").alias("embedding"))
+    parts = model.transform(lists).select("user_id", "embedding", F.size("pages").cast("double").alias("n"))
+    whole = parts.groupBy("user_id").agg(Summarizer.mean(F.col("embedding"), F.col("n")).alias("embedding"))
+    return whole.select("user_id", vector_to_array("embedding").alias("embedding"))
 
 
 @query("v8_word_vectors")
 def word_vector_table(t):
-    return features.word_vectors(features.train_word_vectors(event_journeys(t), "pages", size=20))
+    return features.word_vectors(features.train_word_vectors(event_journeys(t), "pages"))
 
 
 @query("v9_document_vectors")
 def document_vectors(t):
     docs = refined(t)
-    model = features.train_word_vectors(docs, "tokens", size=10, output="doc2vec")
+    model = features.train_word_vectors(docs, "tokens", output="doc2vec")
     return model.transform(docs).select("doc_id", vector_to_array("doc2vec").alias("doc2vec"))
 
 
@@ -146,7 +150,7 @@ def pca(t):
 @query("v12_text_stages")
 def text_stages(t):
     docs = t.documents.select("doc_id", "text")
-    fitted = features.text_stages("text", 4096).fit(docs)
+    fitted = features.text_stages("text", 1 << 18).fit(docs)
     return fitted.transform(docs).select("doc_id", F.size("terms").alias("terms"), F.col("features").cast("string").alias("features"))
 
 
@@ -190,7 +194,7 @@ def sentiment(t):
 @query("l1_logistic_text")
 def logistic_text(t):
     rows = sentiment(t)
-    staged = features.text_stages("text", 4096).fit(rows).transform(rows)
+    staged = features.text_stages("text", 1 << 18).fit(rows).transform(rows)
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(staged.filter("split = 'train'"))
     return model.transform(staged.filter("split = 'test'")).select(
         "doc_id", "label", "prediction", vector_to_array("probability").alias("probability"))

@@ -27,10 +27,10 @@ def csv_scan_multiline(t):
     return essays.withColumn("n", F.length("text").cast("bigint"))
 
 
-@query("s3_parquet_scan", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase'")
+@query("s3_parquet_scan", "SELECT event_id, user_id, event_type FROM events")
 def parquet_scan(t):
     events = files.read_table(t.spark, f"{t.folder}/events.parquet")
-    return events.select("event_id", "user_id", "event_type").filter(F.col("event_type") == "purchase")
+    return events.select("event_id", "user_id", "event_type")
 
 
 @query("s4_parquet_sink", """
@@ -82,6 +82,17 @@ def first_line(t):
     return pages.page_at(t.documents, "doc_id", "text", 1, "\n").withColumnRenamed("text", "line")
 
 
+@query("s8_first_lines_of_files", """
+WITH d AS (SELECT part, min(c_custkey) AS least FROM (SELECT c_custkey, c_custkey % 3 AS part FROM customer) GROUP BY part)
+SELECT least::varchar AS line FROM d""")
+def first_lines_of_files(t):
+    path = shared_path(t.spark, "first-lines")
+    customers = t.customer.select(F.col("c_custkey").cast("string").alias("line"), F.col("c_custkey"), (F.col("c_custkey") % 3).alias("part"))
+    dealt = customers.repartition(3, "part").sortWithinPartitions("part", "c_custkey")
+    dealt.select("part", "line").write.partitionBy("part").text(path)
+    return files.first_lines(t.spark, f"{path}/*").select("line")
+
+
 @query("s9_write_and_append_lines", """
 SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark
 UNION ALL SELECT unnest(string_split(text, chr(10))) FROM conversations) GROUP BY 1""")
