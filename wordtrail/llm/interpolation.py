@@ -25,7 +25,7 @@ from wordtrail.session import shared_path
 
 HELD_OUT, TRAIN, DEVELOP = 0, 1, 2
 UNIT = ("unit long, n_docs long, n_train long, n_main long, keys array<long>, roles binary, sizes binary, tokens binary, words binary")
-ANSWER = "unit long, n int, range int, main binary, total binary, shared binary, types long, tokens long, main_tokens long"
+ANSWER = "unit long, n int, range int, main binary, extra binary, shared binary, types long, tokens long, main_tokens long"
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -143,7 +143,7 @@ class Unit:
         if self.sent.any():
             answers = sorted(answers, key=lambda a: a["range"])
             main[self.sent] = np.concatenate([unpack(a["main"]) for a in answers])
-            total[self.sent] = np.concatenate([unpack(a["total"]) for a in answers])
+            total[self.sent] = main[self.sent] + np.concatenate([unpack(a["extra"]) for a in answers])
             elsewhere[self.sent] = np.concatenate([unpack(a["shared"]) for a in answers]) > 0
         self.elsewhere = elsewhere[self.at]
         if self.keep:
@@ -160,14 +160,17 @@ class Unit:
 
 
 def requests(rows: DataFrame, n: int, ranges_bits: int) -> DataFrame:
-    """What units send of n-grams of length ``n``; ``rows`` are units with the answers for shorter ones."""
+    """What units send of n-grams of length ``n``; ``rows`` are units with the answers for shorter ones.
+
+    ``extra`` are the counts in the development texts, on top of ``main``; they are mostly zero.
+    """
     def send(batches):
         for batch in batches:
             for row in rows_of(batch):
                 unit = Unit(row)
                 unit.take(row.get("answers"), n - 1)
                 unit.grow()
-                keys, main, total = (x[unit.sent] for x in (unit.unique, unit.own_main, unit.own_total))
+                keys, main, extra = (x[unit.sent] for x in (unit.unique, unit.own_main, unit.own_total - unit.own_main))
                 if not len(keys):
                     continue
                 part = (keys >> np.uint64(64 - ranges_bits)).astype(np.int64) if ranges_bits else np.zeros(len(keys), np.int64)
@@ -177,9 +180,9 @@ def requests(rows: DataFrame, n: int, ranges_bits: int) -> DataFrame:
                     pa.array(np.full(len(cuts), row["unit"])), pa.array(part[cuts], pa.int32()),
                     pa.array([keys[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()),
                     pa.array([pack(main[a:b]) for a, b in zip(cuts, stops)], pa.binary()),
-                    pa.array([pack(total[a:b]) for a, b in zip(cuts, stops)], pa.binary())], names=["unit", "range", "keys", "main", "total"])
+                    pa.array([pack(extra[a:b]) for a, b in zip(cuts, stops)], pa.binary())], names=["unit", "range", "keys", "main", "extra"])
 
-    return rows.mapInArrow(send, "unit long, range int, keys binary, main binary, total binary")
+    return rows.mapInArrow(send, "unit long, range int, keys binary, main binary, extra binary")
 
 
 def answers(asked: DataFrame, n: int, partitions: int) -> DataFrame:
@@ -187,18 +190,18 @@ def answers(asked: DataFrame, n: int, partitions: int) -> DataFrame:
     def reply(sent: list[dict]) -> pa.RecordBatch:
         keys = [np.frombuffer(r["keys"], np.uint64) for r in sent]
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        main, total = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        main, extra = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
         holders = np.bincount(at, minlength=len(unique))  # units that don't send a key are its only holders
         stops = np.cumsum([len(k) for k in keys])
         places = np.split(at, stops[:-1])
         for r, place in zip(sent, places):  # keys are distinct within one sender
             main[place] += unpack(r["main"])
-            total[place] += unpack(r["total"])
+            extra[place] += unpack(r["extra"])
         rest = [0] * (len(sent) - 1)
         return pa.RecordBatch.from_arrays([
             pa.array([r["unit"] for r in sent], pa.int64()), pa.array([n] * len(sent), pa.int32()), pa.array([r["range"] for r in sent], pa.int32()),
-            pa.array([pack(main[p]) for p in places], pa.binary()), pa.array([pack(total[p]) for p in places], pa.binary()),
-            pa.array([pack(holders[p] > 1) for p in places], pa.binary()), pa.array([int((total > 0).sum()), *rest], pa.int64()), pa.array([int(total.sum()), *rest], pa.int64()),
+            pa.array([pack(main[p]) for p in places], pa.binary()), pa.array([pack(extra[p]) for p in places], pa.binary()),
+            pa.array([pack(holders[p] > 1) for p in places], pa.binary()), pa.array([int((main + extra > 0).sum()), *rest], pa.int64()), pa.array([int((main + extra).sum()), *rest], pa.int64()),
             pa.array([int(main.sum()), *rest], pa.int64())], names=[c.split()[0] for c in ANSWER.split(", ")])
 
     def run(batches):
@@ -355,5 +358,5 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
 
 def with_answers(corpus: DataFrame, replies: DataFrame) -> DataFrame:
     """Units with all their answers in one array; a unit's answers are about as large as the unit."""
-    lists = replies.groupBy("unit").agg(F.collect_list(F.struct("n", "range", "main", "total", "shared")).alias("answers"))
+    lists = replies.groupBy("unit").agg(F.collect_list(F.struct("n", "range", "main", "extra", "shared")).alias("answers"))
     return corpus.join(lists, "unit", "left")
