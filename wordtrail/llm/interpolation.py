@@ -249,6 +249,8 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
     Their tokens were left out of the counts used here. Each round is one sum over all of them.
     """
     buckets = 16 * max(order - 1, 0) + 1
+    # a context no longer than the bucket's: estimates of longer ones are zero there and take no weight
+    possible = np.arange(order + 1) <= 1 + (np.arange(buckets)[:, None] + 15) // 16
 
     def table(batches):
         for batch in batches:
@@ -266,7 +268,7 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
                 yield pa.RecordBatch.from_arrays([pa.array([same.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=["data", "n"])
 
     kept = stored(rows.mapInArrow(table, "data binary, n binary"), "held-out-estimates")
-    weights = np.full((buckets, order + 1), 1.0 / (order + 1))
+    weights = possible / possible.sum(axis=1, keepdims=True)
     uniform, before = 1.0 / (size["types"] + 1), -np.inf
 
     for _ in range(rounds):
@@ -297,8 +299,9 @@ def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance:
             total[r.pos] = r.v
         total = total.reshape(weights.shape)
         # a little of the pooled mixture keeps rare buckets sound
-        pooled = total.sum(axis=0) / total.sum()
-        weights = (total + pooled) / (total.sum(axis=1, keepdims=True) + 1.0)
+        pooled = possible * (total.sum(axis=0) / total.sum())
+        weights = total + pooled
+        weights /= weights.sum(axis=1, keepdims=True)
         gain = parts[0].gain / parts[0].tokens
         if gain - before < tolerance:
             break
