@@ -111,11 +111,19 @@ def rows_of(batch: pa.RecordBatch):
         yield batch.slice(at, 1).to_pylist()[0]
 
 
+def shifted(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """Each position's value of the position before; ``first`` at the start of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
 class Unit:
     """A unit's n-grams of growing length, with counts over all of the corpus as answers come in."""
 
-    def __init__(self, row: dict, keep: str | None = None):
-        """``keep``: which counts to hold a position, ``main``, ``total`` or none."""
+    def __init__(self, row: dict, keep: bool = False):
+        """``keep``: hold the counts of each position, without (``main``) and with (``total``) the development texts."""
         self.keep = keep
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         self.roles, self.tokens = unpack(row["roles"]), unpack(row["tokens"])
@@ -125,14 +133,7 @@ class Unit:
         self.word_keys = self.hashes[self.tokens]
         self.role = np.repeat(self.roles, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.n, self.keys, self.counts = 0, None, []
-
-    def shifted(self, values: np.ndarray, first) -> np.ndarray:
-        """Each position's value of the position before; ``first`` at the start of a text."""
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[self.starts] = first
-        return out
+        self.n, self.keys, self.main, self.total = 0, None, [], []
 
     def grow(self) -> None:
         """Go on to n-grams one word longer; finds which of them other units may have too."""
@@ -142,8 +143,8 @@ class Unit:
             self.unique, first, rank = distinct(self.hashes)
             self.at = rank[self.tokens]
         else:
-            self.keys = joined(self.shifted(self.keys, np.uint64(self.n)), self.word_keys)
-            wanted = self.elsewhere & self.shifted(self.elsewhere, True)
+            self.keys = joined(shifted(self.keys, self.starts, np.uint64(self.n)), self.word_keys)
+            wanted = self.elsewhere & shifted(self.elsewhere, self.starts, True)
             self.unique, first, self.at = distinct(self.keys)
         count = len(self.unique)
         self.own_main = np.bincount(self.at[self.role == TRAIN], minlength=count)
@@ -160,7 +161,8 @@ class Unit:
             elsewhere[self.sent] = np.concatenate([unpack(a["shared"]) for a in answers]) > 0
         self.elsewhere = elsewhere[self.at]
         if self.keep:
-            self.counts.append(narrow({"main": main, "total": total}[self.keep])[self.at])
+            self.main.append(narrow(main)[self.at])
+            self.total.append(narrow(total)[self.at])
 
     def take(self, answers: list[dict] | None, longest: int) -> None:
         """Count all n-grams up to the length ``longest``, with the answers for those that were sent."""
@@ -233,16 +235,19 @@ def answers(asked: DataFrame, n: int, partitions: int) -> DataFrame:
 
 # ---- the mixture
 
-def estimates(unit: Unit, size: dict, texts: int, tokens: int, piece: int = 1 << 18):
-    """For pieces of the unit: (slice, bucket of each position, estimates: uniform, then by n-grams of length 1, 2, ...).
+COUNTED = "keys array<long>, roles binary, sizes binary, counts array<binary>, data binary, n binary"
+
+
+def estimates(counts: list[np.ndarray], starts: np.ndarray, size: dict, texts: int, tokens: int, piece: int = 1 << 18):
+    """For pieces of a unit: (slice, bucket of each position, estimates: uniform, then by n-grams of length 1, 2, ...).
 
     The bucket is the length of the longest context seen in training and the power of two below
     its frequency, of which the last is 2^15.
     """
-    counts, order = unit.counts, len(unit.counts)
-    contexts = [unit.shifted(c, texts) for c in counts[:-1]]
-    for at in range(0, len(unit.tokens), piece):
-        part = slice(at, min(at + piece, len(unit.tokens)))
+    order = len(counts)
+    contexts = [shifted(c.astype(np.int64), starts, texts) for c in counts[:-1]]
+    for at in range(0, len(counts[0]), piece):
+        part = slice(at, min(at + piece, len(counts[0])))
         p = np.zeros((part.stop - at, order + 1))
         p[:, 0] = 1.0 / (size["types"] + 1)
         p[:, 1] = counts[0][part] / max(tokens, 1)
@@ -256,31 +261,37 @@ def estimates(unit: Unit, size: dict, texts: int, tokens: int, piece: int = 1 <<
         yield part, bucket, p
 
 
-def fit_weights(rows: DataFrame, order: int, size: dict, rounds: int, tolerance: float = 1e-5) -> np.ndarray:
+def counted(rows: DataFrame, order: int, size: dict) -> DataFrame:
+    """A unit a row: every position's counts for the scores, and the estimates of its development
+    tokens (bucket, then n-grams of length 1, 2, ...; each distinct row with its number)."""
+    def run(batches):
+        for batch in batches:
+            for row in rows_of(batch):
+                unit = Unit(row, keep=True)
+                unit.take(row["answers"], order)
+                data, n = np.zeros((0, order + 1), np.float32), np.zeros(0, np.int64)
+                if (unit.role == DEVELOP).any():
+                    chosen = []
+                    for part, bucket, p in estimates(unit.main, unit.starts, size, size["main_texts"], size["main_tokens"]):
+                        at = unit.role[part] == DEVELOP
+                        chosen.append(np.concatenate([bucket[at][:, None], p[at][:, 1:]], axis=1).astype(np.float32))
+                    data, n = np.unique(np.concatenate(chosen), axis=0, return_counts=True)
+                values = [row["keys"], row["roles"], row["sizes"], [pack(c) for c in unit.total], data.tobytes(), n.astype(np.int64).tobytes()]
+                kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+    return stored(rows.mapInArrow(run, COUNTED), "lm-positions")
+
+
+def fit_weights(kept: DataFrame, order: int, size: dict, rounds: int, tolerance: float = 1e-5) -> np.ndarray:
     """Mixture weights a bucket by expectation-maximisation over the development texts.
 
-    Their tokens were left out of the counts used here. Each round is one sum over all of them.
+    ``kept`` has their estimates (``data, n`` of ``counted``); their tokens were left out of the
+    counts used there. Each round is one sum over all of them.
     """
     buckets = 16 * max(order - 1, 0) + 1
     # a context no longer than the bucket's: estimates of longer ones are zero there and take no weight
     possible = np.arange(order + 1) <= 1 + (np.arange(buckets)[:, None] + 15) // 16
-
-    def table(batches):
-        for batch in batches:
-            for row in rows_of(batch):
-                unit = Unit(row, "main")
-                if not (unit.role == DEVELOP).any():
-                    continue
-                unit.take(row["answers"], order)
-                chosen = []
-                for part, bucket, p in estimates(unit, size, size["main_texts"], size["main_tokens"]):
-                    at = unit.role[part] == DEVELOP
-                    chosen.append(np.concatenate([bucket[at][:, None], p[at][:, 1:]], axis=1).astype(np.float32))
-                data = np.concatenate(chosen)
-                same, n = np.unique(data, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([same.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=["data", "n"])
-
-    kept = stored(rows.mapInArrow(table, "data binary, n binary"), "held-out-estimates")
     weights = possible / possible.sum(axis=1, keepdims=True)
     uniform, before = 1.0 / (size["types"] + 1), -np.inf
 
@@ -350,23 +361,24 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
             sums = new.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("main_tokens").alias("main_tokens")).first()
             size = {k: int(v or 0) for k, v in {**sums.asDict(), **texts.asDict()}.items()}
         replies = new if replies is None else replies.unionByName(new)
-    rows = with_answers(corpus, replies)
-    weights = fit_weights(rows, order, size, rounds)
+    rows = counted(with_answers(corpus, replies), order, size)
+    weights = fit_weights(rows.select("data", "n"), order, size, rounds)
 
     def scores(batches):
         names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for batch in batches:
             for row in rows_of(batch):
-                unit = Unit(row, "total")
-                unit.take(row["answers"], order)
-                mixed = np.concatenate([np.log10((weights[bucket] * p).sum(axis=1)) for _, bucket, p in estimates(unit, size, size["texts"], size["tokens"])])
-                base = np.log10((unit.counts[0] + 1.0) / (size["tokens"] + size["types"] + 1))
+                sizes, counts = unpack(row["sizes"]).astype(np.int64), [unpack(c) for c in row["counts"]]
+                starts = np.cumsum(sizes) - sizes
+                mixed = np.concatenate([np.log10((weights[bucket] * p).sum(axis=1))
+                                        for _, bucket, p in estimates(counts, starts, size, size["texts"], size["tokens"])])
+                base = np.log10((counts[0] + 1.0) / (size["tokens"] + size["types"] + 1))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["keys"], pa.int64()), pa.array(unit.roles == HELD_OUT), pa.array(unit.sizes),
-                    pa.array(np.add.reduceat((unit.counts[0] > 0).astype(np.int64), unit.starts)), pa.array(np.full(len(unit.sizes), size["tokens"])),
-                    pa.array(np.add.reduceat(base, unit.starts)), pa.array(np.add.reduceat(mixed, unit.starts))], names=names)
+                    pa.array(row["keys"], pa.int64()), pa.array(unpack(row["roles"]) == HELD_OUT), pa.array(sizes),
+                    pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), size["tokens"])),
+                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=names)
 
-    result = stored(rows.mapInArrow(scores, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    result = stored(rows.select("keys", "roles", "sizes", "counts").mapInArrow(scores, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                             "base_score double, score double"), "lm-scores")
     spark.sql(f"DROP TABLE {name}")
     return result
