@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordtrail.llm.common import stored
+from wordtrail.llm.common import settings, stored
 from wordtrail.session import shared_path
 
 HELD_OUT, TRAIN, DEVELOP = 0, 1, 2
@@ -334,7 +334,7 @@ def fit_weights(kept: DataFrame, order: int, size: dict, rounds: int, tolerance:
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", order: int = 3, rounds: int = 15,
-          unit_tokens: int = 1_600_000, develop_share: int = 20) -> DataFrame:
+          unit_tokens: int = 1_200_000, develop_share: int = 20) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Trained on the rows that ``held_out`` (a boolean column) excludes not. One in
@@ -350,36 +350,37 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     name = f"lm_units_{uuid.uuid4().hex}"
     (units(docs, text, key, F.coalesce(held_out, F.lit(False)), develop, unit_tokens).write.bucketBy(partitions, "unit")
      .option("path", shared_path(spark, "lm-units")).saveAsTable(name))  # buckets: units never move again
-    corpus = spark.table(name)
-    texts = corpus.agg(F.sum("n_train").alias("texts"), F.sum("n_main").alias("main_texts")).first()
-    replies: DataFrame | None = None
-    size: dict = {}
-    for n in range(1, order + 1):
-        rows = corpus if replies is None else with_answers(corpus, replies)
-        new = stored(answers(requests(rows, n, bits), n, partitions), f"lm-counts-{n}")
-        if n == 1:
-            sums = new.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("main_tokens").alias("main_tokens")).first()
-            size = {k: int(v or 0) for k, v in {**sums.asDict(), **texts.asDict()}.items()}
-        replies = new if replies is None else replies.unionByName(new)
-    rows = counted(with_answers(corpus, replies), order, size)
-    weights = fit_weights(rows.select("data", "n"), order, size, rounds)
-
-    def scores(batches):
-        names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for batch in batches:
-            for row in rows_of(batch):
-                sizes, counts = unpack(row["sizes"]).astype(np.int64), [unpack(c) for c in row["counts"]]
-                starts = np.cumsum(sizes) - sizes
-                mixed = np.concatenate([np.log10((weights[bucket] * p).sum(axis=1))
-                                        for _, bucket, p in estimates(counts, starts, size, size["texts"], size["tokens"])])
-                base = np.log10((counts[0] + 1.0) / (size["tokens"] + size["types"] + 1))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["keys"], pa.int64()), pa.array(unpack(row["roles"]) == HELD_OUT), pa.array(sizes),
-                    pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), size["tokens"])),
-                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=names)
-
-    result = stored(rows.select("keys", "roles", "sizes", "counts").mapInArrow(scores, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                            "base_score double, score double"), "lm-scores")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4"):  # a row is a unit, or a unit's share of a range
+        corpus = spark.table(name)
+        texts = corpus.agg(F.sum("n_train").alias("texts"), F.sum("n_main").alias("main_texts")).first()
+        replies: DataFrame | None = None
+        size: dict = {}
+        for n in range(1, order + 1):
+            rows = corpus if replies is None else with_answers(corpus, replies)
+            new = stored(answers(requests(rows, n, bits), n, partitions), f"lm-counts-{n}")
+            if n == 1:
+                sums = new.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("main_tokens").alias("main_tokens")).first()
+                size = {k: int(v or 0) for k, v in {**sums.asDict(), **texts.asDict()}.items()}
+            replies = new if replies is None else replies.unionByName(new)
+        rows = counted(with_answers(corpus, replies), order, size)
+        weights = fit_weights(rows.select("data", "n"), order, size, rounds)
+
+        def scores(batches):
+            names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            for batch in batches:
+                for row in rows_of(batch):
+                    sizes, counts = unpack(row["sizes"]).astype(np.int64), [unpack(c) for c in row["counts"]]
+                    starts = np.cumsum(sizes) - sizes
+                    mixed = np.concatenate([np.log10((weights[bucket] * p).sum(axis=1))
+                                            for _, bucket, p in estimates(counts, starts, size, size["texts"], size["tokens"])])
+                    base = np.log10((counts[0] + 1.0) / (size["tokens"] + size["types"] + 1))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(row["keys"], pa.int64()), pa.array(unpack(row["roles"]) == HELD_OUT), pa.array(sizes),
+                        pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), size["tokens"])),
+                        pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=names)
+
+        result = stored(rows.select("keys", "roles", "sizes", "counts").mapInArrow(scores, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                                "base_score double, score double"), "lm-scores")
     spark.sql(f"DROP TABLE {name}")
     return result
 
