@@ -188,3 +188,17 @@ def test_formatting(spark):
 def test_mismatches(spark, a, b, n):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(text.mismatches("a", "b").alias("n")).first()
     assert row.n == n
+
+
+def test_chunk_marks_inside_tokens_are_removed(spark):
+    df = spark.createDataFrame([(1, ["the", "old\u0002\u0001", "house\u0003"])], "id int, t array<string>")
+    row = tagging.noun_chunk_rows(df, "id", F.col("t")).first()
+    assert (row.start, row.stop, row.chunk) == (0, 3, "the old house")
+
+
+def test_counts_within_a_row_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "id int, t string")
+    counts = tokens.term_counts(df, "id", tokens.word_tokens("t"))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 1), (1, "b", 2)]
+    assert [tuple(r) for r in tokens.top_items(df, "id", tokens.word_tokens("t"), 1).collect()] == [(1, 1, "b", 2)]

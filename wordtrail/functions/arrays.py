@@ -15,6 +15,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def counted_items(items: Column | str) -> Column:
+    """Distinct items as ``array<struct<item, n, first>>``, ``first`` being the 0-based place of the
+    first; null for an empty list. One sort of the list, linear otherwise."""
+    def runs(ordered: Column) -> Column:
+        item = lambda i: F.get(ordered, i)["item"]
+        begins = lambda i: (i == 0) | ~item(i).eqNullSafe(item(i - 1))
+
+        def one(starts: Column) -> Column:
+            return F.transform(starts, lambda start, j: F.struct(
+                item(start).alias("item"),
+                (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - start).cast("bigint").alias("n"),
+                F.get(ordered, start)["place"].alias("first")))
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), begins), one)
+
+    items = _col(items)
+    placed = F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("place")))
+    return F.when(F.size(items) > 0, let(F.array_sort(placed), runs))
+
+
 def sum_columns(*columns: Column | str) -> Column:
     """Sum of any number of columns."""
     return reduce(add, [_col(c) for c in columns])

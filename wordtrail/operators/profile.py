@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordtrail.functions.arrays import dot, let, unit_vector
@@ -114,13 +116,11 @@ def _mean_cosines(sizes: list[int]) -> Column:
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``(key, vector)``: element-wise mean of all vectors of a group.
 
-    Positions are averaged separately, combined before the shuffle; only one value per position
-    and group is put together again.
+    One summary a task and group travels; null vectors do not count.
     """
-    parts = df.select(key, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m")).select(
-        key, F.col("m.mean").alias("vector"))
+    rows = df.filter(F.col(vector).isNotNull()).select(
+        key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    return rows.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, vector_to_array("_m").alias("vector"))
 
 
 def length_profile(df: DataFrame, label: str, text: str, tokens: Column) -> DataFrame:

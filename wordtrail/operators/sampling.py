@@ -102,34 +102,24 @@ def uniform_sets(df: DataFrame, key: str, label: str, target, classes: list,
 
     Every other class is cut into as many buckets as the sampled target fits into it; the largest
     class gives one set per bucket. A class with fewer buckets lends a bucket again, chosen by
-    hash. Each set holds all target rows. One pass: a row is exploded into the sets it belongs to.
+    hash. Each set holds all target rows. Which set takes which bucket is a table of its own that
+    the rows are joined with; only the target rows are repeated for all sets.
     """
     others = [c for c in classes if c != target]
     is_target = F.col(label) == target
-    sizes = df.agg(F.count_if(is_target & (_unit(key, seed) < fraction)).alias("wanted"),
-                   F.array(*[F.count_if(F.col(label) == c) for c in others]).alias("sizes"))
-    fitting = lambda n: F.greatest(F.floor(F.try_divide(n.cast("double"), F.col("wanted").cast("double"))), F.lit(1))
-    owned = sizes.select(F.transform("sizes", lambda n: F.coalesce(fitting(n), F.lit(1)).cast("int")).alias("own"))
-    plan = owned.select("own", F.array_max("own").alias("sets")).withColumn(
-        "labels", F.array(*[F.lit(c).cast("string") for c in others]))
-
-    def source_buckets(own: Column, position: Column) -> Column:
-        """Which of a class's buckets each set takes: its own number, or a lent one by hash."""
-        lent = lambda j: F.floor(unit_hash(F.get("labels", position), j) * own).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.col("sets") - 1), lambda j: F.when(j < own, j).otherwise(lent(j)))
-
-    plan = plan.select(F.struct("sets", "own", F.transform("own", source_buckets).alias("taken")).alias("plan")).scalar()
-    position = F.lit(None).cast("int")
-    for i, c in enumerate(others):
-        position = F.when(F.col(label) == c, i).otherwise(position)
-    rows = df.filter(F.col(label).isin(classes)).withColumns({
-        "_sets": plan.sets, "_own": F.get(plan.own, position), "_taken": F.get(plan.taken, position)})
-    rows = rows.withColumn("_bucket", F.floor(_unit(key, seed) * F.col("_own")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_sets") - 1)
-    sets = (F.when(is_target, every)
-             .when(F.col("_own") == F.col("_sets"), F.array("_bucket"))
-             .otherwise(F.filter(every, lambda j: F.get("_taken", j) == F.col("_bucket"))))
-    return rows.withColumn("sample_id", F.explode(sets)).drop("_sets", "_own", "_taken", "_bucket")
+    wanted = df.agg(F.count_if(is_target & (_unit(key, seed) < fraction)).cast("double").alias("n")).scalar()
+    fitting = F.floor(F.try_divide(F.col("_n").cast("double"), wanted))
+    rest = df.filter(F.col(label).isin(others))
+    owned = rest.groupBy(label).agg(F.count("*").alias("_n")).select(
+        label, F.coalesce(F.greatest(fitting, F.lit(1)), F.lit(1)).cast("int").alias("_own"))
+    every = F.sequence(F.lit(0), owned.agg(F.coalesce(F.max("_own"), F.lit(1)).alias("sets")).scalar() - 1)
+    lent = F.floor(unit_hash(F.col(label), F.col("sample_id")) * F.col("_own")).cast("int")
+    takes = owned.withColumn("sample_id", F.explode(every)).select(
+        label, "sample_id", F.when(F.col("sample_id") < F.col("_own"), F.col("sample_id")).otherwise(lent).alias("_bucket"))
+    placed = rest.join(F.broadcast(owned), label).withColumn(  # a row a class
+        "_bucket", F.floor(_unit(key, seed) * F.col("_own")).cast("int"))
+    taken = placed.join(takes, [label, "_bucket"]).select(*df.columns, "sample_id")
+    return taken.unionByName(df.filter(is_target).withColumn("sample_id", F.explode(every)))
 
 
 def class_split_counts(df: DataFrame, label: str, splits: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from wordtrail.functions.arrays import let
 from wordtrail.functions.hashing import _col
 from wordtrail.operators.lookup import lookup_join, salted_join
 
+# The Penn tags of nouns and of verbs.
 NOUN_TAGS = ["NN", "NNS", "NNPS", "NNP"]
 VERB_TAGS = ["VB", "VBD", "VBG", "VBN", "VBP", "VBZ"]
 
@@ -260,7 +261,8 @@ def noun_chunk_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
             return F.array_join(F.transform(F.arrays_zip(words.alias("w"), letters.alias("c")), piece), "")
         return let(F.split(settled, ""), with_marks)
 
-    chunks = regex.all_matches(let(tokens, marked), f"{OPENS}[^{OPENS}{OUTSIDE}]*")
+    clean = F.transform(_col(tokens), lambda w: F.translate(w, OPENS + GOES_ON + OUTSIDE, ""))  # the marks must be ours alone
+    chunks = regex.all_matches(let(clean, marked), f"{OPENS}[^{OPENS}{OUTSIDE}]*")
     rows = df.select(key, F.posexplode(chunks).alias("chunk_no", "m"))
     start = F.regexp_extract("m", "^.([0-9]+):", 1).cast("int")
     words = F.split(F.regexp_replace("m", "^.[0-9]+:", ""), GOES_ON)

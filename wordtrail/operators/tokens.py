@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wordtrail.functions import regex
+from wordtrail.functions.arrays import counted_items
 from wordtrail.functions.hashing import _col
 from wordtrail.functions.text import is_alpha, shape
 from wordtrail.operators.lookup import lookup_join, word_table
@@ -127,18 +128,17 @@ def word_frequency(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``(key, term, tf)``; a text is one row, so its counts are complete before the shuffle."""
-    return (df.select(key, F.explode(tokens).alias("term"))
-              .groupBy(key, "term").agg(F.count("*").alias("tf")))
+    """``(key, term, tf)``, counted within each row: no shuffle. Rows of the same key are counted apart."""
+    counts = df.select(key, F.explode(counted_items(tokens)).alias("_c"))
+    return counts.select(key, F.col("_c.item").alias("term"), F.col("_c.n").alias("tf"))
 
 
 def top_items(df: DataFrame, key: str, items: Column, limit: int = 5) -> DataFrame:
     """The most frequent items of each row's list, most frequent first; ties by first position.
 
-    Works on ``(key, item)`` counts; the ranking window holds one list's distinct items.
+    Counted and ranked within each row: no shuffle.
     """
-    counts = (df.select(key, F.posexplode(items).alias("pos", "item"))
-                .groupBy(key, "item").agg(F.count("*").alias("n"), F.min("pos").alias("first")))
-    ranked = counts.withColumn("rank", F.row_number().over(
-        Window.partitionBy(key).orderBy(F.desc("n"), "first")))
-    return ranked.filter(F.col("rank") <= limit).select(key, "rank", "item", "n")
+    ranked = F.transform(counted_items(items), lambda c: F.struct(
+        (-c["n"]).alias("order"), c["first"].alias("first"), c["item"].alias("item"), c["n"].alias("n")))
+    rows = df.select(key, F.posexplode(F.slice(F.array_sort(ranked), 1, limit)).alias("_i", "_c"))
+    return rows.select(key, (F.col("_i") + 1).alias("rank"), F.col("_c.item").alias("item"), F.col("_c.n").alias("n"))

@@ -106,30 +106,40 @@ def stacked_vector(t):
     return stacked.select("doc_id", F.get(slots, F.lit(0)).alias("first"), F.get(slots, F.lit(1)).alias("second"))
 
 
+def finite(vector: str):
+    """Whether all numbers of an array are finite."""
+    return F.forall(vector, lambda x: F.abs(x) < float("inf"))
+
+
 def event_journeys(t):
     return journey.user_journeys(t.events, "user_id", "event_type", "value",
                                  F.col("event_type") == "purchase", ["ts", "event_id"])
 
 
-@query("v7_journey_word2vec")
+@query("v7_journey_word2vec", "SELECT DISTINCT user_id, 100 AS size, true AS finite FROM events")
 def journey_word2vec(t):
     lists = event_journeys(t)
     model = features.train_word_vectors(lists, "pages")
     parts = model.transform(lists).select("user_id", "embedding", F.size("pages").cast("double").alias("n"))
     whole = parts.groupBy("user_id").agg(Summarizer.mean(F.col("embedding"), F.col("n")).alias("embedding"))
-    return whole.select("user_id", vector_to_array("embedding").alias("embedding"))
+    rows = whole.select("user_id", vector_to_array("embedding").alias("embedding"))
+    return rows.select("user_id", F.size("embedding").alias("size"), finite("embedding").alias("finite"))
 
 
-@query("v8_word_vectors")
+@query("v8_word_vectors", """
+WITH m AS (SELECT event_type, lag(event_type, 1, 'started') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT event_type AS word, 100 AS size, true AS finite FROM m WHERE event_type <> p GROUP BY 1 HAVING count(*) >= 5""")
 def word_vector_table(t):
-    return features.word_vectors(features.train_word_vectors(event_journeys(t), "pages"))
+    vectors = features.word_vectors(features.train_word_vectors(event_journeys(t), "pages"))
+    return vectors.select("word", F.size("vector").alias("size"), finite("vector").alias("finite"))
 
 
-@query("v9_document_vectors")
+@query("v9_document_vectors", "SELECT doc_id, 100 AS size, true AS finite FROM documents")
 def document_vectors(t):
     docs = refined(t)
     model = features.train_word_vectors(docs, "tokens", output="doc2vec")
-    return model.transform(docs).select("doc_id", vector_to_array("doc2vec").alias("doc2vec"))
+    rows = model.transform(docs).select("doc_id", vector_to_array("doc2vec").alias("doc2vec"))
+    return rows.select("doc_id", F.size("doc2vec").alias("size"), finite("doc2vec").alias("finite"))
 
 
 @query("v10_joined_embeddings", """
@@ -142,9 +152,10 @@ def joined_embeddings(t):
         "doc_id", F.size(slots).cast("bigint").alias("size"), F.round(F.get(slots, F.lit(0)), 6).alias("first"))
 
 
-@query("v11_pca")
+@query("v11_pca", "SELECT vec_id, 2 AS size, true AS finite FROM embeddings")
 def pca(t):
-    return features.project(t.embeddings, "embedding", 2).select("vec_id", vector_to_array("pca").alias("pca"))
+    rows = features.project(t.embeddings, "embedding", 2).select("vec_id", vector_to_array("pca").alias("pca"))
+    return rows.select("vec_id", F.size("pca").alias("size"), finite("pca").alias("finite"))
 
 
 @query("v12_text_stages")
@@ -180,10 +191,13 @@ def scalers(t):
     return rows.select("doc_id", first("a").alias("min_max"), first("b").alias("max_abs"))
 
 
-@query("v13_quantile_bands")
+@query("v13_quantile_bands", """
+SELECT b::double AS band, true AS even FROM range(0, 4) r(b) WHERE (SELECT count(*) FROM events) > 0""")
 def quantile_bands(t):
-    return QuantileDiscretizer(numBuckets=4, inputCol="value", outputCol="band").fit(t.events).transform(
-        t.events).groupBy("band").agg(F.count("*").alias("n"))
+    cut = QuantileDiscretizer(numBuckets=4, inputCol="value", outputCol="band").fit(t.events).transform(t.events)
+    share = F.count("*") / t.events.agg(F.count("*").alias("n")).scalar()
+    # each cut point is right to 0.1 % of the rows; equal values stay together
+    return cut.groupBy("band").agg((F.abs(share - 0.25) < 0.01).alias("even"))
 
 
 def sentiment(t):
@@ -216,12 +230,14 @@ def area_under_roc(t):
     return evaluate.area_under_roc(scored_labels(t), "s", "y").select(F.round("auc", 6).alias("auc"))
 
 
-@query("l2_evaluator_auc")
+@query("l2_evaluator_auc", "SELECT count(*) AS rows, true AS agrees FROM embeddings")
 def evaluator_auc(t):
     rows = labelled(t)
     model = LogisticRegression(labelCol="y", maxIter=10).fit(rows)
-    value = learning.auc(model.transform(rows), "y")
-    return rows.agg(F.count("*").alias("rows")).withColumn("auc", F.lit(value))
+    scored = model.transform(rows)
+    value = learning.auc(scored, "y")
+    own = evaluate.area_under_roc(scored.select(F.get(vector_to_array("probability"), F.lit(1)).alias("s"), F.col("y").cast("int").alias("y")), "s", "y")
+    return rows.agg(F.count("*").alias("rows")).withColumn("agrees", F.abs(own.select("auc").scalar() - value) < 0.005)
 
 
 @query("l3_curve_points", """
@@ -299,14 +315,23 @@ def boosted_classifier_grid(t):
     return best_row(t, rows, learning.boosted_classifier_grid(rows, "p", "y", grid=SMALL_BOOSTING)[1])
 
 
-@query("l11_bisecting_sweep")
+SWEEP_SQL = (
+    "SELECT k::integer AS clusters, true AS silhouette_in_range, true AS cost_is_positive "
+    "FROM range(2, 5) r(k) WHERE (SELECT count(*) FROM embeddings) > 0")
+
+
+def swept(rows):
+    return rows.select("clusters", F.abs("silhouette").between(0, 1).alias("silhouette_in_range"), (F.col("cost") > 0).alias("cost_is_positive"))
+
+
+@query("l11_bisecting_sweep", SWEEP_SQL)
 def bisecting_sweep(t):
-    return learning.cluster_sweep(vectors(t), 4, bisecting=True)
+    return swept(learning.cluster_sweep(vectors(t), 4, bisecting=True))
 
 
-@query("l12_kmeans_sweep")
+@query("l12_kmeans_sweep", SWEEP_SQL)
 def kmeans_sweep(t):
-    return learning.cluster_sweep(vectors(t), 4)
+    return swept(learning.cluster_sweep(vectors(t), 4))
 
 
 SCORES, SCORE_PAIRS = [1, 2, 3], [(1, 2), (1, 3), (2, 3)]
@@ -323,19 +348,22 @@ def first_level(rows):
             learning.fit_pair_scorers(rows, "score", SCORE_PAIRS, rest=True, **small))
 
 
-@query("l13_boosted_scorers")
+@query("l13_boosted_scorers", """
+SELECT vec_id, label % 3 + 1 AS score, true AS are_classes FROM embeddings""")
 def boosted_scorers(t):
     rows = score_rows(t)
     models = learning.fit_binary_scorers(rows, "score", SCORES, maxDepth=2, maxIter=2)
     scored = votes.apply_models(rows, list(models.values()), "pred_", list(models))
-    return scored.select("vec_id", "score", *[f"pred_{s}" for s in SCORES])
+    both = [F.col(f"pred_{s}").isin(0.0, 1.0) for s in SCORES]
+    return scored.select("vec_id", "score", (both[0] & both[1] & both[2]).alias("are_classes"))
 
 
-@query("l14_stacked_scores")
+@query("l14_stacked_scores", "SELECT vec_id, true AS is_score FROM embeddings")
 def stacked_scores(t):
     rows = score_rows(t)
     stacked = learning.stack(rows, "vec_id", *first_level(rows))
-    return learning.final_score(stacked, "vec_id", learning.fit_final(stacked, "score"))
+    scored = learning.final_score(stacked, "vec_id", learning.fit_final(stacked, "score"))
+    return scored.select("vec_id", F.col("score").isin(SCORES).alias("is_score"))
 
 
 @query("l14_voted_scores")
@@ -346,12 +374,14 @@ def voted_scores(t):
     return scored.select("vec_id", votes.pairwise_vote(["pred_0", "pred_1", "pred_2"], SCORE_PAIRS).alias("score"))
 
 
-@query("l15_one_vs_rest_and_linear")
+@query("l15_one_vs_rest_and_linear", """
+SELECT vec_id, (label % 3)::double AS y, true AS is_class, true AS is_finite FROM embeddings""")
 def one_vs_rest_and_linear(t):
     rows = score_rows(t).withColumn("y", F.col("score").cast("double") - 1)
     ovr = OneVsRest(classifier=LinearSVC(maxIter=5), labelCol="y", predictionCol="ovr").fit(rows)
     line = LinearRegression(labelCol="y", maxIter=5, predictionCol="line").fit(rows)
-    return line.transform(ovr.transform(rows)).select("vec_id", "y", "ovr", "line")
+    return line.transform(ovr.transform(rows)).select(
+        "vec_id", "y", F.col("ovr").isin(0.0, 1.0, 2.0).alias("is_class"), (F.abs("line") < float("inf")).alias("is_finite"))
 
 
 @query("l15_cross_validated")
