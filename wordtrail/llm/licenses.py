@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,17 +43,27 @@ SPELLINGS = [("licenc", "licens"), ("sub licens", "sublicens"), ("non infring",
              ("copyright owner", "copyright holder"), ("merchantibility", "merchantability")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|©|\(c\))[^\n]*$"
 MARKS = string.punctuation + "“”‘’–—•©"
+NOTHING = hashlib.sha256(b"").hexdigest()  # a canonical text without a word is no licence
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, no punctuation, one spelling, single blanks."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(F.translate(out, MARKS, " " * len(MARKS)), r"[ \t\n\r]+", " "))
+def plain_lines(text: Column) -> Column:
+    """Lower case, no copyright lines, blanks for punctuation; line ends stay."""
+    return F.translate(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), MARKS, " " * len(MARKS))
+
+
+def one_spelling(plain: Column) -> Column:
+    """Single blanks and one spelling of equivalent words."""
+    out = F.trim(F.regexp_replace(plain, r"[ \t\n\r]+", " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, no punctuation, one spelling, single blanks."""
+    return one_spelling(plain_lines(text))
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """``license_id, digest`` of the known texts: a fixed list of a few rows."""
     rows = spark.createDataFrame(KNOWN, "license_id string, text string")
@@ -68,10 +79,16 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", known: DataFr
     are counted together. ``known`` (license_id, digest) may be of any size.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    whole = docs.select(F.col(key).alias("doc_id"), F.lit("document").alias("scope"), F.col(text).alias("part"))
-    lines = docs.select(F.col(key).alias("doc_id"), F.lit("line").alias("scope"), F.explode(F.split(F.col(text), "\n")).alias("part"))
-    parts = whole.unionByName(lines).filter("part IS NOT NULL").select("doc_id", "scope", canonical(F.col("part")).alias("part"))
-    hits = parts.filter("part <> ''").select("doc_id", "scope", F.sha2("part", 256).alias("digest")).join(known, "digest")
+    # all but blanks and spellings looks at one line at a time, so lines are cut after it
+    parts = (docs.select(F.col(key).alias("doc_id"), plain_lines(F.col(text)).alias("plain"))
+             .select("doc_id", F.explode(F.concat(
+                 F.array(F.struct(F.lit("document").alias("scope"), F.col("plain").alias("part"))),
+                 F.transform(F.split("plain", "\n"), lambda line: F.struct(F.lit("line").alias("scope"), line.alias("part"))))).alias("p")))
+    # a digest that is never null needs no test for null, which would make every digest twice
+    digest = F.coalesce(F.sha2(one_spelling(F.col("p.part")), 256), F.lit(""))
+    # likewise ``when``, not a filter, which the join would repeat for the digests of the texts
+    wanted = known.select("license_id", F.when(F.col("digest") != NOTHING, F.col("digest")).alias("digest"))
+    hits = parts.select("doc_id", "p.scope", digest.alias("digest")).join(wanted, "digest")
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_places"))
 
 
