@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                             F.lit(None).cast("binary").alias("payload"))
     text_key = F.col("key").cast("string")
     both = full.unionByName(short).withColumn("shard", shard_of(text_key, "sha1"))
-    dealt = both.repartition(max(1, len(edges)), "shard").sortWithinPartitions("shard", "key", "sha1", "kind", "url")
+    dealt = both.repartitionById(max(1, len(edges)), "shard").sortWithinPartitions("shard", "key", "sha1", "kind", "url")
 
     def write(batches):
         out, open_for, known = ShardWriter(folder, "warc.gz"), None, None
