@@ -50,6 +50,7 @@ class WordBpe:
             raise ValueError("the vocabulary lacks letters for single bytes")
         self._load_merges(model["merges"])
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _load_merges(self, merges: list) -> None:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -145,10 +146,17 @@ class WordBpe:
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def learn(self, chunks: set[str], most: int) -> None:
-        """Encode the chunks that aren't known yet, all their words in one go."""
-        if len(self.known) > most:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+        """Encode the chunks that aren't known yet, all their words in one go. Of about ``most``
+        chunks kept, those not met again while half as many new ones came are forgotten."""
+        if len(self.known) > most // 2:
+            self.older, self.known = self.known, {}
+        new = []
+        for c in chunks:
+            if c not in self.known:
+                if c in self.older:
+                    self.known[c] = self.older[c]
+                else:
+                    new.append(c)
         pieces, counts = [], []
         for c in new:
             found = [] if c in self.special else self.pieces(c)
@@ -180,7 +188,7 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_and_decode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", known: int = 400_000,
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", known: int = 200_000,
                       with_ids: bool = False) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` for each row, and ``ids`` if asked for.
 
@@ -197,8 +205,8 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", key: str =
         model = loaded(path)
         names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                rows = batch.slice(at, 250)
                 texts = [model.chunks(t or "") for t in rows.column(1).to_pylist()]
                 model.learn(set().union(*texts), known)
                 count, sha, back, ids = [], [], [], []
