@@ -284,6 +284,29 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(frame(spark, ODD), none).filter("score > 0.01").count() == 0 and toxicity.score(empty(spark), none).count() == 0
 
 
+def test_toxicity_scores_do_not_move_with_the_caps(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    learned, held = labels.filter(remainder("doc_id", 5) != 0), labels.filter(remainder("doc_id", 5) == 0)
+    share = learned.agg(F.avg("toxic")).first()[0]
+    scores = []
+    for caps in ({}, {"most_ordinary": 600}):  # the second takes about 360 toxic and 600 of 2,800 ordinary documents
+        scored = toxicity.score(docs.join(held, "doc_id", "left_semi"), toxicity.fit(docs, learned, **caps))
+        scores.append(dict(scored.collect()))
+    free, bound = (np.array([s[k] for k in sorted(scores[0])]) for s in scores)
+    assert abs(bound.mean() - share) < 0.03 and abs(bound.mean() - free.mean()) < 0.03
+    assert abs((bound >= 0.5).mean() - (free >= 0.5).mean()) < 0.02
+
+
+def test_logistic_counts_what_rows_stand_for():
+    made = np.random.default_rng(1)
+    x = np.c_[np.ones(300), made.normal(size=(300, 2))]
+    y = (x[:, 1] + made.normal(size=300) > 1).astype(float)
+    times = np.where(y == 1, 1, 4)
+    assert np.allclose(toxicity.logistic(x, y, stands_for=times.astype(float)), toxicity.logistic(np.repeat(x, times, 0), np.repeat(y, times)))
+    assert np.allclose(toxicity.logistic(x, y), toxicity.logistic(x, y, stands_for=np.full(300, 7.0)))
+
+
 def test_interpolation(spark, texts, monkeypatch):
     seen = {}
     fit = interpolation.fit_weights

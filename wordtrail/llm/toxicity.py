@@ -101,24 +101,33 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     return base + surplus or b" ", common[-(len(base) + len(surplus)):] or b" "
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 40, stands_for: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the measures; each row counts as the ``stands_for`` rows it was sampled from."""
+    share = np.ones(len(y)) if stands_for is None else stands_for
+    share = share / share.sum()
     weights = np.zeros(x.shape[1])
     ridge = penalty * np.r_[0.0, np.ones(x.shape[1] - 1)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + ridge * weights
-        bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge) + 1e-9 * np.eye(len(weights))
+        slope = x.T @ (share * (p - y)) + ridge * weights
+        bend = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(len(weights))
         weights -= np.linalg.solve(bend, slope)
     return weights
 
 
-def _sample(labels: DataFrame, key: str, toxic: str, sizes: tuple[int, int]) -> dict[int, int]:
-    """At most ``sizes`` keys of class 1 and 0, chosen by hash; a key with both labels is toxic."""
+def _sample(labels: DataFrame, key: str, toxic: str, sizes: tuple[int, int]) -> tuple[dict[int, int], dict[int, float]]:
+    """At most ``sizes`` keys of class 1 and 0, chosen by hash; a key with both labels is toxic.
+    With them, by class, how many of all labelled keys each chosen one stands for.
+    """
     one = labels.filter(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(key).agg(F.max(toxic).alias("y"))
+    total = {r.y: r.n for r in one.filter(F.col("y").isin(0, 1)).groupBy("y").agg(F.count("*").alias("n")).collect()}
     taken: dict[int, int] = {}
+    stands_for: dict[int, float] = {}
     for y, n in ((1, sizes[0]), (0, sizes[1])):
-        taken |= {r[0]: y for r in one.filter(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(n).select(key).collect()}
-    return taken
+        keys = [r[0] for r in one.filter(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(n).select(key).collect()]
+        taken |= dict.fromkeys(keys, y)
+        stands_for[y] = total.get(y, 0) / max(len(keys), 1)
+    return taken, stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic",
@@ -126,11 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Train on a bounded sample of labelled rows: at most ``most_toxic`` and ``most_ordinary``
     documents. Two thirds of them (by hash) train the dictionaries, each with at most ``most_windows``
     windows spread evenly over its text; the other third calibrates the threshold (which 1 % of
-    their ordinary windows reach) and, by their whole texts, the weights. Without labels of both
-    kinds the model says 0 for every text.
+    their ordinary windows reach) and, by their whole texts, the weights, in which each class counts
+    as much as among all labelled rows, so that a score of 0.5 means the same at any size. Without
+    labels of both kinds the model says 0 for every text.
     """
     spark = docs.sparkSession
-    classes = _sample(labels, key, toxic, (most_toxic, most_ordinary))
+    classes, stands_for = _sample(labels, key, toxic, (most_toxic, most_ordinary))
     if len(set(classes.values())) < 2:
         return Model(b" ", b" ", 1.0, [-30.0] + [0.0] * (FEATURES - 1))
     kind = dict(docs.dtypes)[key]
@@ -159,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     calibrate = sample.filter("_part = 1") if by[0, 1] and by[1, 1] else sample
     known = _measured(calibrate, model, text, "_y", "int").collect()  # ten numbers a sampled document
     x, y = np.array([r.measures for r in known]), np.array([r._y for r in known], float)
-    model.weights = logistic(x, y).tolist()
+    model.weights = logistic(x, y, stands_for=np.where(y == 1, stands_for[1], stands_for[0])).tolist()
     return model
 
 
