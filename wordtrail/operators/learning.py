@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import product
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
@@ -11,8 +14,9 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEval
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from wordtrail.operators.features import stacked_vector
 from wordtrail.operators.votes import apply_models, pair_code, pair_label
@@ -25,25 +29,44 @@ TREE_REGRESSION_GRID = {"maxDepth": [5, 10, 15], "numTrees": [5, 10, 20, 50]}
 BOOSTING_GRID = {"maxDepth": [5, 10, 15], "maxIter": [5, 10, 20, 50]}
 
 
+def side_by_side(spark: SparkSession, fits: Iterable[Callable], at_once: int = 4) -> Iterator:
+    """What the calls return, in their order; at most ``at_once`` run or wait to be taken."""
+    waiting: deque = deque()
+    with ThreadPoolExecutor(at_once) as pool:
+        try:
+            for fit in fits:
+                waiting.append(pool.submit(inheritable_thread_target(spark)(fit)))
+                if len(waiting) == at_once:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for left in waiting:
+                left.cancel()
+
+
 def grid_search(estimator, grid: dict[str, Sequence], train: DataFrame, test: DataFrame, evaluator,
                 threshold: float | None = None):
     """Best ``(model, parameters with metricValue)`` over the grid, in the grid's order.
 
-    Stops at the first metric that reaches ``threshold``. Both frames are kept for the fits.
+    Fits run side by side, metrics are taken in the grid's order. Stops at the first metric that
+    reaches ``threshold``. Both frames are kept for the fits.
     """
     larger = evaluator.isLargerBetter()
     best_model, best = None, None
     kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in ({train, test})]
+    grids = [dict(zip(grid, values)) for values in product(*grid.values())]
+    copies = [estimator.copy({getattr(estimator, k): v for k, v in params.items()}) for params in grids]
+    fitted = side_by_side(train.sparkSession, [partial(copy.fit, train) for copy in copies])
     try:
-        for values in product(*grid.values()):
-            params = dict(zip(grid, values))
-            model = estimator.copy({getattr(estimator, k): v for k, v in params.items()}).fit(train)
+        for params, model in zip(grids, fitted):
             metric = evaluator.evaluate(model.transform(test))
             if best is None or (metric > best["metricValue"] if larger else metric < best["metricValue"]):
                 best_model, best = model, {**params, "metricValue": metric}
             if threshold is not None and (metric >= threshold if larger else metric <= threshold):
                 break
     finally:
+        fitted.close()
         for df in kept:
             df.unpersist()
     return best_model, best
@@ -127,20 +150,22 @@ def cluster_sweep(df: DataFrame, largest: int, features: str = "features", bisec
 
 def fit_binary_scorers(df: DataFrame, label: str, targets: Iterable[int], **params) -> dict:
     """One boosted yes/no model per target score."""
-    return {t: _boosted(df.withColumn("_y", (F.col(label) == t).cast("int")), **params) for t in targets}
+    targets = list(targets)
+    fits = [partial(_boosted, df.withColumn("_y", (F.col(label) == t).cast("int")), **params) for t in targets]
+    return dict(zip(targets, side_by_side(df.sparkSession, fits)))
 
 
 def fit_pair_scorers(df: DataFrame, label: str, pairs: Iterable[tuple], rest: bool = False, **params) -> dict:
     """One boosted model per score pair: upper member against lower (``rest``: the pair's members
     against all other scores)."""
-    models = {}
+    pairs, fits = list(pairs), []
     for pair in pairs:
         if rest:
             rows, y = df, F.col(label).isin(*pair)
         else:
             rows, y = df.filter(F.col(label).isin(*pair)), F.col(label) == pair[1]
-        models[pair] = _boosted(rows.withColumn("_y", y.cast("int")), **params)
-    return models
+        fits.append(partial(_boosted, rows.withColumn("_y", y.cast("int")), **params))
+    return dict(zip(pairs, side_by_side(df.sparkSession, fits)))
 
 
 def _boosted(df: DataFrame, **params):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (Bucketizer, IndexToString, MaxAbsScaler, MinMaxScaler,
@@ -17,9 +19,6 @@ from wordtrail.operators.sampling import with_split
 from wordtrail.plans.registry import query, quoted_list, words_sql
 
 TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents) GROUP BY 1, 2)"
-# Small grids and models keep the checks short; the operators' defaults are the full grids.
-SMALL_TREES = {"maxDepth": [2, 3], "numTrees": [3, 5]}
-SMALL_BOOSTING = {"maxDepth": [2, 3], "maxIter": [2, 3]}
 
 
 def term_counts(t):
@@ -209,7 +208,7 @@ def sentiment(t):
 def logistic_text(t):
     rows = sentiment(t)
     staged = features.text_stages("text", 1 << 18).fit(rows).transform(rows)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(staged.filter("split = 'train'"))
+    model = LogisticRegression(regParam=0.01).fit(staged.filter("split = 'train'"))
     return model.transform(staged.filter("split = 'test'")).select(
         "doc_id", "label", "prediction", vector_to_array("probability").alias("probability"))
 
@@ -233,7 +232,7 @@ def area_under_roc(t):
 @query("l2_evaluator_auc", "SELECT count(*) AS rows, true AS agrees FROM embeddings")
 def evaluator_auc(t):
     rows = labelled(t)
-    model = LogisticRegression(labelCol="y", maxIter=10).fit(rows)
+    model = LogisticRegression(labelCol="y").fit(rows)
     scored = model.transform(rows)
     value = learning.auc(scored, "y")
     own = evaluate.area_under_roc(scored.select(F.get(vector_to_array("probability"), F.lit(1)).alias("s"), F.col("y").cast("int").alias("y")), "s", "y")
@@ -252,7 +251,7 @@ def curve_points(t):
 
 @query("l3_sorted_coefficients")
 def sorted_coefficients(t):
-    model = LogisticRegression(labelCol="y", maxIter=10).fit(labelled(t))
+    model = LogisticRegression(labelCol="y").fit(labelled(t))
     rows = [(float(v),) for v in sorted(model.coefficients.toArray())]
     return t.spark.createDataFrame(rows, "coefficient double")
 
@@ -286,33 +285,32 @@ def best_row(t, rows, best: dict):
 @query("l6_forest_grid")
 def forest_grid(t):
     rows = labelled(t)
-    return best_row(t, rows, learning.forest_grid(rows, "p", "y", grid=SMALL_TREES)[1])
+    return best_row(t, rows, learning.forest_grid(rows, "p", "y")[1])
 
 
 @query("l7_logistic_grid")
 def logistic_grid(t):
     rows = with_split(labelled(t), "vec_id")
-    best = learning.logistic_grid(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "p", "y",
-                                  grid={"regParam": [0.01, 0.5], "maxIter": [10], "elasticNetParam": [0.0, 0.8]})[1]
+    best = learning.logistic_grid(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "p", "y")[1]
     return best_row(t, rows, best)
 
 
 @query("l8_forest_regression_grid")
 def forest_regression_grid(t):
     rows = vectors(t)
-    return best_row(t, rows, learning.forest_regression_grid(rows, "p", "label", grid=SMALL_TREES)[1])
+    return best_row(t, rows, learning.forest_regression_grid(rows, "p", "label")[1])
 
 
 @query("l9_boosted_regression_grid")
 def boosted_regression_grid(t):
     rows = vectors(t)
-    return best_row(t, rows, learning.boosted_regression_grid(rows, "p", "label", grid=SMALL_BOOSTING)[1])
+    return best_row(t, rows, learning.boosted_regression_grid(rows, "p", "label")[1])
 
 
 @query("l10_boosted_classifier_grid")
 def boosted_classifier_grid(t):
     rows = labelled(t)
-    return best_row(t, rows, learning.boosted_classifier_grid(rows, "p", "y", grid=SMALL_BOOSTING)[1])
+    return best_row(t, rows, learning.boosted_classifier_grid(rows, "p", "y")[1])
 
 
 SWEEP_SQL = (
@@ -334,33 +332,35 @@ def kmeans_sweep(t):
     return swept(learning.cluster_sweep(vectors(t), 4))
 
 
-SCORES, SCORE_PAIRS = [1, 2, 3], [(1, 2), (1, 3), (2, 3)]
+SCORES = [1, 2, 3, 4, 5]
+SCORE_PAIRS = list(combinations(SCORES, 2))
 
 
-def score_rows(t):
-    return vectors(t).select("vec_id", (F.col("label") % 3 + 1).alias("score"), "features")
+def score_rows(t, scores: int):
+    return vectors(t).select("vec_id", (F.col("label") % scores + 1).alias("score"), "features")
 
 
 def first_level(rows):
-    small = {"maxDepth": 2, "maxIter": 2}
-    return (learning.fit_binary_scorers(rows, "score", SCORES, **small),
-            learning.fit_pair_scorers(rows, "score", SCORE_PAIRS, **small),
-            learning.fit_pair_scorers(rows, "score", SCORE_PAIRS, rest=True, **small))
+    """The 5 binary, 10 pair and 10 quaternary models behind the 25 stacked outputs."""
+    return (learning.fit_binary_scorers(rows, "score", SCORES),
+            learning.fit_pair_scorers(rows, "score", SCORE_PAIRS),
+            learning.fit_pair_scorers(rows, "score", SCORE_PAIRS, rest=True))
 
 
 @query("l13_boosted_scorers", """
 SELECT vec_id, label % 3 + 1 AS score, true AS are_classes FROM embeddings""")
 def boosted_scorers(t):
-    rows = score_rows(t)
-    models = learning.fit_binary_scorers(rows, "score", SCORES, maxDepth=2, maxIter=2)
+    scores = [1, 2, 3]  # those of its SQL
+    rows = score_rows(t, 3)
+    models = learning.fit_binary_scorers(rows, "score", scores)
     scored = votes.apply_models(rows, list(models.values()), "pred_", list(models))
-    both = [F.col(f"pred_{s}").isin(0.0, 1.0) for s in SCORES]
+    both = [F.col(f"pred_{s}").isin(0.0, 1.0) for s in scores]
     return scored.select("vec_id", "score", (both[0] & both[1] & both[2]).alias("are_classes"))
 
 
 @query("l14_stacked_scores", "SELECT vec_id, true AS is_score FROM embeddings")
 def stacked_scores(t):
-    rows = score_rows(t)
+    rows = score_rows(t, len(SCORES))
     stacked = learning.stack(rows, "vec_id", *first_level(rows))
     scored = learning.final_score(stacked, "vec_id", learning.fit_final(stacked, "score"))
     return scored.select("vec_id", F.col("score").isin(SCORES).alias("is_score"))
@@ -368,18 +368,18 @@ def stacked_scores(t):
 
 @query("l14_voted_scores")
 def voted_scores(t):
-    rows = score_rows(t)
-    models = learning.fit_pair_scorers(rows, "score", SCORE_PAIRS, maxDepth=2, maxIter=2)
+    rows = score_rows(t, len(SCORES))
+    models = learning.fit_pair_scorers(rows, "score", SCORE_PAIRS)
     scored = votes.apply_models(rows, list(models.values()))
-    return scored.select("vec_id", votes.pairwise_vote(["pred_0", "pred_1", "pred_2"], SCORE_PAIRS).alias("score"))
+    return scored.select("vec_id", votes.pairwise_vote([f"pred_{i}" for i in range(len(SCORE_PAIRS))], SCORE_PAIRS).alias("score"))
 
 
 @query("l15_one_vs_rest_and_linear", """
 SELECT vec_id, (label % 3)::double AS y, true AS is_class, true AS is_finite FROM embeddings""")
 def one_vs_rest_and_linear(t):
-    rows = score_rows(t).withColumn("y", F.col("score").cast("double") - 1)
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=5), labelCol="y", predictionCol="ovr").fit(rows)
-    line = LinearRegression(labelCol="y", maxIter=5, predictionCol="line").fit(rows)
+    rows = score_rows(t, 3).withColumn("y", F.col("score").cast("double") - 1)
+    ovr = OneVsRest(classifier=LinearSVC(), labelCol="y", predictionCol="ovr").fit(rows)
+    line = LinearRegression(labelCol="y", predictionCol="line").fit(rows)
     return line.transform(ovr.transform(rows)).select(
         "vec_id", "y", F.col("ovr").isin(0.0, 1.0, 2.0).alias("is_class"), (F.abs("line") < float("inf")).alias("is_finite"))
 
@@ -387,7 +387,7 @@ def one_vs_rest_and_linear(t):
 @query("l15_cross_validated")
 def cross_validated(t):
     rows = labelled(t)
-    search = learning.cross_validated(LogisticRegression(labelCol="y", maxIter=5), {"regParam": [0.01, 0.1]}, rows,
-                                      MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"), folds=2)
+    search = learning.cross_validated(LogisticRegression(labelCol="y"), {"regParam": [0.01, 0.1]}, rows,
+                                      MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"))
     return rows.agg(F.count("*").alias("rows")).withColumns(
         {f"accuracy_{i}": F.lit(v) for i, v in enumerate(search.avgMetrics)})
