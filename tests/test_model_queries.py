@@ -1,6 +1,7 @@
 """Model queries search the whole grids and fit every model of the stack."""
 
 import math
+from itertools import combinations
 
 from wordtrail import plans
 from wordtrail.operators import learning
@@ -35,3 +36,10 @@ def test_side_by_side_keeps_order_and_stops(spark):
     assert next(some) == 0
     some.close()
     assert max(begun) < 4
+
+
+def test_registry_holds_all_pairs(spark, folder):
+    rows = plans.all_queries()["s11_model_registry"](spark, folder)
+    labels = sorted(r.label for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("label").distinct().collect())
+    assert len(labels) > 3 and rows.columns == ["vec_id", "label", *[f"p{a}{b}" for a, b in combinations(labels, 2)]]
+    assert all(v in (0.0, 1.0) for r in rows.collect() for v in r[2:])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import combinations
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from wordtrail.operators.features import to_vector
+from wordtrail.operators.learning import side_by_side
 from wordtrail.operators.tables import preview
+from wordtrail.operators.votes import apply_models
 from wordtrail.plans.registry import query
 from wordtrail.session import cut_lineage, shared_path
 from wordtrail.sources import files, models, pages
@@ -115,17 +120,20 @@ def log_mean(t):
 def model_registry(t):
     base = shared_path(t.spark, "models")
     rows = t.embeddings.select("vec_id", "label", to_vector("embedding").alias("features"))
-    fitted = {}
-    for a, b in [(0, 1), (0, 2), (1, 2)]:
+    labels = sorted(r.label for r in rows.filter("label IS NOT NULL").select("label").distinct().collect())
+    width = max((len(str(x)) for x in labels), default=1)
+    # labels of one width, so that a pair's digits are in no other pair's key
+    pairs = [(str(a).rjust(width, "0"), str(b).rjust(width, "0")) for a, b in combinations(labels, 2)]
+    fits = []
+    for (a, b), (x, y) in zip(combinations(labels, 2), pairs):
         pair = rows.filter(F.col("label").isin(a, b)).withColumn("y", (F.col("label") == b).cast("int"))
-        fitted[f"separator_{a}{b}"] = LogisticRegression(labelCol="y", maxIter=10, predictionCol=f"p{a}{b}",
-                                                         rawPredictionCol=f"r{a}{b}",
-                                                         probabilityCol=f"q{a}{b}").fit(pair)
+        fits.append(partial(LogisticRegression(labelCol="y", maxIter=10, predictionCol=f"p{x}{y}").fit, pair))
+    fitted = {f"separator_{x}{y}": m for (x, y), m in zip(pairs, side_by_side(t.spark, fits))}
     models.save_models(t.spark, base, fitted)
-    loaded = models.load_pair_models(t.spark, base, LogisticRegressionModel, [(0, 1), (0, 2), (1, 2)], "separator")
-    for (model,) in loaded.values():
-        rows = model.transform(rows)
-    return rows.select("vec_id", "label", "p01", "p02", "p12")
+    loaded = models.load_pair_models(t.spark, base, LogisticRegressionModel, pairs, "separator")
+    names = [f"{x}{y}" for x, y in loaded]
+    scored = apply_models(rows, [model for (model,) in loaded.values()], "p", names)
+    return scored.select("vec_id", "label", *[F.col(f"p{n}").cast("double").alias(f"p{n}") for n in names])
 
 
 PAGES_SQL = """SELECT doc_id, unnest(range(1, len(p) + 1)) AS page_no, unnest(p) AS text
