@@ -284,6 +284,26 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(frame(spark, ODD), none).filter("score > 0.01").count() == 0 and toxicity.score(empty(spark), none).count() == 0
 
 
+def test_pii_beside_other_numbers():
+    move = pii.Permutation(b"k")
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    for text, kind, value in [
+            (f"{card} 12/27", "card", card), ("4111111111111111 123", "card", "4111111111111111"), (f"12 {card}", "card", card),
+            (f"12345 {card} 99", "card", card), (f"{card} 5500 0000 0000 0004", "card", card), ("x 3782 822463 10005-7", "card", "3782 822463 10005"),
+            (f"{iban} BIC COBADEFFXXX", "iban", iban), ("DE89 3704 0044 0532 0130 00 BIC", "iban", "DE89 3704 0044 0532 0130 00"),
+            (f"AB12 {iban}", "iban", iban), ("12/31/2020", "date", "12/31/2020"), ("31/12/2020", "date", "31/12/2020")]:
+        new, counts = pii.replace(text, move)
+        assert counts[kind] >= 1 and value not in new and len(new) == len(text), text
+        assert pii.replace(new, move, back=True)[0] == text, text
+    alone = pii.replace(card, move)[0]
+    assert pii.replace(f"{card} 12/27", move)[0] == f"{alone} 12/27" and pii.replace(f"12 {card}", move)[0] == f"12 {alone}"
+    assert all(int(d := pii.replace(f"{m:02d}/{day}/{y}", move)[0][:2]) <= 12 for m in (1, 12) for day in (13, 28) for y in (1901, 2020, 2099))
+    for n in range(300):  # stretches that look valid by chance do not mislead the way back
+        text = f"{n} 4{n:03d} {n:02d}11 1111 1" + pii.check_digit(f"4{n:03d}{n:02d}1111111")
+        assert pii.replace(pii.replace(text, move)[0], move, back=True)[0] == text
+    assert pii.replace("1234 5678 9012 3456 1", move)[0] == "1234 5678 9012 3456 1" or pii.luhn("12345678901234561")
+
+
 def test_toxicity_scores_do_not_move_with_the_caps(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

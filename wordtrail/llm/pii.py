@@ -25,6 +25,17 @@ PATTERN = re.compile(r"""
 """, re.X | re.A)
 
 
+# fixed values: characters of an IBAN by country
+IBAN_LENGTHS = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+#: groupings of card numbers that come first
+CARD_FORMS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+DIGIT_RUN = re.compile(r"\d(?:[ -]?\d)*", re.A)
+
+
 class Permutation:
     """A keyed permutation of 0 .. size-1: a balanced Feistel network, walked until it stays inside."""
 
@@ -103,13 +114,18 @@ def _date(text: str, move: Permutation, back: bool) -> str | None:
     order = "%Y-%m-%d" if "-" in text else "%d/%m/%Y" if "/" in text else "%d.%m.%Y"
     numbers = [int(x) for x in re.split(r"[-/.]", text)]
     year, month, day = numbers if "-" in text else reversed(numbers)
+    month_first = "/" in text and month > 12
+    if month_first:
+        order, month, day = "%m/%d/%Y", day, month
     try:
         at = (date(year, month, day) - FIRST_DAY).days
     except ValueError:
         return None
     if not 0 <= at < DAYS:
         return None
-    moved = FIRST_DAY + timedelta(days=move(at, DAYS, "date", back))
+    moved = FIRST_DAY + timedelta(days=(at := move(at, DAYS, "date", back)))
+    while month_first and moved.day <= 12:  # else it would be read day first
+        moved = FIRST_DAY + timedelta(days=(at := move(at, DAYS, "date", back)))
     return moved.strftime(order)
 
 
@@ -161,20 +177,75 @@ def pseudonym(kind: str, text: str, move: Permutation, back: bool = False) -> st
     return _date(text, move, back)
 
 
+def _iban_end(text: str) -> int | None:
+    """Where the IBAN that begins a match ends: after its country's length, at the end of a group."""
+    size = IBAN_LENGTHS.get(text[:2])
+    if size is None:
+        return len(text)
+    ends = [i for i, c in enumerate(text, 1) if c != " "]
+    if len(ends) < size or text[ends[size - 1]:ends[size - 1] + 1] not in ("", " "):
+        return None
+    return ends[size - 1]
+
+
+def _card_stretches(run: str, within: int) -> list[tuple[int, int]]:
+    """Stretches of whole groups with 13 to 19 digits that begin before ``within``, usual groupings first."""
+    groups, found = [m.span() for m in re.finditer(r"[0-9]+", run)], []
+    for i, (start, _) in enumerate(groups):
+        if start >= within:
+            break
+        sizes: tuple[int, ...] = ()
+        for a, b in groups[i:]:
+            sizes += (b - a,)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13:
+                found.append((sizes not in CARD_FORMS, start, -b))
+    return [(start, -b) for _, start, b in sorted(found)]
+
+
+def _card(run: str, within: int, move: Permutation, back: bool) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym of the first valid stretch of ``run``.
+
+    The permutation is walked on until no earlier stretch looks valid, so that the way back finds the same one.
+    """
+    stretches = _card_stretches(run, within)
+    valid = lambda s: luhn(digits := re.sub("[ -]", "", s)) and int(digits) > 0
+    for i, (start, end) in enumerate(stretches):
+        made = pseudonym("card", run[start:end], move, back)
+        while made is not None:
+            new = run[:start] + made + run[end:]
+            if not any(valid(new[a:b]) for a, b in stretches[:i]) and valid(made):
+                return start, end, made
+            made = pseudonym("card", made, move, back) if valid(made) else None
+    return None
+
+
 def replace(text: str, move: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind."""
     counts = dict.fromkeys(KINDS, 0)
     if "@" not in text and not any(d in text for d in string.digits):
         return text, counts
 
-    def one(match: re.Match) -> str:
-        made = pseudonym(match.lastgroup, match[0], move, back)
-        if made is None:
-            return match[0]
-        counts[match.lastgroup] += 1
-        return made
-
-    return PATTERN.sub(one, text), counts
+    out, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
+        kind, (start, end), made = match.lastgroup, match.span(), None
+        at = end
+        if kind == "card":
+            if found := _card(DIGIT_RUN.match(text, start, end + 64)[0], end - start, move, back):
+                start, end, made = start + found[0], start + found[1], found[2]
+        elif kind == "iban":
+            at = start + len(re.match("[A-Z0-9]+", match[0])[0])  # what follows may be a value of its own
+            if size := _iban_end(match[0]):
+                end = start + size
+                made = pseudonym(kind, text[start:end], move, back)
+        else:
+            made = pseudonym(kind, match[0], move, back)
+        if made is not None:
+            counts[kind] += 1
+            out += text[done:start], made
+            done = at = end
+    return "".join(out) + text[done:], counts
 
 
 def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", key: str = "doc_id", back: bool = False) -> DataFrame:
@@ -182,8 +253,10 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", key: str =
 
     A value is a card number or IBAN with a right check digit, a social security number of valid
     parts, a calendar date from 1900 to 2099, an IPv4 address, a telephone number or an e-mail
-    address (of which the name is changed). Under one secret equal values, however grouped, get
-    equal pseudonyms in all documents, and ``back`` restores them. A null text stays null.
+    address (of which the name is changed). Card numbers and IBANs are also found beside other
+    numbers and words; slash dates are read day first, or else month first. Under one secret equal values, however grouped, get
+    equal pseudonyms in all documents (but for card numbers beside digits with which they could be
+    taken for another one), and ``back`` restores them. A null text stays null.
     """
     kind = dict(docs.dtypes)[key]
 
