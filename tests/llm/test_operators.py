@@ -304,6 +304,12 @@ def test_pii_beside_other_numbers():
     assert pii.replace("1234 5678 9012 3456 1", move)[0] == "1234 5678 9012 3456 1" or pii.luhn("12345678901234561")
 
 
+def test_drop_duplicates_of_a_repeated_key(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (1, "alone"), (None, "a"), (3, None)], "doc_id long, text string")
+    kept = exact_dedup.drop_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a"), (1, "alone"), (2, "A"), (3, "")]
+
+
 def test_toxicity_scores_do_not_move_with_the_caps(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

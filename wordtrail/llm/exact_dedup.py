@@ -114,5 +114,7 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_b
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes: int = 64 << 30) -> DataFrame:
     """The rows that ``duplicates`` keeps, columns as they came; rows without a key stay."""
-    gone = duplicates(docs, text, key, batch_bytes).filter(~F.col("kept")).select(key).filter(F.col(key).isNotNull()).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    gone = (duplicates(docs, text, key, batch_bytes).filter(~F.col("kept")).filter(F.col(key).isNotNull())
+            .select(F.col(key).alias("_gone"), F.col("text_sha256").alias("_sha256")).distinct())
+    # a key may stand for several texts, of which only the copies go
+    return docs.join(gone, (F.col(key) == F.col("_gone")) & (sha256(_normal(text)) == F.col("_sha256")), "left_anti").select(docs.columns)
