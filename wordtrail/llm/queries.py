@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtrail.llm import bpe, decontaminate, exact_dedup, interpolation, licenses, pii, simhash, suffix_dedup, token_files, toxicity, warc
+from wordtrail.llm import bpe, decontaminate, exact_dedup, interpolation, licenses, phrases, pii, simhash, suffix_dedup, token_files, toxicity, warc
 from wordtrail.llm.registry import QUERIES, SQL, query, table
 from wordtrail.session import shared_path
 
@@ -91,6 +91,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return interpolation.score(table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
 
 
+@query("op12_phrases")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_suffix_dedup")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, folder, "documents"))
