@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtrail.llm import bpe, decontaminate, exact_dedup, interpolation, licenses, phrases, pii, simhash, suffix_dedup, token_files, toxicity, warc
+from wordtrail.llm import bpe, decontaminate, divergence, exact_dedup, interpolation, licenses, phrases, pii, simhash, suffix_dedup, token_files, toxicity, warc
 from wordtrail.llm.registry import QUERIES, SQL, query, table
 from wordtrail.session import shared_path
 
@@ -91,6 +91,31 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return interpolation.score(table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
 
 
+@query("op11_divergence", """
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+    f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint AS n, k.total::hugeint AS total
+          FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT *, sum(n) OVER w AS own, sum(total) OVER w AS whole, count(*) OVER w AS v FROM f WINDOW w AS (PARTITION BY lang, source)),
+    p AS (SELECT lang, source, term, n, (1 + 1000000000 * (n + 5) // (own + 5 * v))::bigint AS p,
+                 (1 + 1000000000 * (total + 5) // (whole + 5 * v))::bigint AS q FROM s),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::bigint AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+              GROUP BY ALL),
+    r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank FROM (
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::integer AS rank FROM r)
+    WHERE part = 'pair' OR rank <= 50""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 @query("op12_phrases")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
