@@ -373,7 +373,7 @@ def hot_repeats(unit: Unit, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def found(sent: DataFrame, length: int, most_windows: int = 1 << 20) -> DataFrame:
+def found(sent: DataFrame, length: int, most_windows: int = 1 << 18) -> DataFrame:
     """Stretches of windows that equal an earlier one: for each unit the text's number, first and last byte."""
     def solve(held: list[dict]) -> pa.RecordBatch | None:
         out = [np.zeros((4, 0), np.int64)]
@@ -444,7 +444,7 @@ def found(sent: DataFrame, length: int, most_windows: int = 1 << 20) -> DataFram
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 100, anchor: int = 32, unit_bytes: int = 2 << 20,
-            range_bytes: int = 16 << 20, most_places: int = 4096, with_text: bool = False) -> DataFrame:
+            range_bytes: int = 16 << 20, most_places: int = 1024, with_text: bool = False) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row; with ``with_text`` also ``spans`` and ``kept`` (binary).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a row of
