@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordtrail.operators import journey
-from wordtrail.operators.scan import hot_keys, running_sums, with_chunks
+from wordtrail.operators.scan import find_cuts, running_sums, with_pieces
 
 ORDER = ["ts", "event_id"]
 
@@ -37,28 +37,49 @@ def brute(events):
     return runs, marks
 
 
-@pytest.mark.parametrize("hot", [[], [1, 4], [1, 2, 3, 4, None]])
-def test_runs_match_brute_force(events, hot):
+@pytest.mark.parametrize("piece_rows", [10_000, 300, 20])
+@pytest.mark.parametrize("order", [ORDER, ["place"]])
+def test_runs_match_brute_force(events, piece_rows, order):
     runs, marks = brute(events)
-    marked = journey.mark_runs(events, "user_id", "page", ORDER, hot, chunks=7)
-    timed = journey.run_times(marked, "user_id", "value", ORDER, hot, chunks=7)
+    placed = events.withColumn("place", F.format_string("%06d-%06d", "ts", "event_id"))  # the same order as text
+    cuts = find_cuts(placed, ["user_id"], order, piece_rows)
+    assert (cuts is None) == (piece_rows == 10_000)
+    marked = journey.mark_runs(placed, "user_id", "page", order, cuts)
+    timed = journey.run_times(marked, "user_id", "value", order, cuts)
     assert {r.event_id: (r.previous_page, r.indicator, r.run, r.run_time) for r in timed.collect()} == marks
     converted = F.coalesce(F.col("page") == "b", F.lit(False))
-    got = journey.collapse_runs(events, "user_id", "page", "value", converted, ORDER, hot, chunks=7)
+    got = journey.collapse_runs(placed, "user_id", "page", "value", converted, order, cuts)
     assert {(r.user_id, r.run): [r.page, r.run_time, r.converted] for r in got.collect()} == runs
 
 
-@pytest.mark.parametrize("hot", [[], [1, 4]])
-def test_journeys_in_parts_are_whole(events, hot):
+def test_no_window_holds_a_whole_user(events):
+    """The largest (user, piece) stays near the asked size though one user has half of the rows."""
+    cuts = find_cuts(events, ["user_id"], ORDER, 50)
+    pieces = with_pieces(events, cuts, ["user_id"], ORDER)
+    most = pieces.groupBy("user_id", "_piece").count().agg(F.max("count")).first()[0]
+    assert most <= 200 < events.groupBy("user_id").count().agg(F.max("count")).first()[0]
+    # pieces follow the order: none begins before the last row of the one before it
+    ends = pieces.groupBy("user_id", "_piece").agg(F.min(F.struct(*ORDER)).alias("a"), F.max(F.struct(*ORDER)).alias("z")).collect()
+    by = {(r.user_id, r._piece): r for r in ends}
+    assert all(by[u, p - 1].z < r.a for (u, p), r in by.items() if (u, p - 1) in by)
+    plan = journey.mark_runs(events, "user_id", "page", ORDER, cuts)._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in plan.splitlines() if "Window [" in line and "_lag" in line]
+    assert over and all("_piece" in line for line in over)
+
+
+@pytest.mark.parametrize("piece_rows", [10_000, 60])
+def test_journeys_in_parts_are_whole(events, piece_rows):
     runs, _ = brute(events)
     converted = F.coalesce(F.col("page") == "b", F.lit(False))
-    collapsed = journey.collapse_runs(events, "user_id", "page", "value", converted, ORDER, hot, chunks=7)
-    parts = journey.journeys(collapsed, "user_id", hot, part_size=50)
+    cuts = find_cuts(events, ["user_id"], ORDER, piece_rows)
+    collapsed = journey.collapse_runs(events, "user_id", "page", "value", converted, ORDER, cuts)
+    parts = journey.journeys(collapsed, "user_id", cuts, part_size=50)
     walked, flags = {}, {}
     for r in parts.orderBy("user_id", "part").collect():
         assert len(r.pages) <= 50
         walked.setdefault(r.user_id, []).extend(zip(r.pages, r.times))
         flags.setdefault(r.user_id, set()).add(r.converted)
+    assert set(walked) == {u for u, _ in runs}
     for user, steps in walked.items():
         mine = [v for (u, _), v in sorted(runs.items(), key=lambda kv: kv[0][1]) if u == user]
         assert steps == [(p, t) for p, t, _ in mine] and flags[user] == {max(c for _, _, c in mine)}
@@ -73,9 +94,9 @@ def test_lesson_example(spark):
 
 def test_running_lists_are_slices_of_the_parts(events):
     known = events.fillna("-", ["page"]).filter("user_id IS NOT NULL")  # runs are numbered without gaps
-    collapsed = journey.collapse_runs(known, "user_id", "page", "value", F.lit(0), ORDER, [])
+    collapsed = journey.collapse_runs(known, "user_id", "page", "value", F.lit(0), ORDER, None)
     walked = journey.running_lists(collapsed, "user_id").select("user_id", "run", "pages_so_far")
-    whole = journey.journeys(collapsed, "user_id", [], part_size=20).select("user_id", "part", "pages")
+    whole = journey.journeys(collapsed, "user_id", None, part_size=20).select("user_id", "part", "pages")
     placed = journey.list_positions(collapsed, part_size=20)
     assert placed.filter("part > 0").count() > 0  # some users are longer than a part
     sliced = placed.join(whole, ["user_id", "part"]).withColumn("ends", F.slice("pages", 1, F.col("position")))
@@ -84,17 +105,17 @@ def test_running_lists_are_slices_of_the_parts(events):
     assert both.filter(F.slice("pages_so_far", F.col("part") * 20 + 1, F.col("position")) != F.col("ends")).isEmpty()
 
 
-def test_hot_keys_are_found(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"))
-    assert hot_keys(df, "k", rows=100, share=0.1) == [1] and hot_keys(df, "k") == []
+@pytest.mark.parametrize("piece_rows", [10, 1000])
+def test_running_sums_without_keys(spark, piece_rows):
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("x"), F.lit(2).alias("v"))
+    sums = running_sums(df, [], ["x"], {"total": F.col("v")}, piece_rows)
+    assert sums.columns == ["x", "v", "total"] and all(r.total == 2 * (r.x + 1) for r in sums.collect())
 
 
-def test_running_sums_without_keys(spark):
-    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("x"), F.lit(2).alias("v"))
-    chunked = with_chunks(df, "x", 9)
-    assert chunked.select("_chunk").distinct().count() > 5
-    sums = running_sums(chunked, [], ["x"], {"total": F.col("v")})
-    assert all(r.total == 2 * (r.x + 1) for r in sums.collect())
+def test_empty_events(spark, events):
+    none = events.limit(0)
+    assert find_cuts(none, ["user_id"], ORDER, 1) is None
+    assert journey.user_journeys(none, "user_id", "page", "value", F.lit(0), ORDER).count() == 0
 
 
 def test_journey_plan_shuffles_once_and_stays_in_the_jvm(spark, folder):
@@ -107,6 +128,6 @@ def test_journey_plan_shuffles_once_and_stays_in_the_jvm(spark, folder):
 
 def test_one_user_filter_reaches_the_scan(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
-    marked = journey.mark_runs(events, "user_id", "event_type", ORDER, hot=[])
+    marked = journey.mark_runs(events, "user_id", "event_type", ORDER, None)
     plan = journey.one_user(marked, "user_id", 3, ORDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,3)" in plan and "html" not in plan

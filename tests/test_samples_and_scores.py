@@ -66,8 +66,8 @@ def test_area_under_roc(spark):
     df = spark.createDataFrame(rows, "s double, y int")
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     brute = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
-    assert abs(evaluate.area_under_roc(df, "s", "y", chunks=6).first().auc - brute) < 1e-9
-    points = evaluate.curve_points(df, "s", "y", chunks=6).orderBy("score").collect()
+    assert abs(evaluate.area_under_roc(df, "s", "y", piece_rows=40).first().auc - brute) < 1e-9
+    points = evaluate.curve_points(df, "s", "y", piece_rows=40).orderBy("score").collect()
     for r in points:
         tp, fp = sum(p >= r.score for p in pos), sum(n >= r.score for n in neg)
         assert (r.recall, r.fpr, r.precision) == pytest.approx((tp / len(pos), fp / len(neg), tp / (tp + fp)))

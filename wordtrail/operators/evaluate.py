@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordtrail.operators.scan import CHUNK, running_sums, with_chunks
+from wordtrail.operators.scan import PIECE_ROWS, running_sums
+from wordtrail.session import cut_lineage
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: list[int]) -> DataFrame:
@@ -46,28 +47,30 @@ def score_counts(df: DataFrame, score: str, truth: str) -> DataFrame:
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
 
 
-def _accumulated(counts: DataFrame, descending: bool, chunks: int | None) -> DataFrame:
-    """Running positives and negatives along the score, by chunks rather than in one task."""
+def _accumulated(counts: DataFrame, descending: bool, piece_rows: int) -> DataFrame:
+    """Running positives and negatives along the score, in pieces rather than in one task."""
     order = counts.withColumn("_order", -F.col("score") if descending else F.col("score"))
     sums = {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}
-    return running_sums(with_chunks(order, "_order", chunks), [], ["_order"], sums).drop(CHUNK, "_order")
+    return running_sums(order, [], ["_order"], sums, piece_rows).drop("_order")
 
 
-def area_under_roc(df: DataFrame, score: str, truth: str, chunks: int | None = None) -> DataFrame:
-    """Share of (positive, negative) pairs ranked right, ties counting half; one row ``auc``."""
-    counts = _accumulated(score_counts(df, score, truth), False, chunks)
+def area_under_roc(df: DataFrame, score: str, truth: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Share of (positive, negative) pairs ranked right, ties counting half; one row ``auc``.
+
+    The table is read once; its counts by score are kept in the shared folder.
+    """
+    counts = _accumulated(cut_lineage(score_counts(df, score, truth)), False, piece_rows)
     below = F.col("cum_neg") - F.col("neg")
     right = F.sum(F.col("pos") * (below + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return counts.agg(F.try_divide(right, pairs).alias("auc"))
 
 
-def curve_points(df: DataFrame, score: str, truth: str, chunks: int | None = None) -> DataFrame:
-    """One row per distinct threshold: ``score, fpr, recall, precision``."""
-    counts = _accumulated(score_counts(df, score, truth), True, chunks)
-    totals = df.agg(F.struct(F.count_if(F.col(truth) == 1).alias("pos"),
-                             F.count_if(F.col(truth) == 0).alias("neg")).alias("totals")).scalar()
+def curve_points(df: DataFrame, score: str, truth: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """One row per distinct threshold: ``score, fpr, recall, precision``; the table is read once."""
+    counts = cut_lineage(score_counts(df, score, truth))
+    totals = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("totals")).scalar()
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    return counts.select("score", F.try_divide(fp, totals.neg).alias("fpr"),
-                         F.try_divide(tp, totals.pos).alias("recall"),
-                         F.try_divide(tp, tp + fp).alias("precision"))
+    return _accumulated(counts, True, piece_rows).select(
+        "score", F.try_divide(fp, totals.neg).alias("fpr"), F.try_divide(tp, totals.pos).alias("recall"),
+        F.try_divide(tp, tp + fp).alias("precision"))

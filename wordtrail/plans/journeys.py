@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wordtrail.operators import features, journey
-from wordtrail.operators.scan import hot_keys
+from wordtrail.operators.scan import find_cuts
 from wordtrail.plans.registry import Tables, query
 
 ORDER = ["ts", "event_id"]
@@ -24,13 +24,17 @@ r AS (SELECT user_id, run, max(event_type) AS page, sum(value) AS run_time,
              max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS converted FROM m GROUP BY 1, 2)"""
 
 
+def cut_points(t: Tables) -> DataFrame | None:
+    return find_cuts(t.events, ["user_id"], ORDER)
+
+
 def marked(t: Tables) -> DataFrame:
     events = t.events.select("event_id", "ts", "user_id", "event_type", "value")
-    return journey.mark_runs(events, "user_id", "event_type", ORDER)
+    return journey.mark_runs(events, "user_id", "event_type", ORDER, cut_points(t))
 
 
 def runs(t: Tables) -> DataFrame:
-    return journey.collapse_runs(t.events, "user_id", "event_type", "value", converted(), ORDER)
+    return journey.collapse_runs(t.events, "user_id", "event_type", "value", converted(), ORDER, cut_points(t))
 
 
 @query("w1_previous_page", f"WITH {MARKED} SELECT event_id, user_id, previous_page FROM m")
@@ -52,7 +56,7 @@ def run_number(t):
 WITH {MARKED} SELECT event_id, run, round(sum(value) OVER (
   PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS run_time FROM m""")
 def running_time(t):
-    timed = journey.run_times(marked(t), "user_id", "value", ORDER)
+    timed = journey.run_times(marked(t), "user_id", "value", ORDER, cut_points(t))
     return timed.select("event_id", "run", F.round("run_time", 4).alias("run_time"))
 
 
@@ -78,7 +82,7 @@ def running_lists(t):
 WITH {RUNS} SELECT user_id, ((run - 1) // 10000)::integer AS part, string_agg(page, '>' ORDER BY run) AS pages,
   round(list_sum(list(run_time)), 4) AS total FROM r GROUP BY 1, 2""")
 def final_lists(t):
-    final = journey.journeys(runs(t), "user_id", hot_keys(t.events, "user_id"))
+    final = journey.journeys(runs(t), "user_id", cut_points(t))
     total = F.aggregate("times", F.lit(0.0), lambda s, v: s + v)
     return final.select("user_id", "part", F.array_join("pages", ">").alias("pages"), F.round(total, 4).alias("total"))
 
