@@ -324,6 +324,18 @@ def test_toxicity_scores_do_not_move_with_the_caps(spark):
     assert abs((bound >= 0.5).mean() - (free >= 0.5).mean()) < 0.02
 
 
+def test_toxicity_cut_loses_the_asked_share_of_ordinary_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    learned, held = labels.filter(remainder("doc_id", 5) != 0), labels.filter(remainder("doc_id", 5) == 0)
+    for caps in ({}, {"most_ordinary": 600}):
+        model = toxicity.fit(docs, learned, **caps)
+        kept = toxicity.keep_ordinary(docs.join(held, "doc_id"), model, threshold=model.cut).groupBy("toxic").count()
+        total = dict(held.groupBy("toxic").count().collect())
+        share = {r.toxic: r["count"] / total[r.toxic] for r in kept.collect()}
+        assert 0.9 <= share[0] <= 0.99 and share[1] < 0.5  # kept: nearly all ordinary, fewer than half of the toxic ones
+
+
 def test_logistic_counts_what_rows_stand_for():
     made = np.random.default_rng(1)
     x = np.c_[np.ones(300), made.normal(size=(300, 2))]
