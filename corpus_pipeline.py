@@ -16,9 +16,9 @@ from wordtrail.llm.registry import query, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go; the model learns as in the query of the operator."""
-    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
-    return toxicity.keep_ordinary(docs, toxicity.fit(docs, labels))
+    """Documents go whose score is above that of 95 % of the ordinary texts it was calibrated on."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
+    return toxicity.keep_ordinary(docs, model, threshold=model.cut)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
