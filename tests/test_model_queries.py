@@ -1,24 +1,96 @@
 """Model queries search the whole grids and fit every model of the stack."""
 
 import math
+import random
 from itertools import combinations
 
+import pytest
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import functions as F
+
 from wordtrail import plans
 from wordtrail.operators import learning
 from wordtrail.plans import learned
 
 
 def test_grids_are_whole(spark, folder, monkeypatch):
-    fits = []
+    points, fits = [], []
+
+    def ensemble(estimator, depths, size_param, sizes, *rest, **options):
+        points.append(len(depths) * len(sizes)), fits.append(len(depths))
+        return None, {"metricValue": 0.0}, []
 
-    def counted(estimator, grid, *rest):
-        fits.append(math.prod(map(len, grid.values())))
-        return None, {"metricValue": 0.0}
+    def classifier(estimator, grid, *rest, **options):
+        points.append(math.prod(map(len, grid.values()))), fits.append(points[-1])
+        return None, {"metricValue": 0.0}, []
 
-    monkeypatch.setattr(learning, "grid_search", counted)
+    monkeypatch.setattr(learning, "ensemble_grid", ensemble)
+    monkeypatch.setattr(learning, "classifier_grid", classifier)
     for name in ("l6_forest_grid", "l7_logistic_grid", "l8_forest_regression_grid", "l9_boosted_regression_grid", "l10_boosted_classifier_grid"):
         plans.all_queries()[name](spark, folder)
-    assert fits == [60, 32, 12, 12, 12]
+    assert points == [60, 32, 12, 12, 12] and fits == [6, 32, 3, 3, 3]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    r = random.Random(3)
+    made = [(Vectors.dense([r.gauss(0, 1) for _ in range(4)]),) for _ in range(400)]
+    noisy = F.get(vector_to_array("features"), F.lit(0)) + F.rand(1) - 0.5
+    return spark.createDataFrame(made, ["features"]).select("features", (noisy > 0).cast("double").alias("y"), noisy.alias("z"),
+                                                            F.pmod(F.floor(noisy), F.lit(3)).cast("double").alias("c")).cache()
+
+
+def test_first_trees_equal_shorter_boosted_fits(rows):
+    whole = GBTClassifier(labelCol="y", predictionCol="p", maxIter=8, maxDepth=3, seed=7).fit(rows)
+    line = GBTRegressor(labelCol="z", predictionCol="p", maxIter=8, maxDepth=3, seed=7).fit(rows)
+    for n in (1, 3, 8):
+        for model, label in ((whole, "y"), (line, "z")):
+            kind = GBTClassifier if label == "y" else GBTRegressor
+            own = kind(labelCol=label, predictionCol="q", maxIter=n, maxDepth=3, seed=7).fit(rows)
+            both = learning.FirstTrees(model, n, "p").transform(own.transform(rows))
+            assert both.filter("abs(p - q) > 1e-9").isEmpty() and both.count() == 400
+
+
+def test_first_trees_of_a_forest_are_a_forest(rows):
+    for label, kind in (("c", RandomForestClassifier), ("z", RandomForestRegressor)):
+        model = kind(labelCol=label, predictionCol="q", numTrees=6, maxDepth=4, seed=7).fit(rows)
+        both = learning.FirstTrees(model, 6, "p").transform(model.transform(rows))
+        assert both.filter("abs(p - q) > 1e-9").isEmpty()
+        several = learning.FirstTrees(model, [1, 2, 6], "p").predictions(rows).withColumnRenamed("_predictions", "each")
+        for i, n in enumerate([1, 2, 6]):
+            single = learning.FirstTrees(model, n, "p").transform(several)
+            assert single.filter(F.abs(F.col("p") - F.col("each")[i]) > 1e-12).isEmpty()
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "f1", "weightedPrecision", "weightedRecall", "weightedFMeasure", "precisionByLabel", "recallByLabel",
+                                    "fMeasureByLabel", "falsePositiveRateByLabel", "weightedFalsePositiveRate", "hammingLoss"])
+def test_class_metrics_are_those_of_the_library(rows, metric):
+    said = rows.select("c", F.pmod(F.floor(F.col("z") * 2), F.lit(3)).cast("double").alias("p"))
+    theirs = MulticlassClassificationEvaluator(labelCol="c", predictionCol="p", metricName=metric, metricLabel=1.0).evaluate(said)
+    (ours,) = learning.several_scores(said.select("c", F.array("p").alias("_predictions")), "c", lambda n: learning.class_metric(n, metric, 1.0))
+    assert abs(ours - theirs) < 1e-12
+
+
+def test_grid_metrics_recomputed_from_predictions(rows):
+    model, best, points = learning.forest_grid(rows, "p", "c", threshold=None, grid={"maxDepth": [2, 4], "numTrees": [2, 5]})
+    assert [(p["maxDepth"], p["numTrees"]) for p in points] == [(2, 2), (2, 5), (4, 2), (4, 5)]
+    share = model.transform(rows).agg(F.avg((F.col("p") == F.col("c")).cast("int"))).first()[0]
+    assert abs(share - best["metricValue"]) < 1e-12 and best["metricValue"] == max(p["metricValue"] for p in points)
+    model, best, points = learning.boosted_regression_grid(rows, "p", "z", grid={"maxDepth": [2, 3], "maxIter": [2, 6]})
+    error = math.sqrt(model.transform(rows).agg(F.avg((F.col("p") - F.col("z")) ** 2)).first()[0])
+    assert abs(error - best["metricValue"]) < 1e-9 and best["metricValue"] == min(p["metricValue"] for p in points) and len(points) == 4
+    model, best, points = learning.logistic_grid(rows, rows, "p", "y", threshold=None, grid={"regParam": [0.01, 5.0], "maxIter": [5, 20]})
+    share = model.transform(rows).agg(F.avg((F.col("p") == F.col("y")).cast("int"))).first()[0]
+    assert abs(share - best["metricValue"]) < 1e-12 and len(points) == 4
+
+
+def test_ensemble_grid_stops_at_the_threshold(rows):
+    _, best, points = learning.forest_grid(rows, "p", "y", threshold=0.5, grid={"maxDepth": [2, 4, 6], "numTrees": [2, 3]})
+    assert len(points) == 1 and best == points[0]
 
 
 def test_stack_has_25_outputs_of_full_models(spark, monkeypatch):

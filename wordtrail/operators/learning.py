@@ -10,11 +10,11 @@ from itertools import product
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator,
-                                   MulticlassClassificationEvaluator, RegressionEvaluator)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
@@ -26,6 +26,7 @@ FOREST_GRID = {"maxDepth": [5, 7, 9, 11, 13, 15], "numTrees": [5, 10, 15, 20, 25
 LOGISTIC_GRID = {"regParam": [0.01, 0.05, 0.1, 0.5], "maxIter": [10, 50, 100, 1000],
                  "elasticNetParam": [0.0, 0.8]}
 TREE_REGRESSION_GRID = {"maxDepth": [5, 10, 15], "numTrees": [5, 10, 20, 50]}
+SMALLER_IS_BETTER = {"hammingLoss", "falsePositiveRateByLabel", "weightedFalsePositiveRate"}
 BOOSTING_GRID = {"maxDepth": [5, 10, 15], "maxIter": [5, 10, 20, 50]}
 
 
@@ -72,44 +73,181 @@ def grid_search(estimator, grid: dict[str, Sequence], train: DataFrame, test: Da
     return best_model, best
 
 
-def forest_grid(df: DataFrame, prediction: str, label: str, threshold: float = 1.0,
-                grid: dict = FOREST_GRID, seed: int = 42):
+class FirstTrees:
+    """The first ``n`` trees of a fitted ensemble as a model of their own; ``n`` may be several numbers.
+
+    A boosted ensemble of fewer rounds is the beginning of a longer one, tree by tree, and the first
+    trees of a forest are a forest. So one fit serves every number of trees.
+    """
+
+    def __init__(self, model, n: int | Sequence[int], prediction: str):
+        self.model, self.prediction = model, prediction
+        self.sizes = [n] if isinstance(n, int) else list(n)
+
+    def predictions(self, df: DataFrame) -> DataFrame:
+        """``df`` with an array of one prediction a size. Every tree is applied once."""
+        forest, classes = hasattr(self.model, "numClasses"), getattr(self.model, "numClasses", 0)
+        boosted = "GBT" in type(self.model).__name__
+        out, trees = df, []
+        for i, tree in enumerate(self.model.trees[:max(self.sizes)]):
+            tree = tree.setFeaturesCol(self.model.getFeaturesCol())
+            if forest and not boosted:
+                tree = tree.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_tree{i}")
+            else:
+                tree = tree.setPredictionCol(f"_tree{i}")
+            out = tree.transform(out)
+            trees.append(vector_to_array(f"_tree{i}") if forest and not boosted else F.col(f"_tree{i}"))
+        weights = F.array(*[F.lit(float(w)) for w in self.model.treeWeights])
+        found = out.select(*df.columns, F.array(*trees).alias("_trees"))
+
+        def summed(n: int) -> Column:
+            return F.aggregate(F.zip_with(F.slice("_trees", 1, n), F.slice(weights, 1, n), lambda t, w: t * w), F.lit(0.0), lambda s, x: s + x)
+
+        def of_size(n: int) -> Column:
+            if boosted:
+                return F.when(summed(n) > 0, 1.0).otherwise(0.0) if forest else summed(n)
+            if not forest:
+                return summed(n) / n
+            votes = F.aggregate(F.slice("_trees", 1, n), F.array_repeat(F.lit(0.0), classes), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+            return (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
+
+        return found.select(*df.columns, F.array(*[of_size(n) for n in self.sizes]).alias("_predictions"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.predictions(df).select(*df.columns, F.get("_predictions", F.lit(0)).alias(self.prediction))
+
+
+def class_metric(counts: dict[tuple[float, float], int], metric: str, label: float = 0.0, beta: float = 1.0) -> float:
+    """A metric of MLlib's by name, from the numbers of rows by (true class, predicted class)."""
+    total = sum(counts.values())
+    truths = sorted({t for t, _ in counts})
+    right = lambda c: counts.get((c, c), 0)
+    true_of = lambda c: sum(n for (t, _), n in counts.items() if t == c)
+    said = lambda c: sum(n for (_, p), n in counts.items() if p == c)
+    ratio = lambda a, b: a / b if b else 0.0
+    recall = lambda c: ratio(right(c), true_of(c))
+    precision = lambda c: ratio(right(c), said(c))
+    f = lambda c: ratio((1 + beta ** 2) * precision(c) * recall(c), beta ** 2 * precision(c) + recall(c))
+    wrongly = lambda c: ratio(said(c) - right(c), total - true_of(c))
+    of_label = {"precisionByLabel": precision, "recallByLabel": recall, "truePositiveRateByLabel": recall, "fMeasureByLabel": f, "falsePositiveRateByLabel": wrongly}
+    weighted = {"f1": f, "weightedFMeasure": f, "weightedPrecision": precision, "weightedRecall": recall, "weightedTruePositiveRate": recall,
+                "weightedFalsePositiveRate": wrongly}
+    if metric in of_label:
+        return of_label[metric](label)
+    if metric in weighted:
+        return sum(true_of(c) * weighted[metric](c) for c in truths) / total
+    if metric in ("accuracy", "hammingLoss"):
+        share = sum(map(right, truths)) / total
+        return share if metric == "accuracy" else 1 - share
+    raise ValueError(f"no class metric {metric}")
+
+
+def several_scores(predicted: DataFrame, label: str, score: Callable[[dict], float] | None) -> list[float]:
+    """One metric a model from an array ``_predictions``, all in one aggregate: ``score`` of the
+    counts by (true, predicted) class, or the root mean squared error where there is none."""
+    each = predicted.select(F.col(label).cast("double").alias("y"), F.posexplode("_predictions").alias("i", "p"))
+    if score is None:
+        error = F.sqrt(F.avg(F.pow(F.col("p") - F.col("y"), 2))).alias("v")
+        return [r.v for r in each.groupBy("i").agg(error).orderBy("i").collect()]
+    counts: dict[int, dict] = {}
+    for r in each.groupBy("i", "y", "p").count().collect():  # models times the square of the number of classes
+        counts.setdefault(r.i, {})[r.y, r.p] = r["count"]
+    return [score(counts[i]) for i in sorted(counts)]
+
+
+def best_point(points: Iterable[tuple], larger: bool, threshold: float | None = None) -> tuple:
+    """``(model, parameters, all points seen)`` of the best metric, the first of equal ones; the
+    first point that reaches ``threshold`` ends the search."""
+    best, seen = None, []
+    for model, params in points:
+        value = params["metricValue"]
+        seen.append(params)
+        if best is None or (value > best[1]["metricValue"] if larger else value < best[1]["metricValue"]):
+            best = model, params
+        if threshold is not None and (value >= threshold if larger else value <= threshold):
+            break
+    return (*best, seen) if best else (None, None, seen)
+
+
+def ensemble_grid(estimator, depths: Sequence[int], size_param: str, sizes: Sequence[int], df: DataFrame, label: str,
+                  score: Callable[[dict], float] | None = None, larger: bool = True, threshold: float | None = None) -> tuple:
+    """Best model over depth times number of trees: one fit a depth, of the largest number of trees,
+    and one pass over the rows for the metrics of all its beginnings. Fits run side by side."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    prediction = estimator.getPredictionCol()
+    copies = [estimator.copy({estimator.maxDepth: d, getattr(estimator, size_param): max(sizes)}) for d in depths]
+    fitted = side_by_side(df.sparkSession, [partial(copy.fit, kept) for copy in copies])
+
+    def points():
+        for depth, model in zip(depths, fitted):
+            values = several_scores(FirstTrees(model, sizes, prediction).predictions(kept.select("features", label)), label, score)
+            for n, value in zip(sizes, values):
+                yield FirstTrees(model, n, prediction), {"maxDepth": depth, size_param: n, "metricValue": value}
+
+    try:
+        return best_point(points(), larger, threshold)
+    finally:
+        fitted.close()
+        kept.unpersist()
+
+
+def classifier_grid(estimator, grid: dict[str, Sequence], train: DataFrame, test: DataFrame, label: str,
+                score: Callable[[dict], float], larger: bool = True, threshold: float | None = None) -> tuple:
+    """Best model over a grid of a classifier: fits side by side, then all models applied in one
+    pass over ``test``, whose metrics are one aggregate. Both frames are kept for the fits."""
+    kept = {id(df): df.persist(StorageLevel.MEMORY_AND_DISK) for df in (train, test)}
+    grids = [dict(zip(grid, values)) for values in product(*grid.values())]
+    copies = [estimator.copy({getattr(estimator, k): v for k, v in params.items()}) for params in grids]
+    try:
+        models = list(side_by_side(train.sparkSession, [partial(copy.fit, train) for copy in copies]))
+        rows = test.select("features", label)
+        for i, model in enumerate(models):
+            named = model.copy().setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("")
+            rows = named.transform(rows)
+        values = several_scores(rows.select(label, F.array(*[f"_p{i}" for i in range(len(models))]).alias("_predictions")), label, score)
+        return best_point(((m, {**params, "metricValue": v}) for m, params, v in zip(models, grids, values)), larger, threshold)
+    finally:
+        for df in kept.values():
+            df.unpersist()
+
+
+def forest_grid(df: DataFrame, prediction: str, label: str, threshold: float | None = 1.0,
+                grid: dict = FOREST_GRID, seed: int = 42) -> tuple:
     """Random-forest classifier by accuracy on the training rows, with early stop."""
     estimator = RandomForestClassifier(featuresCol="features", labelCol=label, predictionCol=prediction, seed=seed)
-    return grid_search(estimator, grid, df, df, _accuracy(prediction, label), threshold)
+    return ensemble_grid(estimator, grid["maxDepth"], "numTrees", grid["numTrees"], df, label, partial(class_metric, metric="accuracy"), True, threshold)
 
 
 def logistic_grid(train: DataFrame, test: DataFrame, prediction: str, label: str,
-                  metric: str = "accuracy", metric_label: float = 0.0, threshold: float = 1.0,
-                  grid: dict = LOGISTIC_GRID):
+                  metric: str = "accuracy", metric_label: float = 0.0, threshold: float | None = 1.0,
+                  grid: dict = LOGISTIC_GRID) -> tuple:
     """Multinomial logistic regression scored on held-out rows."""
     estimator = LogisticRegression(featuresCol="features", labelCol=label, predictionCol=prediction,
                                    family="multinomial")
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction,
-                                                  metricName=metric, metricLabel=metric_label)
-    return grid_search(estimator, grid, train, test, evaluator, threshold)
+    return classifier_grid(estimator, grid, train, test, label, partial(class_metric, metric=metric, label=metric_label),
+                       metric not in SMALLER_IS_BETTER, threshold)
 
 
 def forest_regression_grid(df: DataFrame, prediction: str, label: str, grid: dict = TREE_REGRESSION_GRID,
-                           seed: int = 42):
+                           seed: int = 42) -> tuple:
     """Random-forest regression with the smallest rmse."""
     estimator = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=prediction, seed=seed)
-    return grid_search(estimator, grid, df, df, _rmse(prediction, label))
+    return ensemble_grid(estimator, grid["maxDepth"], "numTrees", grid["numTrees"], df, label, larger=False)
 
 
 def boosted_regression_grid(df: DataFrame, prediction: str, label: str, grid: dict = BOOSTING_GRID,
-                            seed: int = 42):
+                            seed: int = 42) -> tuple:
     """Gradient-boosted regression with the smallest rmse."""
     estimator = GBTRegressor(featuresCol="features", labelCol=label, predictionCol=prediction, seed=seed)
-    return grid_search(estimator, grid, df, df, _rmse(prediction, label))
+    return ensemble_grid(estimator, grid["maxDepth"], "maxIter", grid["maxIter"], df, label, larger=False)
 
 
 def boosted_classifier_grid(df: DataFrame, prediction: str, label: str, metric: str = "accuracy",
-                            grid: dict = BOOSTING_GRID, seed: int = 42):
+                            grid: dict = BOOSTING_GRID, seed: int = 42) -> tuple:
     """Gradient-boosted binary classifier by a classification metric."""
     estimator = GBTClassifier(featuresCol="features", labelCol=label, predictionCol=prediction, seed=seed)
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName=metric)
-    return grid_search(estimator, grid, df, df, evaluator)
+    return ensemble_grid(estimator, grid["maxDepth"], "maxIter", grid["maxIter"], df, label, partial(class_metric, metric=metric),
+                         metric not in SMALLER_IS_BETTER)
 
 
 def cross_validated(estimator, grid: dict[str, Sequence], df: DataFrame, evaluator, folds: int = 3,
@@ -122,14 +260,6 @@ def cross_validated(estimator, grid: dict[str, Sequence], df: DataFrame, evaluat
                           numFolds=folds, parallelism=parallelism, seed=seed).fit(df)
 
 
-def _accuracy(prediction: str, label: str):
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy")
-
-
-def _rmse(prediction: str, label: str):
-    return RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName="rmse")
-
-
 def auc(predictions: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(labelCol=label).evaluate(predictions)
 
