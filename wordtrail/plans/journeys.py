@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordtrail.operators import features, journey
+from wordtrail.operators import factors, features, journey
 from wordtrail.operators.scan import find_cuts
 from wordtrail.plans.registry import Tables, query
 
@@ -148,3 +148,11 @@ def page_similarity(t):
     lists = journey.user_journeys(t.events, "user_id", "event_type", "value", converted(), ORDER)
     vectors = features.word_vectors(features.train_word_vectors(lists, "pages"))
     return features.similar_words(vectors, "purchase").select("word", (F.abs("similarity") <= 1.000001).alias("is_cosine"))
+
+
+@query("c5_page_neighbours")
+def page_neighbours(t):
+    """Cosines of the pages' own vectors to that of one page."""
+    lists = journey.user_journeys(t.events, "user_id", "event_type", "value", converted(), ORDER)
+    vectors = factors.word_factors(factors.associations(factors.cooccurrences(lists, "pages")))
+    return features.similar_words(vectors, "purchase")

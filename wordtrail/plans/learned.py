@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from wordtrail.functions.stopwords import ENGLISH
-from wordtrail.operators import evaluate, features, journey, learning, tokens, votes
+from wordtrail.operators import evaluate, factors, features, journey, learning, tokens, votes
 from wordtrail.operators.sampling import with_split
 from wordtrail.plans.registry import query, quoted_list, words_sql
 
@@ -141,6 +141,40 @@ def document_vectors(t):
     return rows.select("doc_id", F.size("doc2vec").alias("size"), finite("doc2vec").alias("finite"))
 
 
+@query("v7_page_associations", """
+WITH m AS (SELECT *, lag(event_type, 1, 'started') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+r AS (SELECT user_id, event_type AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m WHERE event_type <> p),
+k AS (SELECT page FROM r GROUP BY 1 HAVING count(*) >= 5),
+o AS (SELECT a.page AS a, b.page AS b FROM r a JOIN r b ON a.user_id = b.user_id AND (a.run - 1) // 10000 = (b.run - 1) // 10000 AND b.run - a.run BETWEEN 1 AND 5),
+c AS (SELECT word, context, count(*) AS n FROM (SELECT a AS word, b AS context FROM o UNION ALL SELECT b, a FROM o)
+      WHERE word IN (SELECT page FROM k) AND context IN (SELECT page FROM k) GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY word) AS w, sum(n) OVER (PARTITION BY context) AS x FROM c)
+SELECT word, context, n, round(ln(n::double * total / (w::double * x)), 6) AS ppmi FROM s WHERE ln(n::double * total / (w::double * x)) > 1e-12""")
+def page_associations(t):
+    found = factors.associations(factors.cooccurrences(event_journeys(t), "pages"))
+    return found.withColumn("ppmi", F.round("ppmi", 6))
+
+
+def page_factors(t):
+    return factors.word_factors(factors.associations(factors.cooccurrences(event_journeys(t), "pages")))
+
+
+@query("v7_journey_factors")
+def journey_factors(t):
+    return factors.list_vectors(event_journeys(t), "user_id", "pages", page_factors(t))
+
+
+@query("v8_word_factors")
+def word_factors(t):
+    return page_factors(t)
+
+
+@query("v9_document_factors")
+def document_factors(t):
+    docs = refined(t)
+    return factors.list_vectors(docs, "doc_id", "tokens", factors.word_factors(factors.associations(factors.cooccurrences(docs, "tokens"))))
+
+
 @query("v10_joined_embeddings", """
 SELECT d.doc_id, len(e.embedding) AS size, round(e.embedding[1]::double, 6) AS first
 FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""")
@@ -157,6 +191,12 @@ def pca(t):
     return rows.select("vec_id", F.size("pca").alias("size"), finite("pca").alias("finite"))
 
 
+@query("v11_pca_positions")
+def pca_positions(t):
+    rows = features.project(t.embeddings, "embedding", 2).select("vec_id", vector_to_array("pca").alias("p"))
+    return rows.select("vec_id", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+
+
 @query("v12_text_stages")
 def text_stages(t):
     docs = t.documents.select("doc_id", "text")
