@@ -171,6 +171,26 @@ def test_model_registry(spark):
     assert {k: len(v) for k, v in pairs.items()} == {(1, 2): 1, (1, 3): 1}
 
 
+@pytest.mark.parametrize("bits", [2, 16])
+def test_exact_samples_keep_the_wanted_number(spark, bits):
+    sizes = {"a": 500, "b": 90, "c": 7}
+    df = spark.createDataFrame([(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)] + [("none", None)], "k string, label string")
+    asked = {"a": 123, "b": 90, "c": 20}
+
+    def wanted(own):
+        return own.withColumn("wanted", F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])[F.col("label")])
+
+    kept = sampling.exact_samples(df, "k", "label", wanted, bits=bits)
+    assert dict(kept.groupBy("label").count().collect()) == {"a": 123, "b": 90, "c": 7} and kept.columns == ["k", "label"]
+    again = sampling.exact_samples(df.repartition(7), "k", "label", wanted, bits=16)
+    assert {r.k for r in kept.collect()} == {r.k for r in again.collect()}
+    pair = sampling.exact_pair(df, "k", "label", ("a", "b"))
+    assert dict(pair.groupBy("label").count().collect()) == {"a": 90, "b": 90}
+    assert sampling.exact_pair(df, "k", "label", ("a", "missing")).count() == 0 and sampling.exact_pair(df.limit(0), "k", "label", ("a", "b")).count() == 0
+    rest = sampling.exact_against_rest(df, "k", "label", "b")
+    assert dict(rest.groupBy("label").count().collect()) == {"a": 45, "b": 90, "c": 7}
+
+
 def test_grid_search_direction_and_early_stop(spark):
     rows = spark.createDataFrame([(Vectors.dense(float(i)), 2.0 * i) for i in range(20)], ["features", "label"])
     seen = []

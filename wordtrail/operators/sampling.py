@@ -8,9 +8,12 @@ more only to be filtered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
 
-from wordtrail.functions.hashing import unit_hash
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from wordtrail.functions.hashing import hash32, unit_hash
+from wordtrail.session import cut_lineage
 
 
 def _unit(key: str, seed: str | None) -> Column:
@@ -122,6 +125,51 @@ def uniform_sets(df: DataFrame, key: str, label: str, target, classes: list,
     return taken.unionByName(df.filter(is_target).withColumn("sample_id", F.explode(every)))
 
 
+def exact_samples(df: DataFrame, key: str, label: str, wanted: Callable[[DataFrame], DataFrame], seed: str | None = None,
+                  bits: int = 16) -> DataFrame:
+    """As many rows of each class as ``wanted`` says, those of the smallest key hashes.
+
+    ``wanted`` makes ``(label, n, wanted)`` of the class sizes ``(label, n)``; a class left out has
+    no row in the result, one with fewer rows than wanted keeps all. A histogram over the first
+    ``bits`` bits of the hash finds the prefix in which each class reaches its number; only the rows
+    of that prefix, one in ``2 ** bits``, are ranked. Rows that share a key count as one place each,
+    and stay or go by their order among equal keys only if that is where the number is reached.
+    """
+    h = hash32(key) if seed is None else hash32(F.col(key), F.lit(seed))
+    rows = df.withColumns({"_hash": h, "_prefix": F.shiftrightunsigned(h, 32 - bits).cast("int")}).filter(F.col(label).isNotNull())
+    sizes = rows.groupBy(label, "_prefix").agg(F.count("*").alias("_n"))
+    sums = cut_lineage(sizes)  # classes times prefixes at most
+    asked = wanted(sums.groupBy(label).agg(F.sum("_n").alias("n")))
+    so_far = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    reached = sums.withColumn("_sum", F.sum("_n").over(so_far)).join(asked, label)
+    edge = cut_lineage(reached.groupBy(label).agg(
+        F.min(F.when(F.col("_sum") >= F.col("wanted"), F.struct("_prefix", (F.col("wanted") - F.col("_sum") + F.col("_n")).alias("need")))).alias("e"),
+        F.max("wanted").alias("wanted")).select(label, F.col("e._prefix").alias("_edge"), F.col("e.need").alias("_need"), "wanted"))
+    near = rows.join(F.broadcast(edge), label)  # a row a class
+    whole = near.filter((F.col("wanted") > 0) & (F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge"))))
+    order = Window.partitionBy(label).orderBy("_hash", key)
+    part = near.filter(F.col("_prefix") == F.col("_edge")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_need"))
+    return whole.select(df.columns).unionByName(part.select(df.columns))
+
+
+def exact_pair(df: DataFrame, key: str, label: str, pair: tuple, seed: str | None = None) -> DataFrame:
+    """Both classes, the larger one cut to exactly the size of the smaller; nothing if one is missing."""
+    both = df.filter(F.col(label).isin(*pair))
+    least = lambda sizes: sizes.withColumn("wanted", F.when(F.count("*").over(Window.partitionBy()) < 2, 0).otherwise(F.min("n").over(Window.partitionBy())))  # noqa: E731  two rows
+    return exact_samples(both, key, label, least, seed)
+
+
+def exact_against_rest(df: DataFrame, key: str, label: str, target, seed: str | None = None) -> DataFrame:
+    """All target rows; of every other class exactly ``int(target rows / (classes - 1))``, or all it has.
+    Adds ``binary_score`` (target or 0)."""
+    def quota(sizes: DataFrame) -> DataFrame:
+        whole = sizes.agg(F.struct(F.max(F.when(F.col(label) == target, F.col("n"))).alias("target"), F.count("*").alias("classes")).alias("w")).scalar()
+        share = F.floor(F.coalesce(whole.target, F.lit(0)) / F.greatest(whole.classes - 1, F.lit(1)))
+        return sizes.withColumn("wanted", F.when(F.col(label) == target, F.col("n")).otherwise(F.least(F.col("n"), share)))
+
+    return exact_samples(df, key, label, quota, seed).withColumn("binary_score", F.when(F.col(label) == target, F.col(label)).otherwise(F.lit(0).cast(df.schema[label].dataType)))
+
+
 def class_split_counts(df: DataFrame, label: str, splits: list[str]) -> DataFrame:
     """Class distribution of all splits side by side, in one aggregate."""
     return df.groupBy(label).agg(*[F.count_if(F.col("split") == s).alias(f"count_{s}") for s in splits])

@@ -200,6 +200,32 @@ def apply_tags(tokens: DataFrame, lexicon: DataFrame, spread: list[str]) -> Data
     return tagged.withColumn("tag", F.coalesce("tag", guess_tag(F.col("token")))).drop("word")
 
 
+def learn_endings(tagged: DataFrame, longest: int = 4, weight: str | None = None) -> DataFrame:
+    """``(ending, tag)``: the most frequent tag of the tokens whose lower-case word ends so and is
+    longer, for endings of 1 to ``longest`` letters; ties go to the alphabetically first tag. A
+    row counts once, or as often as ``weight`` says."""
+    seen = tagged.filter(F.col("token").isNotNull())
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = seen.groupBy(F.lower("token").alias("word"), "tag").agg(times.alias("n"))
+    each = counts.select(F.explode(_endings(F.col("word"), longest)).alias("ending"), "tag", "n")
+    return each.groupBy("ending", "tag").agg(F.sum("n").alias("n")).groupBy("ending").agg(
+        F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
+
+
+def _endings(word: Column, longest: int) -> Column:
+    sizes = F.filter(F.array(*[F.lit(n) for n in range(1, longest + 1)]), lambda n: n < F.length(word))
+    return F.transform(sizes, lambda n: F.right(word, n))
+
+
+def tag_words(words: DataFrame, lexicon: DataFrame, endings: DataFrame, longest: int = 4) -> DataFrame:
+    """``(word, tag)`` for a table of distinct ``word``: from the lexicon, else of the longest ending
+    that was learned, else NN. No word is lost, and nothing runs while the plan is made."""
+    known = words.join(lexicon, "word", "left")
+    new = known.filter(F.col("tag").isNull()).select("word", F.explode(_endings(F.col("word"), longest)).alias("ending"))
+    guessed = new.join(endings, "ending").groupBy("word").agg(F.max_by("tag", F.length("ending")).alias("_guess"))
+    return known.join(guessed, "word", "left").select("word", F.coalesce("tag", "_guess", F.lit("NN")).alias("tag"))
+
+
 def lemma_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEMMAS, "word string, class string, lemma string")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordtrail.operators import sampling
-from wordtrail.plans.registry import query, unit_sql
+from wordtrail.plans.registry import hash_sql, query, unit_sql
 
 # The order priorities stand in for the classes 1..5.
 SCORE = "cast(substr(o_orderpriority, 1, 1) AS integer)"
@@ -47,6 +47,14 @@ def balanced_pair(t):
     return sampling.balanced_pair(t.labels.select("doc_id", "quality"), "doc_id", "quality", (0, 1))
 
 
+@query("m3_exact_pair", f"""
+WITH s AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {hash_sql('doc_id')}, doc_id) AS r FROM labels WHERE quality IN (0, 1)),
+n AS (SELECT least(count(*) FILTER (quality = 0), count(*) FILTER (quality = 1)) AS n FROM s)
+SELECT doc_id, quality FROM s, n WHERE r <= n""")
+def exact_pair(t):
+    return sampling.exact_pair(t.labels.select("doc_id", "quality"), "doc_id", "quality", (0, 1))
+
+
 @query("m4_target_against_far", f"""
 WITH {SCORED}, n AS (SELECT count(*) FILTER (score = 2)::double AS a, count(*) FILTER (score IN (4, 5))::double AS b FROM s)
 SELECT o_orderkey, score, CASE WHEN score = 2 THEN 2 ELSE 0 END AS score_2 FROM s, n
@@ -73,6 +81,14 @@ def binary_against_rest(t):
     return sampling.binary_against_rest(scored(t), "o_orderkey", "score", 3, CLASSES)
 
 
+@query("m6_exact_against_rest", f"""
+WITH s AS (SELECT o_orderkey, {SCORE} AS score, row_number() OVER (PARTITION BY {SCORE} ORDER BY {hash_sql('o_orderkey')}, o_orderkey) AS r FROM orders),
+q AS (SELECT count(*) FILTER (score = 3) // (count(DISTINCT score) - 1) AS q FROM s)
+SELECT o_orderkey, score, CASE WHEN score = 3 THEN 3 ELSE 0 END AS binary_score FROM s, q WHERE score = 3 OR r <= q""")
+def exact_against_rest(t):
+    return sampling.exact_against_rest(scored(t), "o_orderkey", "score", 3)
+
+
 @query("m6_native_stratified")
 def native_stratified(t):
     return scored(t).sampleBy("score", {c: 0.25 for c in CLASSES} | {3: 1.0}, 7)

@@ -9,9 +9,10 @@ from wordtrail.functions import regex
 from wordtrail.functions.hashing import hash32
 from wordtrail.functions.stopwords import ENGLISH
 from wordtrail.operators import profile, stems, tagging, tokens
-from wordtrail.operators.lookup import lookup_join, word_table
+from wordtrail.operators.lookup import lookup_join, salted_join, word_table
 from wordtrail.plans.registry import WORD, hash_sql, query, quoted_list, words_sql
 from wordtrail.plans.stem_sql import porter2_ctes, porter_ctes
+from wordtrail.session import cut_lineage
 
 STOP_SQL = quoted_list(ENGLISH)
 
@@ -196,6 +197,30 @@ def applied_tags(t):
     return tagged.groupBy("conv_id", "tag").agg(F.count("*").alias("n"))
 
 
+@query("t12_tagged_words", f"""
+WITH {token_cte(lower=False)}, {tagged_ctes('tok')},
+cnt AS (SELECT lower(token) AS word, tag, count(*) AS n FROM tagged GROUP BY 1, 2),
+lex AS (SELECT word, tag FROM (SELECT word, tag, row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) AS r FROM cnt) WHERE r = 1),
+fin AS (SELECT right(word, k) AS ending, tag, n FROM cnt, range(1, 5) e(k) WHERE k < length(word)),
+sfx AS (SELECT ending, tag FROM (SELECT ending, tag, row_number() OVER (PARTITION BY ending ORDER BY sum(n) DESC, tag) AS r FROM fin GROUP BY 1, 2) WHERE r = 1),
+c AS (SELECT conv_id, unnest(regexp_extract_all(text, '{WORD}')) AS token FROM conversations),
+new AS (SELECT DISTINCT lower(token) AS word FROM c WHERE lower(token) NOT IN (SELECT word FROM lex)),
+gss2 AS (SELECT word, max_by(sfx.tag, k) AS tag FROM new, range(1, 5) e(k), sfx WHERE sfx.ending = right(word, k) AND k < length(word) GROUP BY 1)
+SELECT c.conv_id, coalesce(lex.tag, gss2.tag, 'NN') AS tag, count(*) AS n, count(*) FILTER (lex.tag IS NULL) AS guessed
+FROM c LEFT JOIN lex ON lower(c.token) = lex.word LEFT JOIN gss2 ON lower(c.token) = gss2.word GROUP BY 1, 2""")
+def tagged_words(t):
+    """Every word of the conversations with a tag learned from the documents, new words by their ending."""
+    seen = tagging.tagged_rows(t.texts, "doc_id", tokens.word_tokens("text", lower=False))
+    counts = cut_lineage(seen.filter(F.col("token").isNotNull()).groupBy(F.lower("token").alias("token"), "tag").agg(F.count("*").alias("n")))
+    lexicon = counts.groupBy(F.col("token").alias("word")).agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
+    per_conversation = t.conversations.select("conv_id", F.explode(tokens.word_tokens("text")).alias("word")).groupBy("conv_id", "word").agg(F.count("*").alias("n"))
+    known = lexicon.withColumn("known", F.lit(True))
+    words = per_conversation.select("word").distinct()
+    tagged = tagging.tag_words(words, lexicon, tagging.learn_endings(counts, weight="n")).join(known.select("word", "known"), "word", "left")
+    return salted_join(per_conversation, tagged, "word", ["conv_id"]).groupBy("conv_id", "tag").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("guessed"))
+
+
 @query("t13_tag_glossary", f"""
 WITH {token_cte(lower=False)}, {tagged_ctes('tok')}
 SELECT t.tag, t.n, v.meaning FROM (SELECT tag, count(*) AS n FROM tagged GROUP BY 1) t
