@@ -227,7 +227,7 @@ class Unit:
         stop = inside & ~np.r_[inside[1:] & ~new[1:], False]
         self.first, self.last = np.flatnonzero(new), np.flatnonzero(stop)
         self.anchors = at[self.first]
-        self.key = hashes[self.anchors]
+        self.key = mixed(hashes[self.anchors] + BASE)  # the smallest of many hashes are small: spread them anew
 
     def window_keys(self) -> np.ndarray:
         return mixed(PrefixHashes(self.text).every(self.length))
