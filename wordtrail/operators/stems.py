@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wordtrail.functions.stemming import porter, porter2
+from wordtrail.operators import postings
 from wordtrail.operators.lookup import salted_join
 
 STEMMERS = {"porter": porter, "porter2": porter2}
@@ -23,6 +24,22 @@ def stem_index(counts: DataFrame, key: str, algorithm: str = "porter") -> DataFr
     return joined.groupBy("stem", key).agg(F.sum("tf").alias("tf"))
 
 
+def stored_index(counts: DataFrame, key: str, algorithm: str = "porter", place: str | None = None) -> str:
+    """Write the stem index as blocks of postings; returns its folder.
+
+    Words are stemmed as they are counted, a text's stems being summed up in the shuffle that
+    makes the blocks' rows: texts are read once.
+    """
+    stemmed = counts.select(key, STEMMERS[algorithm](F.col("token")).alias("stem"), "tf").groupBy(key, "stem").agg(F.sum("tf").alias("tf"))
+    return postings.write_index(stemmed, key, "stem", place)
+
+
+def stored_search(blocks: DataFrame, word: str, algorithm: str = "porter") -> DataFrame:
+    """``(stem, key, tf)`` of the texts with any word of the query word's stem; reads one bucket, no text."""
+    wanted = blocks.sparkSession.range(1).select(STEMMERS[algorithm](F.lit(word))).first()[0]
+    return postings.search(blocks, wanted).withColumnRenamed("term", "stem")
+
+
 def variants(vocabulary: DataFrame) -> DataFrame:
     """All words sharing a stem, as a sorted list (bounded by the words of one stem)."""
     return vocabulary.groupBy("stem").agg(F.array_sort(F.collect_set("token")).alias("words"))

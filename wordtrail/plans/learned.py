@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from wordtrail.functions.stopwords import ENGLISH
-from wordtrail.operators import evaluate, factors, features, journey, learning, tokens, votes
+from wordtrail.operators import evaluate, factors, features, journey, learning, postings, tokens, votes
 from wordtrail.operators.sampling import with_split
 from wordtrail.plans.registry import query, quoted_list, words_sql
 
@@ -66,15 +66,27 @@ def hashed_tf(t):
     return features.hashed_tf(refined(t), "tokens").select("doc_id", total.cast("bigint").alias("total"))
 
 
-@query("v3_tf_idf", f"""
+TF_IDF_SQL = f"""
 WITH {TF_SQL}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), m AS (SELECT count(*)::double AS m FROM documents)
 SELECT tf.doc_id, tf.term, tf, df, round(CASE WHEN df >= 2 THEN tf * ln((m + 1.0) / (df + 1.0)) ELSE 0 END, 4) + 0.0 AS tf_idf
-FROM tf JOIN df ON tf.term = df.term, m""")
+FROM tf JOIN df ON tf.term = df.term, m"""
+
+
+@query("v3_tf_idf", TF_IDF_SQL)
 def tf_idf(t):
     weighted = features.tf_idf(term_counts(t), "doc_id", t.documents, min_doc_freq=2)
     return weighted.withColumn("tf_idf", F.round("tf_idf", 4) + F.lit(0.0))
 
 
+@query("v3_stored_tf_idf", TF_IDF_SQL)
+def stored_tf_idf(t):
+    """From the stored index: texts are cut into words once."""
+    index = postings.read_index(t.spark, postings.write_index(term_counts(t), "doc_id", "term"))
+    total = t.documents.agg(F.count("*").cast("double").alias("m")).scalar()
+    weighted = postings.tf_idf(index, total, min_doc_freq=2)
+    return weighted.select(F.col("key").alias("doc_id"), "term", "tf", "df", (F.round("tf_idf", 4) + F.lit(0.0)).alias("tf_idf"))
+
+
 @query("v3_hashed_tf_idf")
 def hashed_tf_idf(t):
     return features.hashed_tf_idf(refined(t), "tokens").select("doc_id", F.col("features").cast("string").alias("features"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordtrail.functions import regex
 from wordtrail.functions.hashing import hash32
 from wordtrail.functions.stopwords import ENGLISH
-from wordtrail.operators import profile, stems, tagging, tokens
+from wordtrail.operators import postings, profile, stems, tagging, tokens
 from wordtrail.operators.lookup import lookup_join, salted_join, word_table
 from wordtrail.plans.registry import WORD, hash_sql, query, quoted_list, words_sql
 from wordtrail.plans.stem_sql import porter2_ctes, porter_ctes
@@ -315,6 +315,13 @@ def variant_search(t):
     return stems.search(stems.stem_index(stem_counts(t), "doc_id"), "things")
 
 
+@query("t18_stored_search", f"WITH {VOCABULARY}, {porter_ctes('voc')}, {STEM_INDEX} SELECT stem, doc_id, tf FROM idx WHERE stem = 'thing'")
+def stored_search(t):
+    place = stems.stored_index(stem_counts(t), "doc_id")
+    found = stems.stored_search(postings.read_index(t.spark, place), "things")
+    return found.select("stem", F.col("key").alias("doc_id"), "tf")
+
+
 @query("t18_variants", f"""
 WITH {VOCABULARY}, {porter_ctes('voc')} SELECT stem, string_agg(token, ' ' ORDER BY token) AS words FROM stems GROUP BY 1""")
 def variants(t):
