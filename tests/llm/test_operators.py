@@ -63,6 +63,22 @@ def test_bpe_of_single_characters():
     assert [w for w, ids in zip(words, theirs) if own.encode(w) != ids] == []
 
 
+def test_chunks_encoded_apart_are_those_of_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_files.CachedEncoder(path, 2000)
+    assert own.direct
+    r = random.Random(3)
+    parts = ["the", "don't", "Über", "naïve", "x.", "end!!", "a&&&", "don.'t", "ß", "É.,", "½", "a1", "1.", ".", "...", "  ", "\t", "\n", "日本", "x²", "ǅ", "\xad", "a\u0301",
+             "<|endoftext|>", "word$$$", "one.\nTwo!", "a\nb", "Über\nÉ.", "x\n\ny", "we'll.", "ÿ×÷", "%*", "A" * 300]
+    made = ["".join(r.choice(parts) + r.choice([" ", " ", "", "  ", "\n "]) for _ in range(30)) for _ in range(400)] + texts[:100]
+    for at in range(0, len(made), 50):
+        some = made[at:at + 50]
+        got = [np.frombuffer(b, own.dtype).tolist() for b in own.encode(some)]
+        assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 

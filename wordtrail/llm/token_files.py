@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +19,25 @@ from wordtrail.llm.sink import MANIFEST, ShardWriter, commit
 #: places where byte-level pre-tokens always end: before a blank that a non-blank follows
 CUT = regex.compile(r" (?=\S)")
 BEFORE_BLANK = regex.compile(r" (?!\S)")
+#: words of plain letters and what may end them, on one or two lines: the library's pattern parts them all
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&$#%*]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&$#%*]*))?")
+
+
+def visible_bytes() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: visible ones for
+    themselves, the others for those from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    later = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(later)) for b in range(256)]
 
 
 class CachedEncoder:
     """The tokenizers library over chunks of text, each chunk encoded once a task or so.
 
     A byte-level pre-token never reaches over a blank that is followed by a non-blank; so the ids
-    of a text are those of its chunks, cut there. New chunks go to the library in runs, parted by
-    a special token. The cache is emptied beyond ``most`` chunks, which changes no result.
+    of a text are those of its chunks, cut there. Plain words go to the library's model at once,
+    other new chunks to the whole library in runs, parted by a special token. The cache is emptied
+    beyond ``most`` chunks, which changes no result.
     """
 
     RUN = 500
@@ -38,7 +52,14 @@ class CachedEncoder:
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.part_id, self.part = special[0] if special else (None, None)
-        self.most, self.later = most, {}
+        self.most, self.later, self.tails = most, {}, {}
+        self.model, self.visible = self.tokenizer.model, dict(enumerate(visible_bytes()))
+        whole = json.loads(self.tokenizer.to_str())
+        before = whole.get("pre_tokenizer") or {}
+        #: only where texts reach the model as they are, cut by the usual pattern, can the way be shortened
+        self.direct = (whole.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                       and not before.get("add_prefix_space") and whole["model"]["type"] == "BPE"
+                       and not any(PLAIN_WORD.fullmatch(t["content"].strip()) for t in whole.get("added_tokens", [])))
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -46,6 +67,8 @@ class CachedEncoder:
     def _learn(self, chunks: set[str]) -> None:
         later, width = self.later, self.dtype.itemsize
         new = [c for c in chunks if c not in later]
+        if self.direct:
+            new = self._learn_words(new)
         odd = [c for c in new if self.part is None or self.part in c]
         later.update(zip(odd, self.plain([" " + c for c in odd])))
         if odd:
@@ -62,6 +85,36 @@ class CachedEncoder:
                     later[c] = data[start:stop]
                     start = stop + width
 
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Learn the plain words among new chunks, their ends and a second line apart; gives back the others."""
+        later, others, match = self.later, [], PLAIN_WORD.fullmatch
+        for c in new:
+            if (m := match(c)) is None:
+                others.append(c)
+                continue
+            word, tail, line, second, end = m.groups()
+            ids = later.get(word) or self._word(word, word, self.visible[32])
+            if tail:
+                ids += self._tail(tail)
+            if line:
+                ids += self._tail(line) + (later.get(line + second) or self._word(line + second, second, ""))  # no chunk begins with a line's end
+                if end:
+                    ids += self._tail(end)
+            later[c] = ids
+        return others
+
+    def _word(self, key: str, word: str, blank: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+        ids = self.later[key] = array(self.dtype.char, [t.id for t in self.model.tokenize(blank + shown)]).tobytes()
+        return ids
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            (self.tails[tail],) = self.plain([tail])
+        return self.tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``dtype``."""
         if len(self.later) > self.most:
