@@ -300,6 +300,38 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(frame(spark, ODD), none).filter("score > 0.01").count() == 0 and toxicity.score(empty(spark), none).count() == 0
 
 
+def test_pii_leaves_tables_of_numbers_alone():
+    r, move = random.Random(5), pii.Permutation(b"k")
+    rows = [" ".join(str(r.randrange(10_000)) for _ in range(12)) for _ in range(300)]
+    assert [t for t in rows if pii.replace(t, move)[0] != t] == []
+    ids = [str(r.randrange(10 ** 11, 10 ** 12)) for _ in range(300)] + [f"{r.random():.14f}" for _ in range(300)]
+    assert sum(pii.replace(t, move)[0] != t for t in ids) == 0
+
+
+def test_pii_other_forms():
+    move = pii.Permutation(b"k")
+    for text, kind in [("call +441632960961 now", "phone"), ("+49 151 23456789", "phone"), ("3/4/2020", "date"), ("13.7.1999", "date"), ("12/3/2001", "date"),
+                       ("2001:db8:85a3::8a2e:370:7334", "ip"), ("FE80::1:2AB", "ip"), ("4111.1111.1111.1111", "card"), ("de89 3704 0044 0532 0130 00 und", "iban"),
+                       ("de89370400440532013000", "iban"), ("555-0123 4111111111111111", "card"), ("4111 1111 1111 1111", "card"), ("4111-1111-1111-1111", "card")]:
+        new, counts = pii.replace(text, move)
+        assert counts[kind] == 1 and new != text and len(new) == len(text), text
+        assert pii.replace(new, move, back=True)[0] == text, text
+    for text in ("12:34:56", "10:20", "a::b::c", "1/2/3", "99/99/2020", "31/2/2020", "+123", "version 1.2.3", "4111 1111-1111 1111", "9111 1111 1111 1111"):
+        assert pii.replace(text, move)[0] == text, text
+
+
+def test_pii_of_a_long_row_of_numbers():
+    import time
+
+    move, start = pii.Permutation(b"k"), time.process_time()
+    for text in ("1 " * 300_000, "4111 " * 100_000, "9" * 300_000):
+        assert pii.replace(text, move)[0] == text
+    assert time.process_time() - start < 30
+    dates = "2020-01-02 " * 3000
+    new, counts = pii.replace(dates, move)
+    assert counts["date"] == 3000 and pii.replace(new, move, back=True)[0] == dates
+
+
 def test_pii_beside_other_numbers():
     move = pii.Permutation(b"k")
     card, iban = "4111 1111 1111 1111", "DE89370400440532013000"

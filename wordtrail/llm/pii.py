@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import string
 from datetime import date, timedelta
@@ -13,15 +14,20 @@ from pyspark.sql import DataFrame
 #: for the registered query and tests; a user passes a secret of their own
 DEMO_KEY = b"wordtrail demonstration key"
 KINDS = ("email", "iban", "card", "phone", "ip", "ssn", "date")
+#: patterns of other forms of a kind
+ALSO = {"iban_small": "iban", "card_dots": "card", "ip_six": "ip"}
 
 PATTERN = re.compile(r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-]))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
+  | (?P<iban_small>(?<![A-Za-z0-9])[a-z]{2}\d{2}(?:[ ]?[a-z0-9]){11,30}(?![A-Za-z0-9]))
+  | (?P<card_dots>(?<![\d.])\d{4}(?:\.\d{4}){3}(?!\.?\d))
+  | (?P<ip_six>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))
   | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
-  | (?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]))
-  | (?P<phone>(?<![\d(])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-]))
+  | (?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]))
+  | (?P<phone>(?<![\d(])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,8}){1,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-]))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-  | (?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))
+  | (?P<card>(?<!\d)(?<!\d[.,])\d(?:[ -]?\d){12,18}(?!\d))
 """, re.X | re.A)
 
 
@@ -31,9 +37,11 @@ IBAN_LENGTHS = {country: size for size, countries in {
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
     26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
-#: groupings of card numbers that come first
-CARD_FORMS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
-DIGIT_RUN = re.compile(r"\d(?:[ -]?\d)*", re.A)
+#: fixed values: the usual groupings of card numbers, and the first digits that issuers have
+CARD_FORMS = [(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)]
+ISSUERS = re.compile(r"4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-9]|30[0-5]|6")
+GROUPS, MOST_OTHERS = re.compile(r"\d+(?:[ -]\d+){0,63}", re.A), 2
+DIGIT_GOES_ON = re.compile(r"[ -]?\d", re.A)
 
 
 class Permutation:
@@ -111,22 +119,31 @@ FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
 def _date(text: str, move: Permutation, back: bool) -> str | None:
-    order = "%Y-%m-%d" if "-" in text else "%d/%m/%Y" if "/" in text else "%d.%m.%Y"
-    numbers = [int(x) for x in re.split(r"[-/.]", text)]
-    year, month, day = numbers if "-" in text else reversed(numbers)
-    month_first = "/" in text and month > 12
+    """Two-digit parts stay two-digit; of parts written with one digit, each keeps its number of digits."""
+    mark = next(c for c in "-/." if c in text)
+    parts = text.split(mark)
+    year, month, day = map(int, parts if mark == "-" else reversed(parts))
+    month_first = mark == "/" and month > 12
     if month_first:
-        order, month, day = "%m/%d/%Y", day, month
+        month, day = day, month
+    short = any(len(p) == 1 for p in parts)
+    if short and any(len(p) == 2 and p[0] == "0" for p in parts):
+        return None
     try:
         at = (date(year, month, day) - FIRST_DAY).days
     except ValueError:
         return None
     if not 0 <= at < DAYS:
         return None
-    moved = FIRST_DAY + timedelta(days=(at := move(at, DAYS, "date", back)))
-    while month_first and moved.day <= 12:  # else it would be read day first
+    while True:  # until the new date is written as the old one is, and read in the same order
         moved = FIRST_DAY + timedelta(days=(at := move(at, DAYS, "date", back)))
-    return moved.strftime(order)
+        if month_first and moved.day <= 12:
+            continue
+        own = [moved.year, moved.month, moved.day] if mark == "-" else [moved.month, moved.day, moved.year] if month_first else [moved.day, moved.month, moved.year]
+        if not short:
+            return mark.join(f"{n:02d}" for n in own)
+        if [len(str(n)) for n in own] == list(map(len, parts)):
+            return mark.join(map(str, own))
 
 
 def _ssn_number(digits: str) -> int | None:
@@ -143,6 +160,27 @@ def pseudonym(kind: str, text: str, move: Permutation, back: bool = False) -> st
         name, _, domain = text.partition("@")
         own = [c for c in name if c.isalnum()]
         return refill(name, permute_characters("".join(own), "email", move, back), string.ascii_letters + string.digits) + "@" + domain
+    if kind == "iban_small":
+        made = pseudonym("iban", text.upper(), move, back)
+        return made and made.lower()
+    if kind == "card_dots":
+        made = text
+        while (made := pseudonym("card", made, move, back)) is not None and not issued(made):
+            pass
+        return made if issued(text) else None
+    if kind == "ip_six":
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        capital, made = text.upper() == text and text.lower() != text, text
+        while True:  # digits in their places, small or capital letters as before
+            hexes = "".join(c for c in made if c != ":")
+            moved = f"{move(int(hexes, 16), 16 ** len(hexes), 'ip6', back):0{len(hexes)}x}"
+            made = refill(text, moved, string.hexdigits)
+            if capital and made.upper() == made.lower():
+                continue
+            return made.upper() if capital else made
     if kind == "iban":
         plain = text.replace(" ", "")
         if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
@@ -157,7 +195,10 @@ def pseudonym(kind: str, text: str, move: Permutation, back: bool = False) -> st
         body = f"{move(int(digits[:-1]), size, 'card', back):0{len(digits) - 1}d}"
         return refill(text, body + check_digit(body), string.digits)
     if kind == "phone":
-        code = len(re.match(r"\+(\d+)", text)[1]) if text.startswith("+") else 0
+        first = re.match(r"\+(\d+)", text)
+        code = 0 if not first else len(first[1]) if len(first[1]) <= 3 else 1 if digits[0] in "17" else 2
+        if first and not 8 <= len(digits) <= 15:
+            return None
         rest = digits[code:]
         return refill(text, digits[:code] + f"{move(int(rest), 10 ** len(rest), 'phone', back):0{len(rest)}d}", string.digits)
     if kind == "ip":
@@ -179,7 +220,7 @@ def pseudonym(kind: str, text: str, move: Permutation, back: bool = False) -> st
 
 def _iban_end(text: str) -> int | None:
     """Where the IBAN that begins a match ends: after its country's length, at the end of a group."""
-    size = IBAN_LENGTHS.get(text[:2])
+    size = IBAN_LENGTHS.get(text[:2].upper())
     if size is None:
         return len(text)
     ends = [i for i, c in enumerate(text, 1) if c != " "]
@@ -188,37 +229,50 @@ def _iban_end(text: str) -> int | None:
     return ends[size - 1]
 
 
-def _card_stretches(run: str, within: int) -> list[tuple[int, int]]:
-    """Stretches of whole groups with 13 to 19 digits that begin before ``within``, usual groupings first."""
-    groups, found = [m.span() for m in re.finditer(r"[0-9]+", run)], []
-    for i, (start, _) in enumerate(groups):
-        if start >= within:
-            break
-        sizes: tuple[int, ...] = ()
-        for a, b in groups[i:]:
-            sizes += (b - a,)
-            if sum(sizes) > 19:
+def issued(number: str) -> bool:
+    """Whether a card number's check digit is right and its first digits are an issuer's."""
+    digits = re.sub("[ .-]", "", number)
+    return bool(ISSUERS.match(digits)) and luhn(digits)
+
+
+def find_cards(run: str, goes_on: bool) -> list[tuple[int, int]]:
+    """Card numbers in a row of digit groups: any group of 13 to 19 digits, and the usual groupings
+    under one separator. The latter count only if the row has at most two groups more and does
+    not go on: in a longer row of numbers, one in some tens would look like a card by chance."""
+    groups = [m.span() for m in re.finditer(r"[0-9]+", run)]
+    whole, grouped, others, i = [], [], 0, 0
+    while i < len(groups):
+        start, end = groups[i]
+        if 13 <= end - start <= 19 and issued(run[start:end]):
+            whole.append((start, end))
+            i += 1
+            continue
+        for form in CARD_FORMS:
+            own = groups[i:i + len(form)]
+            if tuple(b - a for a, b in own) == form and len({run[b] for _, b in own[:-1]}) == 1 and issued(run[start:own[-1][1]]):
+                grouped.append((start, own[-1][1]))
+                i += len(form)
                 break
-            if sum(sizes) >= 13:
-                found.append((sizes not in CARD_FORMS, start, -b))
-    return [(start, -b) for _, start, b in sorted(found)]
+        else:
+            others, i = others + 1, i + 1
+    return sorted(whole + grouped) if others <= MOST_OTHERS and not goes_on else whole
 
 
-def _card(run: str, within: int, move: Permutation, back: bool) -> tuple[int, int, str] | None:
-    """Start, end and pseudonym of the first valid stretch of ``run``.
+def _cards(run: str, goes_on: bool, move: Permutation, back: bool) -> tuple[str, list[tuple[int, int]]]:
+    """The row with its card numbers replaced, one after the other (last first on the way back).
 
-    The permutation is walked on until no earlier stretch looks valid, so that the way back finds the same one.
+    Each is walked on until the row shows the same cards again, so that the way back finds them.
     """
-    stretches = _card_stretches(run, within)
-    valid = lambda s: luhn(digits := re.sub("[ -]", "", s)) and int(digits) > 0
-    for i, (start, end) in enumerate(stretches):
-        made = pseudonym("card", run[start:end], move, back)
-        while made is not None:
+    cards = find_cards(run, goes_on)
+    for start, end in reversed(cards) if back else cards:
+        made = run[start:end]
+        while True:
+            made = pseudonym("card", made, move, back)
             new = run[:start] + made + run[end:]
-            if not any(valid(new[a:b]) for a, b in stretches[:i]) and valid(made):
-                return start, end, made
-            made = pseudonym("card", made, move, back) if valid(made) else None
-    return None
+            if issued(made) and find_cards(new, goes_on) == cards:
+                run = new
+                break
+    return run, cards
 
 
 def replace(text: str, move: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -227,36 +281,49 @@ def replace(text: str, move: Permutation, back: bool = False) -> tuple[str, dict
     if "@" not in text and not any(d in text for d in string.digits):
         return text, counts
 
-    out, done, at = [], 0, 0
+    out, done, at, seen = [], 0, 0, 0
     while match := PATTERN.search(text, at):
-        kind, (start, end), made = match.lastgroup, match.span(), None
-        at = end
-        if kind == "card":
-            if found := _card(DIGIT_RUN.match(text, start, end + 64)[0], end - start, move, back):
-                start, end, made = start + found[0], start + found[1], found[2]
-        elif kind == "iban":
-            at = start + len(re.match("[A-Z0-9]+", match[0])[0])  # what follows may be a value of its own
+        form, (start, end), made = match.lastgroup, match.span(), None
+        kind, at = ALSO.get(form, form), end
+        if form == "card":
+            at = start + len(re.match(r"\d+", match[0])[0])  # the next group may begin a value of its own
+            if start >= seen:  # else the row was looked at already
+                run = GROUPS.match(text, start)[0]
+                goes_on = DIGIT_GOES_ON.match(text, start + len(run)) is not None
+                new, cards = _cards(run, goes_on, move, back)
+                if cards:
+                    counts["card"] += len(cards)
+                    out += text[done:start], new[:cards[-1][1]]
+                    done = at = start + cards[-1][1]
+                else:
+                    seen = start + (len(run) // 2 if goes_on else len(run))
+            continue
+        if kind == "iban":
+            at = start + len(re.match("[A-Za-z0-9]+", match[0])[0])  # what follows may be a value of its own
             if size := _iban_end(match[0]):
                 end = start + size
-                made = pseudonym(kind, text[start:end], move, back)
+                made = pseudonym(form, text[start:end], move, back)
         else:
-            made = pseudonym(kind, match[0], move, back)
+            made = pseudonym(form, match[0], move, back)
         if made is not None:
             counts[kind] += 1
             out += text[done:start], made
             done = at = end
+            seen = 0
     return "".join(out) + text[done:], counts
 
 
 def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", key: str = "doc_id", back: bool = False) -> DataFrame:
     """``key, text`` and the number of values of each kind (``n_email``, ``n_card``, ...), one row a row.
 
-    A value is a card number or IBAN with a right check digit, a social security number of valid
-    parts, a calendar date from 1900 to 2099, an IPv4 address, a telephone number or an e-mail
-    address (of which the name is changed). Card numbers and IBANs are also found beside other
-    numbers and words; slash dates are read day first, or else month first. Under one secret equal values, however grouped, get
-    equal pseudonyms in all documents (but for card numbers beside digits with which they could be
-    taken for another one), and ``back`` restores them. A null text stays null.
+    A value is a card number with a right check digit, first digits of an issuer and a usual
+    grouping (see ``find_cards`` for rows of numbers), an IBAN with a right check, a social security
+    number of valid parts, a calendar date from 1900 to 2099, an IPv4 or IPv6 address, a telephone
+    number or an e-mail address (of which the name is changed). Card numbers and IBANs are also
+    found beside other numbers and words; slash dates are read day first, or else month first.
+    Under one secret equal values of one form get equal pseudonyms in all documents (but for card
+    numbers beside digits with which they could be taken for another one), and ``back`` restores
+    them. A null text stays null.
     """
     kind = dict(docs.dtypes)[key]
 
