@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -63,6 +64,21 @@ def test_bpe_of_single_characters():
     assert [w for w, ids in zip(words, theirs) if own.encode(w) != ids] == []
 
 
+def test_bpe_of_random_texts_with_marks():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), bpe.WordBpe(path), random.Random(7)
+    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
+    some = ["x\u0345\u1ac5", "x\u0301\u1dfa", "a\u093c\u0301"]
+    for _ in range(20_000):
+        letters = [r.choice(["a", "É", "ο", "Σ", "한", "x", " ", "1", "-", chr(r.randrange(0x20, 0x3000))]) for _ in range(r.randint(1, 6))]
+        some.append("".join(c + "".join(r.choice(marks) for _ in range(r.choice([0, 0, 1, 2, 3]))) for c in letters))
+    theirs = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+    own.learn({c for t in some for c in own.chunks(t)}, 1 << 30)
+    assert [t for t, ids in zip(some, theirs) if own.encode(t) != ids] == []
+
+
 def test_chunks_encoded_apart_are_those_of_whole_texts(texts):
     from tokenizers import Tokenizer
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +137,23 @@ class WordBpe:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
-    @staticmethod
-    def newer(text: str) -> bool:
-        return text > "" and max(text) >= "\u0250" and any(unicodedata.category(c) == "Cn" for c in set(text))
+    def newer(self, text: str) -> bool:
+        """Whether a text holds characters that only one of Python's and the library's tables knows."""
+        if text == "" or max(text) < "\u0250":
+            return False
+        own = set(text)
+        return any(unicodedata.category(c) == "Cn" for c in own) or any(map(unicodedata.combining, own)) and not own.isdisjoint(self.odd_marks)
+
+    @cached_property
+    def odd_marks(self) -> set[str]:
+        """Combining marks that the library leaves in another order beside other marks than Python does."""
+        clean, odd = self.library.normalizer.normalize_str, set()
+        for mark in (chr(c) for c in range(0x300, sys.maxunicode + 1)):
+            if unicodedata.combining(mark):
+                tries = [f"x{other}{mark}" for other in "\u0316\u0307\u0345"] + [f"x{mark}{other}" for other in "\u0316\u0307\u0345"]
+                if any(clean(t) != unicodedata.normalize("NFC", t).lower() for t in tries):
+                    odd.add(mark)
+        return odd
 
     def pieces(self, chunk: str) -> list[str]:
         """What the pattern matches."""

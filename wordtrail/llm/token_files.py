@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordtrail.llm.bpe import byte_letters
 from wordtrail.llm.common import filesystem, text_or_empty
 from wordtrail.llm.sink import MANIFEST, ShardWriter, commit
 
@@ -23,13 +24,6 @@ BEFORE_BLANK = regex.compile(r" (?!\S)")
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&$#%*]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&$#%*]*))?")
 
 
-def visible_bytes() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: visible ones for
-    themselves, the others for those from 256 on, in order."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    later = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(later)) for b in range(256)]
-
 
 class CachedEncoder:
     """The tokenizers library over chunks of text, each chunk encoded once a task or so.
@@ -53,7 +47,7 @@ class CachedEncoder:
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.part_id, self.part = special[0] if special else (None, None)
         self.most, self.later, self.tails = most, {}, {}
-        self.model, self.visible = self.tokenizer.model, dict(enumerate(visible_bytes()))
+        self.model, self.visible = self.tokenizer.model, dict(enumerate(byte_letters()))
         whole = json.loads(self.tokenizer.to_str())
         before = whole.get("pre_tokenizer") or {}
         #: only where texts reach the model as they are, cut by the usual pattern, can the way be shortened
