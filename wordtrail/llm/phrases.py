@@ -250,7 +250,7 @@ def bounds(docs: DataFrame, text: str, lang: str, longest: int, range_bytes: int
     words = F.filter(F.split(lower_ascii(F.substring("t", F.col("at") + F.pmod(F.xxhash64("t", "at"), F.lit(1900)).cast("int"), F.lit(200))),
                              r"[.,;:!?\n\x0B\f\r \t]+"), lambda w: w != "")
     picked = at.select("lang", F.array_join(F.slice(words, 2, longest), " ").alias("phrase"), F.lit(1).alias("one")).filter("phrase <> ''")
-    ordered = running_sum(picked, ["lang", "phrase"], "one", "number")
+    ordered = running_sum(stored(picked, "phrase-bounds"), ["lang", "phrase"], "one", "number")
     step = max(1, ordered.count() // ranges)
     out: dict[str, set[tuple[bytes, ...]]] = defaultdict(set)
     for r in ordered.filter((F.col("number") % step == step - 1) & (F.col("number") >= step)).select("lang", "phrase").collect():
