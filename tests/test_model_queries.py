@@ -5,7 +5,7 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -99,6 +99,52 @@ def test_stack_has_25_outputs_of_full_models(spark, monkeypatch):
     assert [len(m) for m in models] == [5, 10, 10] and not any(p for m in models for p in m.values())
 
 
+def quick_first_level(seen):
+    """A first level that learns each row by heart: by the key hidden in its features."""
+    def fit(rows):
+        known = {r.features[0]: r.score for r in rows.select("features", "score").collect()}
+        seen.append(set(known))
+        tree = DecisionTreeClassifier(featuresCol="features", labelCol="_y", predictionCol="_p", maxDepth=10)
+        one = lambda of: tree.fit(rows.withColumn("_y", (F.col("score") == of).cast("double")))
+        return {1: one(1), 2: one(2)}, {(1, 2): one(2)}, {(1, 2): one(1)}
+    return fit
+
+
+def test_cross_fitting_scores_no_row_by_a_model_that_saw_it(spark):
+    r = random.Random(9)
+    noise = spark.createDataFrame([(i, r.choice([1, 2]), Vectors.dense([float(i), r.random()])) for i in range(400)], ["id", "score", "features"])
+    seen = []
+    stacked = learning.cross_fitted_stack(noise, "id", "score", quick_first_level(seen), folds=2)
+    rows = stacked.select("id", "_fold", "score", vector_to_array("features_2").alias("f")).collect()
+    assert len(rows) == 400 and len(seen) == 2 and not seen[0] & seen[1]
+    assert all(float(x.id) not in seen[x._fold] for x in rows)  # fold f is scored by the models of seen[f]
+    guessed = sum((x.f[0] == 1.0) == (x.score == 1) for x in rows) / 400
+    assert 0.4 < guessed < 0.6  # pure noise: chance
+    leaky = learning.stack(noise, "id", *quick_first_level([])(noise))
+    known = [(x.score, x.f) for x in leaky.select("score", vector_to_array("features_2").alias("f")).collect()]
+    assert sum((f[0] == 1.0) == (s == 1) for s, f in known) / 400 > 0.65  # what the plain stack would report
+    scores = learning.cross_fitted_scores(noise, "id", "score", quick_first_level([]), folds=2)
+    both = scores.join(noise.select("id", F.col("score").alias("truth")), "id")
+    assert scores.count() == 400 and 0.4 < both.filter("score = truth").count() / 400 < 0.6
+
+
+def test_sentiment_learns_from_words_and_counts_tokens(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        good = i % 2
+        rows.append((i, " ".join(r.choice(["good", "great"] if good else ["bad", "poor"]) if r.random() < 0.4 else r.choice(["film", "scene", "The", "a"]) for _ in range(12)) + ".", float(good)))
+    df = spark.createDataFrame(rows + [(900, "", 1.0)], "id long, text string, label double")
+    for form in ("bag_of_words", "tf_idf"):
+        scored = learning.sentiment_flow(df.filter("id < 200"), df.filter("id >= 200"), "text", "label", "id", form, regParam=0.01)
+        found = learning.test_metrics(scored, "label").first()
+        pairs = [(x.score, x.label) for x in scored.collect()]
+        good, bad = [s for s, y in pairs if y == 1], [s for s, y in pairs if y == 0]
+        by_pairs = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+        assert abs(found.auc - by_pairs) < 1e-9 and found.accuracy > 0.9
+        assert {x.num_tokens for x in scored.filter("id < 900").collect()} == {12.0} and scored.filter("id = 900").first().num_tokens == 0
+
+
 def test_side_by_side_keeps_order_and_stops(spark):
     begun = []
     fits = [lambda i=i: begun.append(i) or i for i in range(20)]

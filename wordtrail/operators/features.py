@@ -99,6 +99,19 @@ def project(df: DataFrame, vector: str, k: int = 2, output: str = "pca") -> Data
     return PCA(k=k, inputCol=vector, outputCol=output).fit(df).transform(df)
 
 
+def text_features(text: str, form: str, slots: int = HASH_SLOTS) -> Pipeline:
+    """Words without stop words as ``features``: ``bag_of_words`` (counts of the ``slots`` most
+    frequent words) or ``tf_idf`` (hashed, weighted), with the number of words as one number more."""
+    words = [
+        SQLTransformer(statement=f"SELECT *, regexp_replace({text}, '[.,!?;:]', ' ') AS _clean FROM __THIS__"),
+        Tokenizer(inputCol="_clean", outputCol="_tokens"),
+        StopWordsRemover(inputCol="_tokens", outputCol="_refined"),
+        SQLTransformer(statement="SELECT *, filter(_refined, t -> t <> '') AS _terms, cast(size(filter(_tokens, t -> t <> '')) AS double) AS num_tokens FROM __THIS__")]
+    weights = {"bag_of_words": [CountVectorizer(inputCol="_terms", outputCol="_words", vocabSize=slots)],
+               "tf_idf": [HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=slots), IDF(inputCol="_tf", outputCol="_words")]}[form]
+    return Pipeline(stages=[*words, *weights, VectorAssembler(inputCols=["_words", "num_tokens"], outputCol="features")])
+
+
 def text_stages(text: str, slots: int = HASH_SLOTS) -> Pipeline:
     """Clean, tokenize, drop stop words, hash and weight as one MLlib pipeline."""
     return Pipeline(stages=[

@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
-from wordtrail.operators.features import stacked_vector
+from wordtrail.functions.hashing import unit_hash
+from wordtrail.operators import evaluate
+from wordtrail.operators.features import stacked_vector, text_features
 from wordtrail.operators.votes import apply_models, pair_code, pair_label
+from wordtrail.session import cut_lineage
 
 # The grids.
 FOREST_GRID = {"maxDepth": [5, 7, 9, 11, 13, 15], "numTrees": [5, 10, 15, 20, 25, 30, 35, 40, 45, 50]}
@@ -250,6 +253,21 @@ def boosted_classifier_grid(df: DataFrame, prediction: str, label: str, metric:
                          metric not in SMALLER_IS_BETTER)
 
 
+def sentiment_flow(train: DataFrame, test: DataFrame, text: str, label: str, key: str, form: str, **params) -> DataFrame:
+    """``(key, label, num_tokens, prediction, score)`` of the test rows: text features and a logistic
+    regression, both fitted on the training rows alone."""
+    staged = text_features(text, form).fit(train)
+    model = LogisticRegression(labelCol=label, **params).fit(staged.transform(train).select("features", label))
+    scored = model.transform(staged.transform(test))
+    return scored.select(key, label, "num_tokens", "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+
+
+def test_metrics(scored: DataFrame, label: str) -> DataFrame:
+    """One row: area under the curve, and counts and rates of the predictions."""
+    kept = cut_lineage(scored.select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "score"))
+    return evaluate.binary_metrics(kept, "y", "p").crossJoin(F.broadcast(evaluate.area_under_roc(kept, "score", "y")))  # a row each
+
+
 def cross_validated(estimator, grid: dict[str, Sequence], df: DataFrame, evaluator, folds: int = 3,
                     parallelism: int = 4, seed: int = 42) -> CrossValidatorModel:
     """Spark's own k-fold search with fits running side by side."""
@@ -317,6 +335,34 @@ def stack(df: DataFrame, key: str, binary: dict, pairs: dict, quaternary: dict)
     return scored.select(*df.columns, stacked_vector(columns, "features_2"))
 
 
+def with_folds(df: DataFrame, key: str, folds: int) -> DataFrame:
+    return df.withColumn("_fold", F.floor(unit_hash(F.col(key), F.lit("folds")) * folds).cast("int"))
+
+
+def cross_fitted_stack(df: DataFrame, key: str, label: str, fit_first: Callable[[DataFrame], tuple[dict, dict, dict]], folds: int = 2) -> DataFrame:
+    """The stacked rows of ``stack``, in which no row is scored by a model that has seen it: the
+    rows are dealt into folds by hash, and each fold is scored by models fitted on the others."""
+    kept = with_folds(df, key, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = []
+    for fold in range(folds):
+        models = fit_first(kept.filter(F.col("_fold") != fold).drop("_fold"))
+        parts.append(stack(kept.filter(F.col("_fold") == fold), key, *models))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def cross_fitted_scores(df: DataFrame, key: str, label: str, fit_first: Callable[[DataFrame], tuple[dict, dict, dict]], folds: int = 2) -> DataFrame:
+    """``(key, score)``: both levels cross-fitted, so that no model behind a row's score has seen its label."""
+    stacked = cut_lineage(cross_fitted_stack(df, key, label, fit_first, folds).select(key, label, "_fold", "features_2"))
+    parts = [final_score(stacked.filter(F.col("_fold") == fold), key, fit_final(stacked.filter(F.col("_fold") != fold), label)) for fold in range(folds)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def fit_final(stacked: DataFrame, label: str, seed: int = 42):
     """Second-level model over the stacked vector; its classes start at 0."""
     zero_based = stacked.withColumn("_final", F.col(label) - 1)

@@ -14,9 +14,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from wordtrail.functions.stopwords import ENGLISH
-from wordtrail.operators import evaluate, factors, features, journey, learning, postings, tokens, votes
+from wordtrail.operators import evaluate, factors, features, journey, learning, postings, sweep, tokens, votes
 from wordtrail.operators.sampling import with_split
-from wordtrail.plans.registry import query, quoted_list, words_sql
+from wordtrail.plans.registry import query, quoted_list, unit_sql, words_sql
+from wordtrail.session import cut_lineage
 
 TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents) GROUP BY 1, 2)"
 
@@ -265,6 +266,40 @@ def logistic_text(t):
         "doc_id", "label", "prediction", vector_to_array("probability").alias("probability"))
 
 
+SENTIMENT_SQL = f"""
+WITH s AS (SELECT d.doc_id, l.quality AS y, len(list_filter(string_split_regex(lower(regexp_replace(d.text, '[.,!?;:]', ' ', 'g')), '[ \t\n\x0B\f\r]'), lambda x: x <> '')) AS n
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {unit_sql('d.doc_id')} >= 0.75)
+SELECT form, count(*) AS test_rows, sum(y)::bigint AS positives, sum(n)::bigint AS tokens, count(*) AS counted, true AS agree
+FROM s, (VALUES ('bag_of_words'), ('tf_idf')) v(form) GROUP BY 1"""
+
+
+def sentiment_scores(t, form: str):
+    rows = sentiment(t)
+    return learning.sentiment_flow(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "text", "label", "doc_id", form, regParam=0.01)
+
+
+@query("l1_sentiment_flow", SENTIMENT_SQL)
+def sentiment_flow(t):
+    """Both forms of text features; the metrics of the test set agree with those counted from its predictions."""
+    found = None
+    for form in ("bag_of_words", "tf_idf"):
+        scored = cut_lineage(sentiment_scores(t, form))
+        own = learning.test_metrics(scored, "label")
+        right = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        row = scored.agg(F.count("*").alias("test_rows"), F.sum("label").cast("bigint").alias("positives"), F.sum("num_tokens").cast("bigint").alias("tokens"))
+        counted = own.select((F.col("true_negatives") + F.col("false_negatives") + F.col("true_positives") + F.col("false_positives")).alias("counted"),
+                             (F.abs(F.col("accuracy") - right) < 1e-9).alias("agree"))
+        row = row.crossJoin(F.broadcast(counted)).select(F.lit(form).alias("form"), "*")  # a row each
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("l1_sentiment_metrics")
+def sentiment_metrics(t):
+    forms = [learning.test_metrics(sentiment_scores(t, form), "label").select(F.lit(form).alias("form"), "*") for form in ("bag_of_words", "tf_idf")]
+    return forms[0].unionByName(forms[1])
+
+
 SCORED_LABELS = "s AS (SELECT d.doc_id, length(d.text)::double AS s, l.quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
@@ -420,6 +455,17 @@ def kmeans_sweep(t):
     return swept(learning.cluster_sweep(vectors(t), 4))
 
 
+@query("l12_joint_sweep")
+def joint_sweep(t):
+    """Silhouette and cost of 2 to 6 clusters, one pass a round for all of them."""
+    return sweep.kmeans_sweep(t.embeddings, range(2, 7), "embedding")
+
+
+@query("l11_bisecting_numbers")
+def bisecting_numbers(t):
+    return learning.cluster_sweep(vectors(t), 4, bisecting=True)
+
+
 SCORES = [1, 2, 3, 4, 5]
 SCORE_PAIRS = list(combinations(SCORES, 2))
 
@@ -465,6 +511,12 @@ def stacked_scores(t):
     return scored.select("vec_id", F.col("score").isin(SCORES).alias("is_score"))
 
 
+@query("l14_cross_fitted_scores")
+def cross_fitted_scores(t):
+    """The stack without leaks: both levels score rows that their models have not seen."""
+    return learning.cross_fitted_scores(score_rows(t, len(SCORES)), "vec_id", "score", first_level)
+
+
 @query("l14_voted_scores")
 def voted_scores(t):
     rows = score_rows(t, len(SCORES))
