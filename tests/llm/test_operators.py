@@ -159,6 +159,12 @@ def test_simhash(spark, texts):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_names_of_large_and_small_components(spark):
+    rows = [(i, 10_000 - i, 7 if i < 1500 else 8 if i < 1600 else None) for i in range(1700)]
+    named = dict(simhash._named(spark.createDataFrame(rows, "fingerprint long, least long, root long")).collect())
+    assert named == {f: 10_000 - 1499 if f < 1500 else 10_000 - 1599 if f < 1600 else least for f, least, _ in rows}
+
+
 def test_trie_in_split_groups(spark):
     rng = random.Random(5)
     centre = rng.getrandbits(64)

@@ -241,6 +241,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _named(rooted: DataFrame, share: int = 10_000) -> DataFrame:
+    """``fingerprint, component_id`` from ``fingerprint, least, root``: the smallest ``least`` of the root's fingerprints.
+
+    Components of over one in ``share`` of all linked fingerprints (and a thousand), so at most
+    ``share`` of them, meet their name by a broadcast: no task gets all members of one.
+    """
+    linked = rooted.filter("root IS NOT NULL")
+    sizes = stored(linked.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id")), "component-names")
+    bound = max(1000, linked.count() // share)
+    large = F.broadcast(sizes.filter(F.col("n") > bound).select("root", "component_id"))
+    small = linked.join(large.select("root"), "root", "left_anti").join(sizes.filter(F.col("n") <= bound), "root")
+    return (rooted.filter("root IS NULL").select("fingerprint", F.col("least").alias("component_id"))
+            .unionByName(linked.join(large, "root").select("fingerprint", "component_id"))
+            .unionByName(small.select("fingerprint", "component_id")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, budget: int = 4) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key that links reach.
 
@@ -251,12 +267,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     prints = stored(fingerprints(docs, text, key, words), "fingerprints")
     groups = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "distinct-fingerprints")
     roots = components(stored(links(groups.select("fingerprint"), budget), "trie-links"))
-    # classes by fingerprint: only linked fingerprints have a root row
-    named = groups.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(
+    # only linked fingerprints have a root
+    rooted = stored(groups.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"), "rooted-fingerprints")
+    return prints.join(_named(rooted), "fingerprint").select(
         key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
