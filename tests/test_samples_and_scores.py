@@ -171,6 +171,23 @@ def test_model_registry(spark):
     assert {k: len(v) for k, v in pairs.items()} == {(1, 2): 1, (1, 3): 1}
 
 
+def test_sketched_curve_stays_within_its_error(spark):
+    r = random.Random(8)
+    rows = [(r.gauss(1.0 if y else 0.0, 1.0), y) for y in (int(r.random() < 0.2) for _ in range(20_000))] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    exact = evaluate.area_under_roc(df.filter("s IS NOT NULL AND y IS NOT NULL"), "s", "y").first().auc
+    found = evaluate.sketched_curve(df.repartition(5), "s", "y").first()
+    assert abs(found.auc - exact) < 2 * evaluate.sketch_error() + 1 / 500 and found.positives + found.negatives == 20_000
+    bad = sorted(s for s, y in rows if y == 0)
+    good = sorted(s for s, y in rows if y == 1 and s is not None)
+    for p in found.curve[::100]:
+        at = good[min(int((1 - p.recall) * len(good)), len(good) - 1)]
+        assert abs(p.fpr - sum(b >= at for b in bad) / len(bad)) < 3 * evaluate.sketch_error() + 0.005
+    assert evaluate.sketched_curve(df.filter("y = 1"), "s", "y").first().auc is None
+    plan = evaluate.sketched_curve(df, "s", "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") <= 2  # the one pass, or its reuse
+
+
 @pytest.mark.parametrize("bits", [2, 16])
 def test_exact_samples_keep_the_wanted_number(spark, bits):
     sizes = {"a": 500, "b": 90, "c": 7}

@@ -39,8 +39,8 @@ def statistics(rows: DataFrame, key: str, top_nouns: int = 0) -> DataFrame:
     """Counts per document from :func:`annotated_rows`; with ``top_nouns`` also ``top``, its most
     frequent nouns as ``array<struct<negative, noun>>`` (ties alphabetical).
 
-    Words are first counted per (document, lemma), combined before the shuffle; the noun list is
-    bounded by one document's vocabulary.
+    Words are first counted per (document, lemma); the noun list is bounded by one document's
+    vocabulary. Rows of a table that was dealt out by its key stay where they are.
     """
     is_noun, is_verb = F.col("tag").isin(tagging.NOUN_TAGS), F.col("tag").isin(tagging.VERB_TAGS)
     per_lemma = rows.groupBy(key, "lemma").agg(

@@ -316,6 +316,17 @@ def area_under_roc(t):
     return evaluate.area_under_roc(scored_labels(t), "s", "y").select(F.round("auc", 6).alias("auc"))
 
 
+@query("l2_sketched_auc", """
+SELECT count(*) FILTER (event_type = 'purchase') AS positives, count(*) FILTER (event_type <> 'purchase') AS negatives, true AS within FROM events""")
+def sketched_auc(t):
+    """The area from one pass over the scores, next to the exact one."""
+    rows = t.events.select("value", (F.col("event_type") == "purchase").cast("int").alias("y"))
+    exact = evaluate.area_under_roc(rows, "value", "y").first().auc
+    found = evaluate.sketched_curve(rows, "value", "y")
+    within = F.abs(F.col("auc") - F.lit(exact)) < 2 * evaluate.sketch_error() + 1 / 500
+    return found.select("positives", "negatives", within.alias("within"))
+
+
 @query("l2_evaluator_auc", "SELECT count(*) AS rows, true AS agrees FROM embeddings")
 def evaluator_auc(t):
     rows = labelled(t)

@@ -116,6 +116,29 @@ def log_mean(t):
     return files.log_mean(files.read_lines(t.spark, path), "c").select(F.round("mean", 6).alias("mean"))
 
 
+@query("s11_registered_pairs", """
+WITH c AS (SELECT label, count(*) AS n, max(len(embedding)) AS size FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT a.label AS lower, b.label AS upper, a.n + b.n AS rows, greatest(a.size, b.size) AS size, a.n + b.n AS classified
+FROM c a JOIN c b ON a.label < b.label""")
+def registered_pairs(t):
+    """Every pair of labels: its separator is fitted in full, saved, found by its key, and applied to the pair's rows."""
+    base = shared_path(t.spark, "models")
+    rows = cut_lineage(t.embeddings.filter("label IS NOT NULL").select("label", to_vector("embedding").alias("features")))
+    labels = sorted(r.label for r in rows.select("label").distinct().collect())
+    pairs = list(combinations(labels, 2))
+    fits = [partial(LogisticRegression(labelCol="y", regParam=0.01).fit, rows.filter(F.col("label").isin(a, b)).withColumn("y", (F.col("label") == b).cast("int")))
+            for a, b in pairs]
+    key = lambda a, b: f"separator_{a}_{b}_"
+    models.save_models(t.spark, base, {key(a, b): m for (a, b), m in zip(pairs, side_by_side(t.spark, fits))})
+    loaded = models.load_models(t.spark, base, LogisticRegressionModel, "separator")
+    sizes = t.spark.createDataFrame([(a, b, len(loaded[key(a, b)].coefficients)) for a, b in pairs], "lower int, upper int, size long")
+    scored = apply_models(rows, [loaded[key(a, b)] for a, b in pairs], "p", [f"{a}_{b}" for a, b in pairs])
+    said = F.array(*[F.struct(F.lit(a).cast("int").alias("lower"), F.lit(b).cast("int").alias("upper"), F.col(f"p{a}_{b}").alias("p")) for a, b in pairs])
+    each = scored.select("label", F.explode(said).alias("s")).filter((F.col("label") == F.col("s.lower")) | (F.col("label") == F.col("s.upper")))
+    counted = each.groupBy("s.lower", "s.upper").agg(F.count("*").alias("rows"), F.count_if(F.col("s.p").isin(0.0, 1.0)).alias("classified"))
+    return counted.join(F.broadcast(sizes), ["lower", "upper"]).select("lower", "upper", "rows", "size", "classified")  # a row a pair
+
+
 @query("s11_model_registry")
 def model_registry(t):
     base = shared_path(t.spark, "models")
