@@ -112,20 +112,20 @@ def quick_first_level(seen):
 
 def test_cross_fitting_scores_no_row_by_a_model_that_saw_it(spark):
     r = random.Random(9)
-    noise = spark.createDataFrame([(i, r.choice([1, 2]), Vectors.dense([float(i), r.random()])) for i in range(400)], ["id", "score", "features"])
+    noise = spark.createDataFrame([(i, r.choice([1, 2]), Vectors.dense([float(i), r.random()])) for i in range(200)], ["id", "score", "features"]).coalesce(1)
     seen = []
     stacked = learning.cross_fitted_stack(noise, "id", "score", quick_first_level(seen), folds=2)
     rows = stacked.select("id", "_fold", "score", vector_to_array("features_2").alias("f")).collect()
-    assert len(rows) == 400 and len(seen) == 2 and not seen[0] & seen[1]
+    assert len(rows) == 200 and len(seen) == 2 and not seen[0] & seen[1]
     assert all(float(x.id) not in seen[x._fold] for x in rows)  # fold f is scored by the models of seen[f]
-    guessed = sum((x.f[0] == 1.0) == (x.score == 1) for x in rows) / 400
-    assert 0.4 < guessed < 0.6  # pure noise: chance
+    guessed = sum((x.f[0] == 1.0) == (x.score == 1) for x in rows) / 200
+    assert 0.35 < guessed < 0.65  # pure noise: chance
     leaky = learning.stack(noise, "id", *quick_first_level([])(noise))
     known = [(x.score, x.f) for x in leaky.select("score", vector_to_array("features_2").alias("f")).collect()]
-    assert sum((f[0] == 1.0) == (s == 1) for s, f in known) / 400 > 0.65  # what the plain stack would report
+    assert sum((f[0] == 1.0) == (s == 1) for s, f in known) / 200 > 0.65  # what the plain stack would report
     scores = learning.cross_fitted_scores(noise, "id", "score", quick_first_level([]), folds=2)
     both = scores.join(noise.select("id", F.col("score").alias("truth")), "id")
-    assert scores.count() == 400 and 0.4 < both.filter("score = truth").count() / 400 < 0.6
+    assert scores.count() == 200 and 0.35 < both.filter("score = truth").count() / 200 < 0.65
 
 
 def test_sentiment_learns_from_words_and_counts_tokens(spark):

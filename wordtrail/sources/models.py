@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wordtrail.operators.learning import side_by_side
+
 REGISTRY = "registry"
 
 
 def save_models(spark: SparkSession, base: str, models: dict[str, object]) -> DataFrame:
-    """Save each model below ``base`` and write the registry ``(key, path)``."""
-    rows = []
-    for key, model in models.items():
-        path = f"{base}/{key}"
-        model.write().overwrite().save(path)
-        rows.append((key, path))
+    """Save each model below ``base``, some side by side, and write the registry ``(key, path)``."""
+    rows = [(key, f"{base}/{key}") for key in models]
+    list(side_by_side(spark, [partial(models[key].write().overwrite().save, path) for key, path in rows], at_once=8))
     registry = spark.createDataFrame(rows, "key string, path string")
     registry.write.mode("overwrite").parquet(f"{base}/{REGISTRY}")
     return spark.read.parquet(f"{base}/{REGISTRY}")
@@ -22,7 +23,9 @@ def save_models(spark: SparkSession, base: str, models: dict[str, object]) -> Da
 def load_models(spark: SparkSession, base: str, model_class, word: str = "") -> dict[str, object]:
     """Models whose registered key contains ``word``, by key."""
     rows = spark.read.parquet(f"{base}/{REGISTRY}").filter(F.contains("key", F.lit(word))).orderBy("key")
-    return {r.key: model_class.load(r.path) for r in rows.collect()}
+    found = rows.collect()
+    loaded = side_by_side(spark, [partial(model_class.load, r.path) for r in found], at_once=8)
+    return {r.key: model for r, model in zip(found, loaded)}
 
 
 def load_pair_models(spark: SparkSession, base: str, model_class, pairs: list[tuple], word: str = "") -> dict:
