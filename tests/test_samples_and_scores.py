@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from wordtrail import session
 from wordtrail.functions.hashing import unit_hash
 from wordtrail.operators import evaluate, features, learning, lookup, profile, sampling, tokens
 from wordtrail.session import cut_lineage, shared_path
@@ -171,6 +172,15 @@ def test_model_registry(spark):
     assert {k: len(v) for k, v in pairs.items()} == {(1, 2): 1, (1, 3): 1}
 
 
+def test_shared_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_base", lambda _: f"file://{tmp_path}")
+    spark.range(3).write.parquet(session.shared_path(spark, "some"))
+    (tmp_path / "kept").mkdir()
+    session.clear_shared(spark)
+    assert [f.name for f in tmp_path.iterdir()] == ["kept"]
+    session.clear_shared(spark)  # nothing left is no error
+
+
 def test_sketched_curve_stays_within_its_error(spark):
     r = random.Random(8)
     rows = [(r.gauss(1.0 if y else 0.0, 1.0), y) for y in (int(r.random() < 0.2) for _ in range(20_000))] + [(None, 1), (0.5, None)]

@@ -49,6 +49,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/wordtrail/{name}-{uuid.uuid4().hex}"
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the tables, archives and files that this library has left below the shared folder.
+
+    Results are read from them, so call it when none is needed any more. Spark's own checkpoints are
+    not touched: ``spark.cleaner.referenceTracking.cleanCheckpoints`` clears those.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/wordtrail")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
