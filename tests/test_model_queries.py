@@ -161,3 +161,18 @@ def test_registry_holds_all_pairs(spark, folder):
     labels = sorted(r.label for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("label").distinct().collect())
     assert len(labels) > 3 and rows.columns == ["vec_id", "label", *[f"p{a}{b}" for a, b in combinations(labels, 2)]]
     assert all(v in (0.0, 1.0) for r in rows.collect() for v in r[2:])
+
+
+def test_regression_rows_are_spread_and_carry_no_slot_names(spark, monkeypatch):
+    seen = []
+
+    class Watched(learning.LogisticRegression):
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.schema["features"].metadata))
+            return super().fit(df)
+
+    monkeypatch.setattr(learning, "LogisticRegression", Watched)
+    df = spark.createDataFrame([(i, "good day" if i % 2 else "bad day", float(i % 2)) for i in range(40)], "id long, text string, label double").coalesce(1)
+    for form in ("bag_of_words", "tf_idf"):
+        learning.sentiment_flow(df.filter("id < 30"), df.filter("id >= 30"), "text", "label", "id", form, maxIter=2)
+    assert seen == [(spark.sparkContext.defaultParallelism, {})] * 2

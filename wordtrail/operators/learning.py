@@ -255,10 +255,17 @@ def boosted_classifier_grid(df: DataFrame, prediction: str, label: str, metric:
 
 def sentiment_flow(train: DataFrame, test: DataFrame, text: str, label: str, key: str, form: str, **params) -> DataFrame:
     """``(key, label, num_tokens, prediction, score)`` of the test rows: text features and a logistic
-    regression, both fitted on the training rows alone."""
+    regression, both fitted on the training rows alone.
+
+    The assembler names every slot in the column's metadata, which would travel with each of the
+    regression's passes; it is dropped. The rows are dealt to all cores; not to more tasks than
+    that, as each sends back a gradient as wide as the features.
+    """
     staged = text_features(text, form).fit(train)
-    model = LogisticRegression(labelCol=label, **params).fit(staged.transform(train).select("features", label))
-    scored = model.transform(staged.transform(test))
+    rows = cut_lineage(staged.transform(train).select("features", label).withMetadata("features", {}))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    model = LogisticRegression(labelCol=label, **params).fit(rows.repartition(cores))
+    scored = model.transform(staged.transform(test).withMetadata("features", {}))
     return scored.select(key, label, "num_tokens", "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
