@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from wordtrail.operators import postings, stems
 from wordtrail.plans import texts
@@ -79,3 +80,19 @@ def test_stored_search_reads_no_text(spark, folder):
     place = stems.stored_index(texts.stem_counts(t), "doc_id")
     plan = stems.stored_search(postings.read_index(spark, place), "things")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_words_are_stemmed_once_and_on_all_cores(spark, monkeypatch):
+    words = spark.createDataFrame([("things",), ("thing",), ("running",)] * 50, "token string")
+    vocabulary = stems.stem_vocabulary(words)
+    assert vocabulary.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # the words' distinct step must be below the stems even where a later step would not mind repeats
+    plan = stems.variants(vocabulary)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.rindex("Aggregate [token") > plan.index("RepartitionByExpression")
+    stemmed = []
+    whole = stems.stem_vocabulary
+    monkeypatch.setattr(stems, "stem_vocabulary", lambda *a: stemmed.append(whole(*a)) or stemmed[-1])
+    counts = spark.createDataFrame([(i, w, 2) for i in range(9) for w in ("things", "thing", "ran")], "id long, token string, tf long")
+    found = stems.stored_search(postings.read_index(spark, stems.stored_index(counts, "id")), "things")
+    assert sorted((x.stem, x.key, x.tf) for x in found.collect()) == [("thing", i, 4) for i in range(9)]
+    assert [x.count() for x in stemmed] == [3]

@@ -12,8 +12,14 @@ STEMMERS = {"porter": porter, "porter2": porter2}
 
 
 def stem_vocabulary(tokens: DataFrame, algorithm: str = "porter") -> DataFrame:
-    """``(token, stem)``, each distinct word stemmed once."""
-    return tokens.select("token").distinct().withColumn("stem", STEMMERS[algorithm]("token"))
+    """``(token, stem)``, each distinct word stemmed once.
+
+    A stem costs far more than its word's few bytes tell, by which adaptive execution would join the
+    words into one or two tasks; so they are dealt out by number.
+    """
+    context = tokens.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tokens.select("token").distinct().repartition(parts, "token").withColumn("stem", STEMMERS[algorithm]("token"))
 
 
 def stem_index(counts: DataFrame, key: str, algorithm: str = "porter") -> DataFrame:
@@ -27,11 +33,9 @@ def stem_index(counts: DataFrame, key: str, algorithm: str = "porter") -> DataFr
 def stored_index(counts: DataFrame, key: str, algorithm: str = "porter", place: str | None = None) -> str:
     """Write the stem index as blocks of postings; returns its folder.
 
-    Words are stemmed as they are counted, a text's stems being summed up in the shuffle that
-    makes the blocks' rows: texts are read once.
+    Each distinct word is stemmed once, not once a text that holds it.
     """
-    stemmed = counts.select(key, STEMMERS[algorithm](F.col("token")).alias("stem"), "tf").groupBy(key, "stem").agg(F.sum("tf").alias("tf"))
-    return postings.write_index(stemmed, key, "stem", place)
+    return postings.write_index(stem_index(counts, key, algorithm), key, "stem", place)
 
 
 def stored_search(blocks: DataFrame, word: str, algorithm: str = "porter") -> DataFrame:
