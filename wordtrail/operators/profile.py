@@ -81,14 +81,20 @@ def coherence(stats: DataFrame, key: str, vectors: DataFrame,
     and ``vector_key`` maps a noun to its ``word``. No pairs are formed: with unit vectors u the
     pair sum is ``(|sum u|^2 - sum |u|^2) / 2``. Fewer than two nouns give 0.0.
     """
-    nouns = stats.select("*", F.posexplode_outer("top").alias("rank", "_n")).drop("top").withColumn(
-        "word", vector_key(F.col("_n.noun")))
-    units = vectors.select("word", unit_vector("vector").alias("unit")).withColumn(
-        "square", F.round(dot(F.col("unit"), F.col("unit"))))
-    found = salted_join(nouns, units, "word", [key], "left")
-    kept = F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("rank", "unit", "square")))
+    # the counts ride with the first noun only, and vectors as they are stored: a noun's row is its vector and little more
     carried = [c for c in stats.columns if c not in (key, "top")]
-    per_doc = found.groupBy(key).agg(*[F.max(c).alias(c) for c in carried], F.array_sort(kept).alias("top"))
+    exploded = stats.select(key, F.struct(*carried).alias("_stats"), F.posexplode_outer("top").alias("rank", "_n"))
+    nouns = exploded.select(key, F.when(F.coalesce("rank", F.lit(0)) == 0, F.col("_stats")).alias("_stats"), "rank",
+                            vector_key(F.col("_n.noun")).alias("word"))
+    found = salted_join(nouns, vectors.select("word", "vector"), "word", [key], "left")
+    kept = F.collect_list(F.when(F.col("vector").isNotNull(), F.struct("rank", "vector")))
+    gathered = found.groupBy(key).agg(F.max("_stats").alias("_stats"), F.array_sort(kept).alias("_found"))
+
+    def measured(noun: Column) -> Column:
+        return let(unit_vector(noun.vector), lambda unit: F.struct(
+            noun["rank"].alias("rank"), unit.alias("unit"), F.round(dot(unit, unit)).alias("square")))
+
+    per_doc = gathered.select(key, *[F.col("_stats")[c].alias(c) for c in carried], F.transform("_found", measured).alias("top"))
     scored = per_doc.select(key, *carried, _mean_cosines(sizes).alias("_scores"))
     return scored.select(key, *carried, *[F.get("_scores", F.lit(i)).alias(f"text_coherence_{n}")
                                           for i, n in enumerate(sizes)])

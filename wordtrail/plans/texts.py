@@ -350,7 +350,10 @@ RATIOS = {"words_fraction": "num_words / nullif(num_tokens, 0)", "nouns_fraction
 
 def statistics(t, top_nouns: int = 0):
     # texts meet by document before they are cut into words: one shuffle of texts instead of two of words
-    texts = t.documents.select("doc_id", "text").repartition("doc_id")
+    # a task counts all lemmas of its documents at once, so the tasks' number follows the input's pieces
+    docs = t.documents.select("doc_id", "text")
+    parts = max(t.spark.sparkContext.defaultParallelism, 16 * docs.rdd.getNumPartitions())
+    texts = docs.repartition(parts, "doc_id")
     rows = profile.annotated_rows(texts, "doc_id", "text", ENGLISH)
     return profile.statistics(rows, "doc_id", top_nouns)
 
