@@ -82,6 +82,17 @@ def test_stored_search_reads_no_text(spark, folder):
     assert "documents.parquet" not in plan and plan.count("Scan parquet") == 1
 
 
+def test_full_blocks_are_read_in_time_linear_in_their_postings(spark):
+    counts = spark.range(1 << 17).selectExpr("id", "explode(array('x', 'y')) AS word", "id % 7 + 1 AS tf")
+    index = postings.read_index(spark, postings.write_index(counts, "id", "word"))
+    assert index.agg({"n": "max"}).first()[0] == 1 << 16
+    decoded = postings.postings(index, "n")
+    assert decoded.columns == ["term", "n", "key", "tf"] and "aggregate(" not in decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert decoded.filter("tf <> key % 7 + 1 OR n <> 65536").isEmpty()
+    assert {(x.term, x.rows, x.keys, x.last) for x in decoded.groupBy("term").agg(
+        F.count("*").alias("rows"), F.countDistinct("key").alias("keys"), F.max("key").alias("last")).collect()} == {(w, 1 << 17, 1 << 17, (1 << 17) - 1) for w in "xy"}
+
+
 def test_words_are_stemmed_once_and_on_all_cores(spark, monkeypatch):
     words = spark.createDataFrame([("things",), ("thing",), ("running",)] * 50, "token string")
     vocabulary = stems.stem_vocabulary(words)

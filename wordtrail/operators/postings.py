@@ -8,7 +8,10 @@ blocks' heads, for which no posting is read.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from wordtrail.session import shared_path
 
@@ -48,10 +51,24 @@ def read_index(spark: SparkSession, place: str) -> DataFrame:
 
 
 def postings(blocks: DataFrame, *carried: str) -> DataFrame:
-    """``(term, *carried, key, tf)`` of the blocks; gaps are added up within each block."""
-    start = F.struct(F.col("first").alias("at"), F.expr("cast(array() as array<bigint>)").alias("keys"))
-    keys = F.aggregate("gaps", start, lambda s, g: F.struct((s.at + g).alias("at"), F.concat(s["keys"], F.array(s.at + g)).alias("keys")), lambda s: s["keys"])
-    pairs = blocks.select("term", *carried, F.explode(F.arrays_zip(keys.alias("key"), F.col("tfs").alias("tf"))).alias("p"))
+    """``(term, *carried, key, tf)`` of the blocks; gaps are added up within each block, all blocks
+    of an Arrow batch at once, so the cost is linear in the postings."""
+    def added_up(batches):
+        for batch in batches:
+            gaps = batch.column(batch.num_columns - 2)
+            size = gaps.value_lengths().to_numpy(zero_copy_only=False)
+            flat = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(flat)])[np.cumsum(size) - size]  # the gaps of all blocks before
+            keys = np.cumsum(flat) + np.repeat(batch.column(batch.num_columns - 3).to_numpy(zero_copy_only=False) - before, size)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            columns = [*(batch.column(i) for i in range(batch.num_columns - 3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "keys", "tfs"])
+
+    kept = blocks.select("term", *carried)
+    names = kept.columns
+    kinds = StructType([*kept.schema.fields, StructField("keys", ArrayType(LongType())), StructField("tfs", ArrayType(IntegerType()))])
+    decoded = blocks.select("term", *carried, "first", "gaps", "tfs").mapInArrow(added_up, kinds)
+    pairs = decoded.select("term", *carried, F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("tfs").alias("tf"))).alias("p"))
     return pairs.select("term", *carried, F.col("p.key").alias("key"), F.col("p.tf").cast("long").alias("tf"))
 
 
