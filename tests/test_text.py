@@ -202,3 +202,20 @@ def test_counts_within_a_row_need_no_shuffle(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, counts.collect())) == [(1, "a", 1), (1, "b", 2)]
     assert [tuple(r) for r in tokens.top_items(df, "id", tokens.word_tokens("t"), 1).collect()] == [(1, 1, "b", 2)]
+
+
+def test_chunk_letters_are_those_of_the_tags(spark):
+    import random
+
+    r = random.Random(4)
+    pool = [w for words in tagging.WORD_TAGS.values() for w in words] + [f"x{e}" for ends in tagging.ENDING_TAGS.values() for e in ends]
+    pool += ["dog", "Paris", "PARIS", "To", "THE", "3.5", "3ing", "--", "\u00fcber", "\u00c9ly", "\u0130ng", "'", "ing", "ed", "", None, "al", "\u4e2d", "7th"]
+    rows = [(i, [r.choice(pool) for _ in range(200)]) for i in range(60)] + [(60, []), (61, None)]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    letters = F.transform(tagging.tag_tokens("words"), lambda t: F.when(t == "DT", "D").when(t.isin("JJ", "JJR", "JJS"), "J").when(t.isin(tagging.NOUN_TAGS), "N").otherwise("-"))
+    assert df.filter(~letters.eqNullSafe(tagging.chunk_letters("words"))).count() == 0
+
+
+def test_marks_in_a_text_do_not_cut_chunks(spark):
+    df = spark.createDataFrame([(1, ["the", "\u0002red\u0001", "dog\u0003", "ran"])], "id long, words array<string>")
+    assert [tuple(r) for r in tagging.noun_chunk_rows(df, "id", F.col("words")).collect()] == [(1, 0, 0, 3, "the red dog")]

@@ -257,6 +257,46 @@ def explain(tags: DataFrame, column: str = "tag") -> DataFrame:
     return tags.join(F.broadcast(glossary), column, "left")
 
 
+def _letter(tag: str) -> str:
+    return "D" if tag == "DT" else "J" if tag in ("JJ", "JJR", "JJS") else "N" if tag in NOUN_TAGS else "-"
+
+
+def chunk_letters(tokens: Column | str) -> Column:
+    """One letter a token: D for a determiner, J for an adjective, N for a noun, ``-`` for others.
+
+    The letters of ``tag_tokens``, without the tags: only endings and words before that change the
+    letter are looked at, and not whether a noun is proper.
+    """
+    known: dict[str, str] = {}
+    for tag, words in WORD_TAGS.items():
+        for w in words:
+            known.setdefault(w, _letter(tag))
+    endings = {e: "V" if tag in ("VBG", "VBD") else _letter(tag) for tag, ends in ENDING_TAGS.items() if tag != "NN" for e in ends}
+
+    def of_known(lower: Column) -> Column:
+        letter = lambda c: [w for w, x in known.items() if x == c]
+        return F.when(lower.isin(letter("-")), "-").when(lower.isin(letter("D")), "D").when(lower.isin(letter("J")), "J").otherwise("N")
+
+    def letters(lowers: Column) -> Column:
+        def letter(lower: Column, i: Column) -> Column:
+            first, before = F.substring(lower, 1, 1), F.get(lowers, i - 1)
+            found = F.when(lower.isin(list(known)), of_known(lower)).when(
+                ~first.between("a", "z") & (lower.rlike(SYMBOL) | (first.between("0", "9") & lower.rlike(NUMBER))), "-")
+            for size in sorted({len(e) for e in endings}):
+                tail = F.right(lower, F.lit(size))
+                own = {c: [e for e, x in endings.items() if len(e) == size and x == c] for c in dict.fromkeys(endings.values())}
+                each = None
+                for c, ends in own.items():
+                    if ends:
+                        what = F.when(before.isin(AFTER_NOMINAL), "N").otherwise("-") if c == "V" else F.lit(c)
+                        each = F.when(tail.isin(ends), what) if each is None else each.when(tail.isin(ends), what)
+                found = found.when(tail.isin([e for e in endings if len(e) == size]), each)
+            return found.when(before.isin(AFTER_VERBAL), "-").otherwise("N")
+        return F.transform(lowers, letter)
+
+    return let(F.transform(_col(tokens), F.lower), letters)
+
+
 # Control characters written before a token: it opens a chunk, goes on with it, or stands outside.
 OPENS, GOES_ON, OUTSIDE = "\u0002", "\u0001", "\u0003"
 
@@ -265,29 +305,28 @@ def noun_chunk_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Noun chunks ``(key, chunk_no, start, stop, chunk)``: determiner, adjectives, nouns.
 
     The tags become one letter per token; a determiner or adjective that leads to no noun is
-    blanked, after which a token and the letter before it decide whether it opens a chunk. The
+    blanked, after which a letter and the one before it decide whether it opens a chunk. The
     tokens are then joined with their marks and the chunks cut out of that string: linear in the
     text, no shuffle, and no repeated group in a pattern (those recurse on long chunks).
     """
-    def letter(tag: Column) -> Column:
-        return F.when(tag == "DT", "D").when(tag.isin("JJ", "JJR", "JJS"), "J").when(tag.isin(NOUN_TAGS), "N").otherwise("-")
-
     def marked(words: Column) -> Column:
-        codes = F.array_join(F.transform(tag_tokens(words), letter), "")
+        codes = F.array_join(chunk_letters(words), "")
         settled = F.regexp_replace(F.regexp_replace(codes, "D(?!J*N)", "-"), "J(?!J*N)", "-")
+        opened = F.regexp_replace(settled, "D|(?<![DJ])J|(?<![DJN])N", "O")
 
         def with_marks(letters: Column) -> Column:
-            def piece(pair: Column, i: Column) -> Column:
-                before = F.when(i > 0, F.get(letters, i - 1)).otherwise("-")
-                opens = ((pair.c == "D") | ((pair.c == "J") & ~before.isin("D", "J"))
-                         | ((pair.c == "N") & ~before.isin("D", "J", "N")))
-                return (F.when(opens, F.concat(F.lit(OPENS), i.cast("string"), F.lit(":"), pair.w))
-                         .when(pair.c.isin("D", "J", "N"), F.concat(F.lit(GOES_ON), pair.w))
-                         .otherwise(OUTSIDE))
-            return F.array_join(F.transform(F.arrays_zip(words.alias("w"), letters.alias("c")), piece), "")
-        return let(F.split(settled, ""), with_marks)
-
-    clean = F.transform(_col(tokens), lambda w: F.translate(w, OPENS + GOES_ON + OUTSIDE, ""))  # the marks must be ours alone
+            def piece(word: Column, i: Column) -> Column:
+                letter = F.get(letters, i)
+                return (F.when(letter == "-", OUTSIDE).when(letter == "O", F.concat(F.lit(OPENS), i.cast("string"), F.lit(":"), word))
+                         .otherwise(F.concat(F.lit(GOES_ON), word)))
+            return F.array_join(F.transform(words, piece), "")
+        return let(F.split(opened, ""), with_marks)
+
+    def cleaned(words: Column) -> Column:  # the marks must be ours alone
+        ours = OPENS + GOES_ON + OUTSIDE
+        return F.when(F.array_join(words, "").rlike(f"[{ours}]"), F.transform(words, lambda w: F.translate(w, ours, ""))).otherwise(words)
+
+    clean = let(_col(tokens), cleaned)
     chunks = regex.all_matches(let(clean, marked), f"{OPENS}[^{OPENS}{OUTSIDE}]*")
     rows = df.select(key, F.posexplode(chunks).alias("chunk_no", "m"))
     start = F.regexp_extract("m", "^.([0-9]+):", 1).cast("int")
