@@ -66,6 +66,17 @@ def test_first_trees_of_a_forest_are_a_forest(rows):
             assert single.filter(F.abs(F.col("p") - F.col("each")[i]) > 1e-12).isEmpty()
 
 
+def test_all_sizes_come_from_one_walk_over_the_trees(rows):
+    for label, kind in (("c", RandomForestClassifier), ("z", RandomForestRegressor)):
+        model = kind(labelCol=label, predictionCol="q", numTrees=12, maxDepth=3, seed=7).fit(rows)
+        found = learning.FirstTrees(model, [2, 12, 7], "p").predictions(rows)
+        assert found._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+        several = found.withColumnRenamed("_predictions", "each")
+        for i, n in enumerate([2, 12, 7]):
+            single = learning.FirstTrees(model, n, "p").transform(several)
+            assert single.filter(F.abs(F.col("p") - F.col("each")[i]) > 1e-12).isEmpty()
+
+
 @pytest.mark.parametrize("metric", ["accuracy", "f1", "weightedPrecision", "weightedRecall", "weightedFMeasure", "precisionByLabel", "recallByLabel",
                                     "fMeasureByLabel", "falsePositiveRateByLabel", "weightedFalsePositiveRate", "hammingLoss"])
 def test_class_metrics_are_those_of_the_library(rows, metric):

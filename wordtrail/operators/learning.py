@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
+from wordtrail.functions.arrays import let
 from wordtrail.functions.hashing import unit_hash
 from wordtrail.operators import evaluate
 from wordtrail.operators.features import stacked_vector, text_features
@@ -103,18 +104,32 @@ class FirstTrees:
         weights = F.array(*[F.lit(float(w)) for w in self.model.treeWeights])
         found = out.select(*df.columns, F.array(*trees).alias("_trees"))
 
-        def summed(n: int) -> Column:
-            return F.aggregate(F.zip_with(F.slice("_trees", 1, n), F.slice(weights, 1, n), lambda t, w: t * w), F.lit(0.0), lambda s, x: s + x)
+        reached = sorted({min(n, len(trees)) for n in self.sizes})
+        # one walk over the trees with a running sum; the predictions are taken at the sizes passed
+        begin = F.array_repeat(F.lit(0.0), classes) if forest and not boosted else F.lit(0.0)
+        weighted = found.withColumn("_trees", F.zip_with("_trees", weights, lambda t, w: t if forest and not boosted else w * t))
 
-        def of_size(n: int) -> Column:
+        def added(total: Column, tree: Column) -> Column:
+            return F.zip_with(total, tree, lambda a, b: a + b) if forest and not boosted else total + tree
+
+        def predicted(total: Column, n: Column) -> Column:
             if boosted:
-                return F.when(summed(n) > 0, 1.0).otherwise(0.0) if forest else summed(n)
+                return F.when(total > 0, 1.0).otherwise(0.0) if forest else total
             if not forest:
-                return summed(n) / n
-            votes = F.aggregate(F.slice("_trees", 1, n), F.array_repeat(F.lit(0.0), classes), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-            return (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
-
-        return found.select(*df.columns, F.array(*[of_size(n) for n in self.sizes]).alias("_predictions"))
+                return total / n
+            return (F.array_position(total, F.array_max(total)) - 1).cast("double")
+
+        def walk(state: Column, tree: Column) -> Column:
+            def after(total: Column) -> Column:
+                n = state["n"] + 1
+                out = F.when(n.isin(reached), F.concat(state["out"], F.array(predicted(total, n)))).otherwise(state["out"])
+                return F.struct(n.alias("n"), total.alias("total"), out.alias("out"))
+            return let(added(state["total"], tree), after)
+
+        start = F.struct(F.lit(0).alias("n"), begin.alias("total"), F.array().cast("array<double>").alias("out"))
+        walked = F.aggregate("_trees", start, walk, lambda state: state["out"])
+        return weighted.select(*df.columns, walked.alias("_reached")).select(*df.columns, F.array(*[
+            F.get("_reached", F.lit(reached.index(min(n, len(trees))))) for n in self.sizes]).alias("_predictions"))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.predictions(df).select(*df.columns, F.get("_predictions", F.lit(0)).alias(self.prediction))
