@@ -77,6 +77,11 @@ def test_all_sizes_come_from_one_walk_over_the_trees(rows):
             assert single.filter(F.abs(F.col("p") - F.col("each")[i]) > 1e-12).isEmpty()
 
 
+def test_tf_idf_cuts_texts_into_words_once(spark, folder):
+    found = plans.all_queries()["v3_tf_idf"](spark, folder)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("metric", ["accuracy", "f1", "weightedPrecision", "weightedRecall", "weightedFMeasure", "precisionByLabel", "recallByLabel",
                                     "fMeasureByLabel", "falsePositiveRateByLabel", "weightedFalsePositiveRate", "hammingLoss"])
 def test_class_metrics_are_those_of_the_library(rows, metric):

@@ -75,7 +75,8 @@ FROM tf JOIN df ON tf.term = df.term, m"""
 
 @query("v3_tf_idf", TF_IDF_SQL)
 def tf_idf(t):
-    weighted = features.tf_idf(term_counts(t), "doc_id", t.documents, min_doc_freq=2)
+    counts = written(term_counts(t), "counts")  # texts are cut into words once
+    weighted = features.tf_idf(counts, "doc_id", t.documents, min_doc_freq=2)
     return weighted.withColumn("tf_idf", F.round("tf_idf", 4) + F.lit(0.0))
 
 
