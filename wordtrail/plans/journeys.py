@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordtrail.operators import factors, features, journey
+from wordtrail.operators import factors, features, journey, skipgram
 from wordtrail.operators.scan import find_cuts
 from wordtrail.plans.registry import Tables, query
 
@@ -138,7 +138,7 @@ PAGES_SQL = f"WITH {MARKED} SELECT event_type AS word FROM m WHERE indicator = 1
 @query("c5_page_embeddings", f"SELECT word, 100 AS size, 2 AS position_size FROM ({PAGES_SQL})")
 def page_embeddings(t):
     lists = journey.user_journeys(t.events, "user_id", "event_type", "value", converted(), ORDER)
-    vectors = features.word_vectors(features.train_word_vectors(lists, "pages"))
+    vectors = skipgram.word_vectors(lists, "pages")
     return features.project(vectors, "vector", 2, "position").select("word", F.size(
         features.vector_to_array("vector")).alias("size"), F.size(features.vector_to_array("position")).alias("position_size"))
 
@@ -146,7 +146,7 @@ def page_embeddings(t):
 @query("c5_page_similarity", f"SELECT word, true AS is_cosine FROM ({PAGES_SQL}) WHERE word <> 'purchase'")
 def page_similarity(t):
     lists = journey.user_journeys(t.events, "user_id", "event_type", "value", converted(), ORDER)
-    vectors = features.word_vectors(features.train_word_vectors(lists, "pages"))
+    vectors = skipgram.word_vectors(lists, "pages")
     return features.similar_words(vectors, "purchase").select("word", (F.abs("similarity") <= 1.000001).alias("is_cosine"))
 
 
