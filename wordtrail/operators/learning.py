@@ -20,7 +20,7 @@ from pyspark.util import inheritable_thread_target
 
 from wordtrail.functions.arrays import let
 from wordtrail.functions.hashing import unit_hash
-from wordtrail.operators import evaluate
+from wordtrail.operators import boosting, evaluate
 from wordtrail.operators.features import stacked_vector, text_features
 from wordtrail.operators.votes import apply_models, pair_code, pair_label
 from wordtrail.session import cut_lineage
@@ -90,6 +90,8 @@ class FirstTrees:
 
     def predictions(self, df: DataFrame) -> DataFrame:
         """``df`` with an array of one prediction a size. Every tree is applied once."""
+        if isinstance(self.model, boosting.Boosted):
+            return self.model.beginnings(df, self.sizes)
         forest, classes = hasattr(self.model, "numClasses"), getattr(self.model, "numClasses", 0)
         boosted = "GBT" in type(self.model).__name__
         out, trees = df, []
@@ -190,15 +192,24 @@ def best_point(points: Iterable[tuple], larger: bool, threshold: float | None =
 def ensemble_grid(estimator, depths: Sequence[int], size_param: str, sizes: Sequence[int], df: DataFrame, label: str,
                   score: Callable[[dict], float] | None = None, larger: bool = True, threshold: float | None = None) -> tuple:
     """Best model over depth times number of trees: one fit a depth, of the largest number of trees,
-    and one pass over the rows for the metrics of all its beginnings. Fits run side by side."""
+    and one pass over the rows for the metrics of all its beginnings. Fits run side by side.
+
+    Boosted trees are grown by ``boosting.fit`` and known by the rows they were fitted on: their
+    predictions for these at every size are left by the fit.
+    """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     prediction = estimator.getPredictionCol()
     copies = [estimator.copy({estimator.maxDepth: d, getattr(estimator, size_param): max(sizes)}) for d in depths]
-    fitted = side_by_side(df.sparkSession, [partial(copy.fit, kept) for copy in copies])
+    boosted = isinstance(estimator, (GBTClassifier, GBTRegressor))
+    fits = [partial(boosting.fit, copy, kept, sizes) if boosted else partial(copy.fit, kept) for copy in copies]
+    fitted = side_by_side(df.sparkSession, fits)
 
     def points():
         for depth, model in zip(depths, fitted):
-            values = several_scores(FirstTrees(model, sizes, prediction).predictions(kept.select("features", label)), label, score)
+            predicted = model.fitted if boosted else FirstTrees(model, sizes, prediction).predictions(kept.select("features", label))
+            values = several_scores(predicted, label, score)
+            if boosted:
+                model.forget()
             for n, value in zip(sizes, values):
                 yield FirstTrees(model, n, prediction), {"maxDepth": depth, size_param: n, "metricValue": value}
 

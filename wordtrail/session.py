@@ -55,7 +55,12 @@ def clear_shared(spark: SparkSession) -> None:
     Results are read from them, so call it when none is needed any more. Spark's own checkpoints are
     not touched: ``spark.cleaner.referenceTracking.cleanCheckpoints`` clears those.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/wordtrail")
+    removed(spark, f"{shared_base(spark)}/wordtrail")
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete one folder of this library's below the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
