@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from wordtrail.operators import postings, stems
+from wordtrail.operators import postings, stems, tokens
 from wordtrail.plans import texts
 from wordtrail.plans.registry import Tables
 
@@ -107,3 +107,25 @@ def test_words_are_stemmed_once_and_on_all_cores(spark, monkeypatch):
     found = stems.stored_search(postings.read_index(spark, stems.stored_index(counts, "id")), "things")
     assert sorted((x.stem, x.key, x.tf) for x in found.collect()) == [("thing", i, 4) for i in range(9)]
     assert [x.count() for x in stemmed] == [3]
+
+
+def test_a_search_stems_distinct_words_and_joins_only_the_wanted(spark):
+    counts = spark.createDataFrame([(i % 9, w, 2) for i in range(18) for w in ("things", "thing", "ran", None)] + [(None, "thing", 1)], "id long, token string, tf long")
+    plan = stems.stem_vocabulary(counts).filter("stem = 'thing'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and "regexp" not in plan[plan.index("RepartitionByExpression"):]
+    index = stems.stem_index(counts, "id")
+    found = stems.search(index, "things")
+    key = lambda rows: sorted(rows, key=str)
+    assert key(found.collect()) == key(index.filter("stem = 'thing'").collect()) and found.count() == 10
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "regexp" not in plan
+    stored = spark.createDataFrame([("thing", 1, 2), ("run", 1, 1)], "stem string, id long, tf long")
+    assert [tuple(r) for r in stems.search(stored, "things").collect()] == [("thing", 1, 2)]
+
+
+def test_items_are_counted_within_their_row(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", None, "b"]), (2, []), (3, None), (1, ["a"])], "id long, words array<string>")
+    found = tokens.term_counts(rows, "id", F.col("words")).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [(1, "b", 2), (1, "a", 1), (1, None, 1), (1, "a", 1)]))
+    plan = tokens.term_counts(rows, "id", F.col("words"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "Aggregate" not in plan

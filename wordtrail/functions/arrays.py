@@ -35,6 +35,23 @@ def counted_items(items: Column | str) -> Column:
     return F.when(F.size(items) > 0, let(F.array_sort(placed), runs))
 
 
+def item_counts(items: Column | str) -> Column:
+    """Distinct items as ``array<struct<item, n>>``; null for an empty list. For items alone, without their
+    places, Spark has a sort of its own, which costs a fraction of one by ``array_sort``'s comparison."""
+    def runs(ordered: Column) -> Column:
+        begins = lambda i: (i == 0) | ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1))
+
+        def one(starts: Column) -> Column:
+            return F.transform(starts, lambda start, j: F.struct(
+                F.get(ordered, start).alias("item"),
+                (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - start).cast("bigint").alias("n")))
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), begins), one)
+
+    items = _col(items)
+    return let(items, lambda whole: F.when(F.size(whole) > 0, let(F.sort_array(whole), runs)))
+
+
 def sum_columns(*columns: Column | str) -> Column:
     """Sum of any number of columns."""
     return reduce(add, [_col(c) for c in columns])

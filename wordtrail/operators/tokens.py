@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordtrail.functions import regex
-from wordtrail.functions.arrays import counted_items
+from wordtrail.functions.arrays import counted_items, item_counts
 from wordtrail.functions.hashing import _col
 from wordtrail.functions.text import is_alpha, shape
 from wordtrail.operators.lookup import lookup_join, word_table
@@ -129,7 +129,7 @@ def word_frequency(df: DataFrame, tokens: Column) -> DataFrame:
 
 def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``(key, term, tf)``, counted within each row: no shuffle. Rows of the same key are counted apart."""
-    counts = df.select(key, F.explode(counted_items(tokens)).alias("_c"))
+    counts = df.select(key, F.explode(item_counts(tokens)).alias("_c"))
     return counts.select(key, F.col("_c.item").alias("term"), F.col("_c.n").alias("tf"))
 
 
