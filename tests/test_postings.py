@@ -129,3 +129,12 @@ def test_items_are_counted_within_their_row(spark):
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [(1, "b", 2), (1, "a", 1), (1, None, 1), (1, "a", 1)]))
     plan = tokens.term_counts(rows, "id", F.col("words"))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan and "Aggregate" not in plan
+
+
+def test_counts_of_a_stem_are_added_up_where_its_blocks_are_made(spark, monkeypatch):
+    given, whole = [], postings.write_index
+    monkeypatch.setattr(postings, "write_index", lambda counts, *a, **k: given.append(counts) or whole(counts, *a, **k))
+    counts = spark.createDataFrame([(i % 9, w, 2) for i in range(18) for w in ("things", "thing", "ran", None)] + [(None, "thing", 1)], "id long, token string, tf long")
+    found = stems.stored_search(postings.read_index(spark, stems.stored_index(counts, "id")), "things")
+    assert sorted((x.stem, x.key, x.tf) for x in found.collect()) == [("thing", i, 8) for i in range(9)]
+    assert "Aggregate [stem" not in given[0]._jdf.queryExecution().optimizedPlan().toString()

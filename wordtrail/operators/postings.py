@@ -23,8 +23,9 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(counts: DataFrame, key: str, term: str, place: str | None = None, buckets: int = BUCKETS, span_bits: int = SPAN_BITS) -> str:
+def write_index(counts: DataFrame, key: str, term: str, place: str | None = None, buckets: int = BUCKETS, span_bits: int = SPAN_BITS, added_up: bool = False) -> str:
     """Write the index of ``(key, term, tf)`` counts, one a key and term; returns its folder.
+    ``added_up``: a key and term may have several counts, which are added up on the way.
 
     Columns ``term, span, n, first, gaps, tfs``: ``n`` postings of keys that share their higher
     bits (``span``), the smallest key, the gap of each to the one before (0 for the first), and the
@@ -33,15 +34,20 @@ def write_index(counts: DataFrame, key: str, term: str, place: str | None = None
     if dict(counts.dtypes)[key] not in WHOLE:
         raise TypeError(f"{key} is {dict(counts.dtypes)[key]}: postings are coded by gaps of whole numbers")
     place = place or shared_path(counts.sparkSession, "index")
+    whole = F.col(key).cast("long")
     rows = counts.filter(F.col(key).isNotNull() & F.col(term).isNotNull()).select(
-        F.col(term).alias("term"), F.shiftright(F.col(key).cast("long"), span_bits).alias("span"), F.struct(F.col(key).cast("long").alias("key"), F.col("tf").cast("int").alias("tf")).alias("p"))
-    blocks = rows.groupBy("term", "span").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a span has at most 2 ** span_bits keys
+        bucket_of(F.col(term), buckets).alias("bucket"), F.shiftright(whole, span_bits + 4).alias("spans"), F.shiftright(whole, span_bits).alias("span"),
+        F.col(term).alias("term"), whole.alias("key"), F.col("tf"))
+    # dealt out once, as the files are: a bucket's blocks may come from several tasks, by span, so a frequent term is no single one's
+    rows = rows.repartition("bucket", "spans")
+    if added_up:
+        rows = rows.groupBy("bucket", "spans", "span", "term", "key").agg(F.sum("tf").alias("tf"))
+    blocks = rows.select("bucket", "spans", "span", "term", F.struct("key", F.col("tf").cast("int").alias("tf")).alias("p")).groupBy(
+        "bucket", "spans", "term", "span").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a span has at most 2 ** span_bits keys
     keys = F.col("p.key")
     gaps = F.zip_with(keys, F.concat(F.slice(keys, 1, 1), F.slice(keys, 1, F.size(keys) - 1)), lambda k, before: (k - before).cast("int"))
-    coded = blocks.select("term", "span", F.size("p").alias("n"), F.get(keys, F.lit(0)).alias("first"), gaps.alias("gaps"), F.col("p.tf").alias("tfs"),
-                          bucket_of(F.col("term"), buckets).alias("bucket"))
-    # a bucket's blocks may come from several tasks, by span: a frequent term is no single one's
-    coded.repartition("bucket", F.shiftright("span", 4)).sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(place)
+    coded = blocks.select("term", "span", F.size("p").alias("n"), F.get(keys, F.lit(0)).alias("first"), gaps.alias("gaps"), F.col("p.tf").alias("tfs"), "bucket")
+    coded.sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(place)
     return place
 
 

@@ -30,13 +30,19 @@ def stem_vocabulary(tokens: DataFrame, algorithm: str = "porter") -> DataFrame:
 
 def stem_index(counts: DataFrame, key: str, algorithm: str = "porter") -> DataFrame:
     """Inverted index ``(stem, key, tf)`` from ``(key, token, tf)`` counts."""
-    # reading tf here keeps both uses of the counts alike, so their shuffle is done once
-    stems = stem_vocabulary(counts.filter(F.col("tf") > 0), algorithm)
-    index = _by_stem(salted_join(counts, stems, "token", [key]), key)
+    stems, joined = _stemmed(counts, key, algorithm)
+    index = _by_stem(joined, key)
     _MADE_OF[index] = counts, stems, key
     return index
 
 
+def _stemmed(counts: DataFrame, key: str, algorithm: str) -> tuple[DataFrame, DataFrame]:
+    """The stems of the distinct words, and the counts with them."""
+    # reading tf here keeps both uses of the counts alike, so their shuffle is done once
+    stems = stem_vocabulary(counts.filter(F.col("tf") > 0), algorithm)
+    return stems, salted_join(counts, stems, "token", [key])
+
+
 def _by_stem(joined: DataFrame, key: str) -> DataFrame:
     return joined.groupBy("stem", key).agg(F.sum("tf").alias("tf"))
 
@@ -44,9 +50,11 @@ def _by_stem(joined: DataFrame, key: str) -> DataFrame:
 def stored_index(counts: DataFrame, key: str, algorithm: str = "porter", place: str | None = None) -> str:
     """Write the stem index as blocks of postings; returns its folder.
 
-    Each distinct word is stemmed once, not once a text that holds it.
+    Each distinct word is stemmed once, not once a text that holds it. The counts of a stem's words are
+    added up where its blocks are made, so they are not shuffled for that alone.
     """
-    return postings.write_index(stem_index(counts, key, algorithm), key, "stem", place)
+    _, joined = _stemmed(counts, key, algorithm)
+    return postings.write_index(joined, key, "stem", place, added_up=True)
 
 
 def stored_search(blocks: DataFrame, word: str, algorithm: str = "porter") -> DataFrame:
